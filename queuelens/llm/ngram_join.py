@@ -9,10 +9,10 @@ Documents are sets of distinct 5-word shingles (64-bit hashes); two link at Jacc
    (the *short* lists) into the inverted index: sets that link share at least one of them.
 3. Each index shard merges its lists. Lists of up to SHORT sets give all pairs of fitting sizes; longer ones
    give a star around their largest set, and stay open.
-4. `divide_skip` retains the pairs that reach the required overlap: it merges the short lists of a group and
-   binary-probes its long ones.
-5. Verified links give components. An open list whose sets are all in one component is done; of the others every
-   pair across components is verified too, in blocks, so no link between components is lost.
+4. `Lists.search` (DivideSkip) retains the sets that reach the required overlap: it merges the short inverted lists of
+   a group and binary-probes its long ones.
+5. Verified links give components. An open list whose sets are all in one component is done; the sets of the others
+   are searched in each other, in blocks, wherever they are in different components, so no link between them is lost.
 """
 
 from __future__ import annotations
@@ -44,38 +44,52 @@ def required(a, b):
     return -(-75 * (a + b) // 175)
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], mu: float = 0.01) -> list[int]:
-    """Indices of the sets that reach the required overlap with the query (all sorted and distinct).
-
-    The inverted lists of the query's tokens are split: the L longest are put aside, the short ones are merged into
-    occurrence counts, and only sets with at least T - L of them are probed in the long lists by binary search.
-    """
-    if not len(query) or not sets:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    need = required(len(query), sizes)
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    at = np.searchsorted(query, tokens)
-    at[at == len(query)] = 0
-    hit = query[at] == tokens
-    at, owner = at[hit], owner[hit]
-    lengths = np.bincount(at, minlength=len(query))
-    t = int(need.min())
-    n_long = min(t - 1, int(t / (mu * np.log2(max(2, lengths.max())) + 1)))
-    long_lists = np.sort(np.argsort(lengths, kind="stable")[len(query) - n_long :]) if n_long else np.zeros(0, int)
-    is_long = np.zeros(len(query), bool)
-    is_long[long_lists] = True
-    merged = np.bincount(owner[~is_long[at]], minlength=len(sets))
-    found = []
-    probes = query[long_lists]
-    for c in np.flatnonzero(merged >= need - n_long):
-        s, count = sets[c], int(merged[c])
-        if n_long and len(s):
-            where = np.minimum(np.searchsorted(s, probes), len(s) - 1)
-            count += int((s[where] == probes).sum())
-        if count >= need[c]:
-            found.append(int(c))
-    return found
+class Lists:
+    """Inverted lists over some sets (each sorted and distinct), searched by DivideSkip."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        tokens, owner = np.concatenate([*sets, np.zeros(0, U64)]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        self.starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+        self.tokens = tokens[self.starts]
+        self.lengths = np.diff(np.append(self.starts, len(tokens)))
+
+    def search(self, query: np.ndarray, allowed: np.ndarray | None = None, mu: float = 1.0) -> list[int]:
+        """Sets that reach the required overlap with the query.
+
+        Of the lists of the query's tokens the L longest are put aside and the short ones merged into occurrence counts; only sets
+        with at least T - L of them are probed in the long lists by binary search.
+        """
+        if not len(query) or not len(self.tokens):
+            return []
+        need = required(len(query), self.sizes)
+        at = np.searchsorted(self.tokens, query)
+        at[at == len(self.tokens)] = 0
+        at = at[self.tokens[at] == query]
+        if not len(at):
+            return []
+        lengths = self.lengths[at]
+        t = int(need.min())
+        n_long = max(0, min(t - 1, len(at), int(t / (mu * np.log2(max(2, lengths.max())) + 1))))
+        by_length = np.argsort(lengths, kind="stable")
+        short, long = at[by_length[: len(at) - n_long]], np.sort(at[by_length[len(at) - n_long :]])
+        n = self.lengths[short]
+        places = np.repeat(self.starts[short] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) if len(short) else np.zeros(0, np.int64)
+        merged = np.bincount(self.owner[places], minlength=len(self.sets))
+        likely = merged >= np.maximum(need - n_long, 0)
+        if allowed is not None:
+            likely &= allowed
+        found, probes = [], self.tokens[long]
+        for c in np.flatnonzero(likely):
+            s, count = self.sets[c], int(merged[c])
+            if n_long and len(s) and count < need[c]:
+                count += int((s[np.minimum(np.searchsorted(s, probes), len(s) - 1)] == probes).sum())
+            if len(s) and count >= need[c]:
+                found.append(int(c))
+        return found
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -253,9 +267,10 @@ def _verify(table: pa.Table) -> pa.Table:
     found = set()
     for rows in _groups(a, cell):
         members = [k for k in rows if not lead[k]]
+        lists = Lists([sets[m] for m in members])
         for k in rows:
             if lead[k]:
-                found.update((int(doc[k]), int(doc[members[c]])) for c in divide_skip(sets[k], [sets[m] for m in members]))
+                found.update((int(doc[k]), int(doc[members[c]])) for c in lists.search(sets[k]))
     x, y = zip(*sorted(found), strict=True) if found else ((), ())
     return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
@@ -299,30 +314,54 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _cross(table: pa.Table) -> pa.Table:
-    token, x, y, ids, sizes, comp, row, col = (table[k].to_numpy() for k in ("token", "x", "y", "a", "size", "component", "is_row", "is_col"))
-    found = set()
-    for cell in _groups(token, x, y):
+def _search(table: pa.Table) -> pa.Table:
+    """Links across components within each cell, as few as join what the cell's links join."""
+    sets = [s for _, s in shingle_sets(*text_buffers(table["text"]), WIDTH)]
+    x, y, doc, component, row, col = (table[k].to_numpy() for k in ("x", "y", "doc", "component", "is_row", "is_col"))
+    found = []
+    for cell in _groups(x, y):
         cols = cell[col[cell]]
-        i, z, c = ids[cols], sizes[cols], comp[cols]
-        for r in cell[row[cell]]:
-            other = c != comp[r]
-            below = (z < sizes[r]) | ((z == sizes[r]) & (i > ids[r]))
-            found.update((int(ids[r]), int(k)) for k in i[other & below & (100 * z >= 75 * sizes[r])])
-            found.update((int(k), int(ids[r])) for k in i[other & ~below & (100 * sizes[r] >= 75 * z)])
+        lists, owners, up = Lists([sets[k] for k in cols]), component[cols], {}
+
+        def root(v, up=up):
+            while up.setdefault(v, v) != v:
+                up[v] = v = up[up[v]]
+            return v
+
+        for k in cell[row[cell]]:
+            for c in lists.search(sets[k], owners != component[k]):
+                a, b = root(component[k]), root(owners[c])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    found.append((int(doc[k]), int(doc[cols[c]])))
     a, b = zip(*sorted(found), strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def open_pairs(opened: DataFrame, labels: DataFrame) -> DataFrame:
-    """All fitting pairs across components within the open lists, made in blocks of about BLOCK x BLOCK sets."""
-    at = opened.join(labels.select(F.col("node").alias("a"), "root"), "a", "left").select("token", "a", F.col("b").alias("size"), F.coalesce("root", "a").alias("component"))
-    mixed = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("token", "blocks")
-    at = keep(at.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int")), "mixed")
-    n = at.count()
-    cells = at.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("token", "a", "size", "component", F.greatest("block", "other").alias("x"), F.least("block", "other").alias("y"), (F.col("block") >= F.col("other")).alias("is_row"), (F.col("block") <= F.col("other")).alias("is_col"))
-    return cells.groupBy(F.pmod(F.xxhash64("token", "x", "y"), F.lit(max(64, n // BLOCK))).alias("group")).applyInArrow(_cross, "a long, b long").distinct()
+def search_open(docs: DataFrame, opened: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within open lists (rows token, a).
+
+    A set's home is the longest of its lists that holds several components; sets of one home form blocks of up to about BLOCK
+    sets. Wherever two blocks meet in a list, all sets of one are searched in the other, so each set travels once to each cell
+    and no pairs are written.
+    """
+    at = opened.select("token", "a").join(labels.select(F.col("node").alias("a"), "root"), "a", "left").select("token", "a", F.coalesce("root", "a").alias("component"))
+    mixed = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("token", "n")
+    at = keep(at.join(mixed, "token"), "mixed")
+    longest = F.max(F.shiftleft(F.least("n", F.lit(1 << 19)), 43) + F.col("token"))
+    homes = at.groupBy("a", "component").agg(longest.alias("home"))
+    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    homes = keep(homes.join(parts, "home").select("a", "component", F.xxhash64("home", F.pmod(F.xxhash64("a"), "parts")).alias("block")), "homes")
+    meet = at.join(homes.select("a", "block"), "a").select("token", "block").distinct()
+    cells = meet.select("token", F.col("block").alias("x")).join(meet.select("token", F.col("block").alias("y")), "token").filter("x <= y").select("x", "y").distinct()
+    rows = cells.join(homes, F.col("x") == F.col("block")).select("x", "y", "a", "component", F.lit(True).alias("is_row"), (F.col("x") == F.col("y")).alias("is_col"))
+    cols = cells.filter("x < y").join(homes, F.col("y") == F.col("block")).select("x", "y", "a", "component", F.lit(False).alias("is_row"), F.lit(True).alias("is_col"))
+    placed = keep(rows.unionByName(cols), "cells")
+    n = placed.count()
+    if n <= MAX_BROADCAST_PAIRS:
+        placed = F.broadcast(placed)
+    filled = docs.select(F.col("doc_id").alias("doc"), "text").join(placed, F.col("doc") == F.col("a")).drop("a")
+    return filled.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(max(64, n // 512))).alias("group")).applyInArrow(_search, "a long, b long")
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -344,9 +383,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     links = keep(verify_pairs(docs, pairs), "links")
     # Classes of one doc_id with several texts meet in that node.
     labels = components(links)
-    left = keep(open_pairs(lists.filter("kind = 1").select("token", "a", "b"), labels).join(pairs, ["a", "b"], "left_anti"), "open")
-    if not left.isEmpty():
-        labels = components(links.unionByName(verify_pairs(docs, left)))
+    more = keep(search_open(docs, lists.filter("kind = 1"), labels), "more")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     named = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     shared = named.join(profile.select("digest", "doc_id", "n_shingles"), "digest", "right")
     out = shared.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
