@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decisions, scalars, views
+
+_ALL = (views.QUERIES, decisions.QUERIES, scalars.QUERIES)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for group in _ALL for name, (f, _) in group.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in _ALL for name, (_, sql) in group.items() if sql}
