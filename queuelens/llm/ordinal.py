@@ -1,7 +1,7 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector over hashed text features, ordered thresholds between the
-grades. Features are presence bits: words, endings of words, and classes of a few ratios of the whole text.
+grades. Features are presence bits: words, their first and last bytes, and classes of a few ratios of the whole text.
 Grades come from `labels`: quality (0, 1) and toxic (0, 1) give 2 good, 1 flawed one way, 0 flawed both ways.
 """
 
@@ -17,50 +17,75 @@ from .common import U64, doc_words, mix, text_buffers
 BITS = 18
 #: Bound of the labelled sample the model is fitted on (documents, the first by hash of their id).
 MAX_LABELLED = 12_000
-MIN_DF = 6
-STEPS = 150
-RIDGE = 2e-4
+MIN_DF = 10
+#: Features whose documents' mean grade is fewer standard errors away from the mean of all get no weight.
+MIN_Z = 5.0
+PREFIX = 5
+STEPS = 400
+RIDGE = 3e-5
 #: A document stays if its tail probability P(grade >= GOOD) is at least this.
 GOOD = 2
-LEAST_TAIL = 0.5
+LEAST_TAIL = 0.7
 
 _MASK = U64((1 << BITS) - 1)
 
 
-def row_features(data: np.ndarray, offs: np.ndarray):
-    """Yields (row, n rows, row of each feature, feature) for runs of rows; a feature may come several times."""
+def word_features(data: np.ndarray, offs: np.ndarray):
+    """Of clean text: its words and their first PREFIX bytes. Yields (row, n rows, row of each feature, feature)."""
+    for row, counts, h, starts, ends in doc_words(data, offs, lower=False):
+        owner = np.repeat(np.arange(len(counts)), counts)
+        raw = data[int(offs[row]) : int(offs[row + len(counts)])]
+        prefix = np.full(len(h), U64(7))
+        for k in range(PREFIX):
+            inside = starts + k < ends
+            prefix[inside] = prefix[inside] * U64(257) + raw[starts[inside] + k].astype(U64)
+        yield row, len(counts), np.concatenate([owner, owner]), np.concatenate([h & _MASK, mix(prefix ^ U64(0xC2B2AE3D)) & _MASK]).astype(np.int64)
+
+
+def shape_features(data: np.ndarray, offs: np.ndarray):
+    """Of raw text: the last two bytes of words, and classes of the shares of distinct words, capitals and marks, and of length."""
     for row, counts, h, starts, ends in doc_words(data, offs):
         owner = np.repeat(np.arange(len(counts)), counts)
         base = int(offs[row])
         raw = data[base : int(offs[row + len(counts)])]
-        word = (h & _MASK).astype(np.int64)
         n = np.maximum(counts, 1)
-        if len(h):
-            one, two = raw[ends - 1].astype(U64), raw[np.maximum(ends - 2, starts)].astype(U64)
-            ending = (mix(one * U64(256) + two + U64(1 << 20)) & _MASK).astype(np.int64)
-        else:
-            ending = word
-        keys = np.unique(owner.astype(U64) ^ (h << U64(20)))
-        distinct = np.bincount((keys & U64((1 << 20) - 1)).astype(np.int64), minlength=len(counts))[: len(counts)] if len(h) else np.zeros(len(counts), int)
-        byte_of = np.searchsorted(offs[row : row + len(counts) + 1] - base, np.arange(len(raw)), side="right") - 1 if len(counts) > 1 else np.zeros(len(raw), int)
-        letters = np.bincount(byte_of[((raw | 32) >= 97) & ((raw | 32) <= 122)], minlength=len(counts))
+        one, two = raw[ends - 1].astype(U64), raw[np.maximum(ends - 2, starts)].astype(U64)
+        ending = (mix(one * U64(256) + two + U64(1 << 20)) & _MASK).astype(np.int64)
+        order = np.lexsort((h, owner))
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        distinct = np.bincount(owner[order][fresh], minlength=len(counts))
+        byte_of = np.repeat(np.arange(len(counts)), np.diff(offs[row : row + len(counts) + 1]))
+        folded = raw | 32
+        letters = np.bincount(byte_of[(folded >= 97) & (folded <= 122)], minlength=len(counts))
         upper = np.bincount(byte_of[(raw >= 65) & (raw <= 90)], minlength=len(counts))
         marks = np.bincount(byte_of[((raw >= 33) & (raw <= 47)) | ((raw >= 58) & (raw <= 64)) | ((raw >= 91) & (raw <= 96)) | ((raw >= 123) & (raw <= 126))], minlength=len(counts))
         ratios = [10 * distinct // n, 10 * upper // np.maximum(letters, 1), 10 * marks // np.maximum(letters + marks, 1), np.minimum(20, np.log2(n + 1)).astype(int)]
         extra = [(mix((np.asarray(r).astype(U64) + U64(1000 * (k + 1))) ^ U64(0x5BD1E995)) & _MASK).astype(np.int64) for k, r in enumerate(ratios)]
         rows = np.arange(len(counts))
-        yield row, len(counts), np.concatenate([owner, owner, *[rows] * len(extra)]), np.concatenate([word, ending, *extra])
+        yield row, len(counts), np.concatenate([owner, *[rows] * len(extra)]), np.concatenate([ending, *extra])
+
+
+def batch_features(batch: pa.RecordBatch):
+    """Features of a batch (any, text, clean text)."""
+    yield from shape_features(*text_buffers(batch.column(1)))
+    yield from word_features(*text_buffers(batch.column(2)))
+
+
+def _texts(docs: DataFrame) -> list:
+    text = F.col("text").cast("string")
+    return [text.alias("text"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ").alias("clean")]
 
 
 def _extract(batches):
     for batch in batches:
-        out: list = [None] * len(batch)
-        for row, n, owner, feature in row_features(*text_buffers(batch.column(1))):
+        out: list = [[] for _ in range(len(batch))]
+        for row, n, owner, feature in batch_features(batch):
             key = np.unique(owner * (1 << BITS) + feature)
             cuts = np.searchsorted(key, np.arange(n + 1) << BITS)
             for k in range(n):
-                out[row + k] = (key[cuts[k] : cuts[k + 1]] & int(_MASK)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["grade", "x"])
+                out[row + k].append((key[cuts[k] : cuts[k + 1]] & int(_MASK)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(np.concatenate(x)) for x in out], pa.list_(pa.int32()))], ["grade", "x"])
 
 
 def sigmoid(z):
@@ -75,10 +100,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> tuple
         return weights, np.zeros(0)
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= MIN_DF)
+    df = np.bincount(flat, minlength=1 << BITS)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    lean = np.bincount(flat, (grades - grades.mean())[owner], 1 << BITS) / (np.maximum(grades.std(), 1e-9) * np.sqrt(np.maximum(df, 1)))
+    used = np.flatnonzero((df >= MIN_DF) & (np.abs(lean) >= MIN_Z))
     column = np.full(1 << BITS, -1)
     column[used] = np.arange(len(used))
-    owner, at = np.repeat(np.arange(len(rows)), sizes), column[flat]
+    at = column[flat]
     owner, at = owner[at >= 0], at[at >= 0]
     n, y = len(rows), grades.astype(int)
     share = np.array([((y <= k).sum() + 1) / (n + 2) for k in range(top)])
@@ -111,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     grade = (F.col("quality") - F.col("toxic") + 1).cast("int")
     rated = labels.select(F.col("doc_id").cast("long").alias("of_doc"), grade.alias("grade")).filter("of_doc is not null and grade between 0 and 2")
     rated = rated.groupBy("of_doc").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("of_doc"), "of_doc").limit(MAX_LABELLED)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rated), F.col("doc_id") == F.col("of_doc"))
-    sample = rows.select(F.col("grade").cast("long").alias("grade"), "text").mapInArrow(_extract, "grade long, x array<int>").limit(2 * MAX_LABELLED).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_texts(docs)).join(F.broadcast(rated), F.col("doc_id") == F.col("of_doc"))
+    sample = rows.select(F.col("grade").cast("long").alias("grade"), "text", "clean").mapInArrow(_extract, "grade long, x array<int>").limit(2 * MAX_LABELLED).toArrow()
     x = sample["x"].combine_chunks()
     flat, offs = x.values.to_numpy(), x.offsets.to_numpy()
     texts = [flat[offs[k] : offs[k + 1]] for k in range(len(x))]
@@ -127,10 +155,10 @@ def _grader(model):
         live = weights != 0
         for batch in batches:
             z = np.zeros(len(batch))
-            for row, n, owner, feature in row_features(*text_buffers(batch.column(1))):
+            for row, n, owner, feature in batch_features(batch):
                 hit = live[feature]
                 key = np.unique(owner[hit] * (1 << BITS) + feature[hit])
-                z[row : row + n] = np.bincount(key >> BITS, weights[key & int(_MASK)], n)
+                z[row : row + n] += np.bincount(key >> BITS, weights[key & int(_MASK)], n)
             tails = sigmoid(z[:, None] - cuts[None, :])
             ids = batch.column(0)
             expected, tail = (tails.sum(axis=1), tails[:, -1]) if len(cuts) else (np.full(len(z), float(GOOD)), np.ones(len(z)))
@@ -145,7 +173,7 @@ def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     Null and empty texts are graded by their few ratio features. Without usable labels every document has the best grade.
     Repeated rows give repeated results; a null doc_id is returned as null; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_texts(docs))
     return rows.mapInArrow(_grader(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, expected_grade double, tail double, kept boolean")
 
 
