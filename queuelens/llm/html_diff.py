@@ -9,16 +9,19 @@ they are unique. Where a page has no article element, differencing decides alone
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
 
-BLOCK_PAGES = 64
+#: Pages in a range at most, about; there are at least as many ranges as shuffle partitions.
+ROWS_A_BUCKET = 20_000
 #: Neighbours looked at on either side when the nearest are copies.
 REACH = 3
 #: A neighbour sharing this part of the characters is a copy: it says nothing about boilerplate.
@@ -213,50 +216,102 @@ def difference(page: list[tuple[int, str]], others: list[list[tuple[int, str]]])
     return "\n\n".join(kept), sum(shared)
 
 
-def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    rows = sorted(table.select(["rank", "own", "host", "path", "page_id", "url", "html"]).to_pylist(), key=lambda r: r["rank"])
-    parsed = [page_lines(r["html"] or "") for r in rows]
-    out = {k: [] for k in ("page_id", "url", "text", "n_chars", "n_shared")}
-    for k, r in enumerate(rows):
+def _stream(batches):
+    """Rows in order of bucket and key; each own row is differenced with the REACH rows before and after it in its bucket."""
+    names = ("page_id", "url", "text", "n_chars", "n_shared")
+    held: list[dict] = []
+    at, bucket = 0, None
+    out: dict[str, list] = {k: [] for k in names}
+
+    def settle(k: int) -> None:
+        r = held[k]
         if not r["own"]:
-            continue
-        around = [j for j in range(max(0, k - REACH), min(len(rows), k + REACH + 1)) if j != k and r["host"] and rows[j]["host"] == r["host"]]
-        around.sort(key=lambda j: (-_near(r["path"], rows[j]["path"]), abs(j - k), j))
-        text, n = difference(parsed[k], [parsed[j] for j in around])
-        for name, value in zip(out, (r["page_id"], r["url"], text, len(text), n), strict=True):
+            return
+        around = [j for j in range(max(0, k - REACH), min(len(held), k + REACH + 1)) if j != k and r["host"] and held[j]["host"] == r["host"]]
+        around.sort(key=lambda j: (-_near(r["path"], held[j]["path"]), abs(j - k), j))
+        text, n = difference(r["lines"], [held[j]["lines"] for j in around])
+        for name, value in zip(names, (r["page_id"], r["url"], text, len(text), n), strict=True):
             out[name].append(value)
-    return pa.table({k: pa.array(v, pa.string() if k in ("url", "text") else pa.int64()) for k, v in out.items()})
 
+    def drain() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k in ("url", "text") else pa.int64()) for k, v in out.items()], list(names))
+        for v in out.values():
+            v.clear()
+        return done
 
-def _place(batches):
-    n = 0
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(n, n + len(batch)), pa.int64())], [*batch.schema.names, "place"])
-        n += len(batch)
+        for r in batch.to_pylist():
+            if r["bucket"] != bucket:
+                for k in range(at, len(held)):
+                    settle(k)
+                held, at, bucket = [], 0, r["bucket"]
+            r["lines"] = page_lines(r.pop("html") or "")
+            held.append(r)
+            while at + REACH < len(held):
+                settle(at)
+                at += 1
+            if at > 4 * REACH:
+                del held[: at - REACH]
+                at = REACH
+        yield drain()
+    for k in range(at, len(held)):
+        settle(k)
+    yield drain()
+
+
+def _buckets(keys: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Keys with their bucket: ranges of the key order with about equal numbers of rows. The bounds are drawn from the keys with the
+    smallest hashes; they decide which task takes a page, never the result."""
+    spark = keys.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // ROWS_A_BUCKET)
+    drawn = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(32 * n).collect())
+    bounds = sorted({drawn[len(drawn) * i // n] for i in range(1, n)} if drawn else ())
+    return keys.withColumn("bucket", _bucket(bounds)("key")), bounds
+
+
+def _bucket(bounds: list[str]):
+    @F.pandas_udf("int")
+    def find(key: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, k) for k in key], dtype="int32")
+
+    return find
+
+
+def _halo(keys: DataFrame) -> list[tuple[str, int]]:
+    """(key, bucket) of the rows just outside each bucket: the REACH before its first and after its last row."""
+    first, last = Window.partitionBy("bucket").orderBy("key"), Window.partitionBy("bucket").orderBy(F.desc("key"))
+    edge = keys.withColumns({"i": F.row_number().over(first), "j": F.row_number().over(last)}).filter((F.col("i") <= REACH) | (F.col("j") <= REACH))
+    found = sorted((r["bucket"], r["key"]) for r in edge.select("bucket", "key").collect())  # 2 * REACH rows a bucket at most
+    out = set()
+    for k in range(1, len(found)):
+        if found[k][0] != found[k - 1][0]:
+            out.update((key, found[k][0]) for _, key in found[max(0, k - REACH) : k])
+            b = found[k - 1][0]
+            out.update((key, b) for _, key in found[k : k + REACH])
+            # a bucket of few rows also reaches over its neighbour
+            for before in {x for x, _ in found[max(0, k - REACH) : k]} - {b}:
+                size = sum(x > before for x, _ in found[:k])
+                out.update((key, before) for _, key in found[k : k + max(0, REACH - size)])
+    return sorted(out)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points), n_shared (lines shared with the page it was paired with).
 
     Null or empty html gives an empty text. A null or hostless url is paired with nothing. Repeated rows and equal URLs
-    are neighbours and, as copies, skipped in pairing. Other columns are not read. Every page is parsed whole.
+    are neighbours and, as copies, skipped in pairing. Other columns are not read. Every page is parsed whole. The html is
+    shuffled once, into ranges of the order by host and path; rows near a range's ends also go to the next range.
     """
     url = F.col("url").cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    order = ["host", "path", "page_id", "url"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("html")).withColumn("part", F.spark_partition_id())
-    schema = "page_id long, url string, html string, host string, path string, part int, place long"
-    placed = keep(ordered.mapInArrow(_place, schema), "pages")
-    counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    before, offsets = 0, []
-    for p in sorted(counts):
-        offsets.append((p, before))
-        before += counts[p]
-    starts = pages.sparkSession.createDataFrame(offsets, "part int, before long")
-    ranked = placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("place") + F.col("before"))
-    own = F.floor(F.col("rank") / BLOCK_PAGES)
-    cells = F.array_distinct(F.array(own, F.floor((F.col("rank") - REACH) / BLOCK_PAGES), F.floor((F.col("rank") + REACH) / BLOCK_PAGES)))
-    cells = ranked.select("*", own.alias("home"), F.explode(cells).alias("block")).withColumn("own", F.col("home") == F.col("block"))
-    return cells.groupBy("block").applyInArrow(_block, "page_id long, url string, text string, n_chars long, n_shared long")
+    key = F.concat_ws("\x01", "host", "path", F.coalesce(F.lpad(F.hex("page_id"), 16, "0"), F.lit("")), F.coalesce("url", F.lit("")), F.hex(F.xxhash64("html")))
+    rows = rows.withColumn("key", key)
+    keys, bounds = _buckets(keep(rows.select("key"), "keys"))
+    spark = pages.sparkSession
+    halo = spark.createDataFrame(_halo(keep(keys, "buckets")), "at string, bucket int")
+    own = rows.withColumns({"bucket": _bucket(bounds)("key"), "own": F.lit(True)})
+    near = rows.join(F.broadcast(halo), F.col("key") == F.col("at")).drop("at").withColumn("own", F.lit(False))
+    placed = own.unionByName(near).repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key")
+    return placed.mapInArrow(_stream, "page_id long, url string, text string, n_chars long, n_shared long")
