@@ -7,6 +7,8 @@ Grades come from `labels`: quality (0, 1) and toxic (0, 1) give 2 good, 1 flawed
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +19,10 @@ from .common import U64, doc_words, mix, text_buffers
 BITS = 18
 #: Bound of the labelled sample the model is fitted on (documents, the first by hash of their id).
 MAX_LABELLED = 12_000
-MIN_DF = 10
-#: Features whose documents' mean grade is fewer standard errors away from the mean of all get no weight.
-MIN_Z = 5.0
+MIN_DF = 5
+#: A feature gets a weight if its documents' mean grade is so many standard errors away from the mean of all that, of all
+#: features tested, this many would be by chance.
+BY_CHANCE = 0.05
 PREFIX = 5
 STEPS = 400
 RIDGE = 3e-5
@@ -103,7 +106,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> tuple
     df = np.bincount(flat, minlength=1 << BITS)
     owner = np.repeat(np.arange(len(rows)), sizes)
     lean = np.bincount(flat, (grades - grades.mean())[owner], 1 << BITS) / (np.maximum(grades.std(), 1e-9) * np.sqrt(np.maximum(df, 1)))
-    used = np.flatnonzero((df >= MIN_DF) & (np.abs(lean) >= MIN_Z))
+    tested = df >= MIN_DF
+    least = NormalDist().inv_cdf(1 - BY_CHANCE / 2 / max(1, int(tested.sum())))
+    used = np.flatnonzero(tested & (np.abs(lean) >= least))
     column = np.full(1 << BITS, -1)
     column[used] = np.arange(len(used))
     at = column[flat]
