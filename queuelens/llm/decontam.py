@@ -75,44 +75,69 @@ def enough(matched: int, item_words: int) -> bool:
     return matched >= min(MIN_MATCHED, max(1, math.ceil(ITEM_SHARE * item_words)))
 
 
+def overlaps(index, texts: pa.Array):
+    """Yields (row, item id, doc start, item start, words, matched words) of the best stretch for each text and item that overlap."""
+    hashes, item, place, words, ids, masks = index
+    for row, counts, h, _, _ in doc_words(*text_buffers(texts), lower=False):
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        pairs = set()
+        for mask in masks:
+            s = seeds(h, mask)
+            if not len(s):
+                continue
+            lo = np.searchsorted(hashes, s)
+            hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == s)
+            doc = np.searchsorted(bounds, hit, side="right") - 1
+            inside = hit + len(mask) <= bounds[doc + 1]
+            for at, d in zip(hit[inside], doc[inside], strict=True):
+                k = lo[at]
+                while k < len(hashes) and hashes[k] == s[at]:
+                    pairs.add((int(d), int(item[k]), int(at - bounds[d] - place[k])))
+                    k += 1
+        best = {}
+        for d, k, shift in sorted(pairs):
+            doc, w = h[bounds[d] : bounds[d + 1]], words[k]
+            a = max(0, -shift)
+            b = min(len(w), len(doc) - shift)
+            start, end, matched = best_stretch(doc[a + shift : b + shift] == w[a:b])
+            if enough(matched, len(w)) and matched > best.get((d, k), (0,))[-1]:
+                best[d, k] = (a + shift + start, a + start, end - start, matched)
+        for (d, k), found in best.items():
+            yield row + d, ids[k], *found
+
+
 def _searcher(index):
     def run(batches):
-        hashes, item, place, words, ids, masks = index.value
+        names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matched"]
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matched")}
-            doc_ids = batch.column(0).to_pylist()
-            for row, counts, h, _, _ in doc_words(*text_buffers(batch.column(1)), lower=False):
-                bounds = np.concatenate(([0], np.cumsum(counts)))
-                pairs = set()
-                for mask in masks:
-                    s = seeds(h, mask)
-                    if not len(s):
-                        continue
-                    lo = np.searchsorted(hashes, s)
-                    hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == s)
-                    doc = np.searchsorted(bounds, hit, side="right") - 1
-                    inside = hit + len(mask) <= bounds[doc + 1]
-                    for at, d in zip(hit[inside], doc[inside], strict=True):
-                        k = lo[at]
-                        while k < len(hashes) and hashes[k] == s[at]:
-                            pairs.add((int(d), int(item[k]), int(at - bounds[d] - place[k])))
-                            k += 1
-                best = {}
-                for d, k, shift in sorted(pairs):
-                    doc, w = h[bounds[d] : bounds[d + 1]], words[k]
-                    a = max(0, -shift)
-                    b = min(len(w), len(doc) - shift)
-                    start, end, matched = best_stretch(doc[a + shift : b + shift] == w[a:b])
-                    if enough(matched, len(w)) and matched > best.get((d, k), (0,))[-1]:
-                        best[d, k] = (a + shift + start, a + start, end - start, matched)
-                for (d, k), found in best.items():
-                    for name, value in zip(out, (doc_ids[row + d], ids[k], *found), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+            found = list(overlaps(index.value, batch.column(1)))
+            rows = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, *(pa.array([f[k] for f in found], pa.int64()) for k in range(1, 6))], names)
 
     return run
 
 
+def _clear_of(index):
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        out[[f[0] for f in overlaps(index.value, texts)]] = False
+        return pa.array(out)
+
+    return clear
+
+
+def _indexes(benchmark: DataFrame):
+    """Yields the broadcast index of one bounded slice of the benchmark, the stated query set, at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_only(F.col("text").cast("string")).alias("text"))
+    passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    for k in range(passes):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
+        index = build_index(sorted({(r["item_id"], r["text"] or "") for r in part}, key=str))
+        if index is not None:
+            yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, doc_start, item_start, n_words, n_matched (in words).
 
@@ -120,22 +145,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ITEM_SHARE of a shorter item. The best stretch is given. Null or empty texts and items match nothing; repeated rows give
     repeated results; a null id is returned as null; no other column is read. Either table may be empty.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_only(F.col("text").cast("string")).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_only(F.col("text").cast("string")).alias("text"))
     schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_matched long"
-    out = spark.createDataFrame([], schema)
-    passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    for k in range(passes):
-        # one bounded slice of the stated query set at a time
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        index = build_index(sorted({(r["item_id"], r["text"] or "") for r in part}, key=str))
-        if index is not None:
-            out = out.unionByName(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), schema))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index in _indexes(benchmark):
+        out = out.unionByName(rows.mapInArrow(_searcher(index), schema))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that overlap a benchmark item; all columns stay."""
-    hits = contamination(docs, benchmark).select(F.col("doc_id").alias("__ql_doc")).distinct()
-    return docs.join(hits, F.col("doc_id") == F.col("__ql_doc"), "left_anti")
+    """The rows whose text overlaps no benchmark item; all columns stay. Rows are searched where they are read: nothing is shuffled."""
+    for index in _indexes(benchmark):
+        docs = docs.filter(_clear_of(index)(words_only(F.col("text").cast("string"))))
+    return docs

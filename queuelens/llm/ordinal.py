@@ -69,21 +69,24 @@ def shape_features(data: np.ndarray, offs: np.ndarray):
         yield row, len(counts), np.concatenate([owner, *[rows] * len(extra)]), np.concatenate([ending, *extra])
 
 
-def batch_features(batch: pa.RecordBatch):
-    """Features of a batch (any, text, clean text)."""
-    yield from shape_features(*text_buffers(batch.column(1)))
-    yield from word_features(*text_buffers(batch.column(2)))
+def batch_features(text: pa.Array, clean: pa.Array):
+    """Features of a batch of texts and their clean forms."""
+    yield from shape_features(*text_buffers(text))
+    yield from word_features(*text_buffers(clean))
 
 
-def _texts(docs: DataFrame) -> list:
-    text = F.col("text").cast("string")
-    return [text.alias("text"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ").alias("clean")]
+def _clean():
+    return F.regexp_replace(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{M}\p{N}]+", " ")
+
+
+def _texts() -> list:
+    return [F.col("text").cast("string").alias("text"), _clean().alias("clean")]
 
 
 def _extract(batches):
     for batch in batches:
         out: list = [[] for _ in range(len(batch))]
-        for row, n, owner, feature in batch_features(batch):
+        for row, n, owner, feature in batch_features(batch.column(1), batch.column(2)):
             key = np.unique(owner * (1 << BITS) + feature)
             cuts = np.searchsorted(key, np.arange(n + 1) << BITS)
             for k in range(n):
@@ -144,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     grade = (F.col("quality") - F.col("toxic") + 1).cast("int")
     rated = labels.select(F.col("doc_id").cast("long").alias("of_doc"), grade.alias("grade")).filter("of_doc is not null and grade between 0 and 2")
     rated = rated.groupBy("of_doc").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("of_doc"), "of_doc").limit(MAX_LABELLED)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_texts(docs)).join(F.broadcast(rated), F.col("doc_id") == F.col("of_doc"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_texts()).join(F.broadcast(rated), F.col("doc_id") == F.col("of_doc"))
     sample = rows.select(F.col("grade").cast("long").alias("grade"), "text", "clean").mapInArrow(_extract, "grade long, x array<int>").limit(2 * MAX_LABELLED).toArrow()
     x = sample["x"].combine_chunks()
     flat, offs = x.values.to_numpy(), x.offsets.to_numpy()
@@ -154,20 +157,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return fit([texts[k] for k in order], grades[order])
 
 
+def _score(model, text: pa.Array, clean: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade and tail probability of each text."""
+    weights, cuts = model
+    live, z = weights != 0, np.zeros(len(text))
+    for row, n, owner, feature in batch_features(text, clean):
+        hit = live[feature]
+        key = np.unique(owner[hit] * (1 << BITS) + feature[hit])
+        z[row : row + n] += np.bincount(key >> BITS, weights[key & int(_MASK)], n)
+    if not len(cuts):
+        return np.full(len(z), float(GOOD)), np.ones(len(z))
+    tails = sigmoid(z[:, None] - cuts[None, :])
+    return tails.sum(axis=1), tails[:, -1]
+
+
 def _grader(model):
     def run(batches):
-        weights, cuts = model.value
-        live = weights != 0
         for batch in batches:
-            z = np.zeros(len(batch))
-            for row, n, owner, feature in batch_features(batch):
-                hit = live[feature]
-                key = np.unique(owner[hit] * (1 << BITS) + feature[hit])
-                z[row : row + n] += np.bincount(key >> BITS, weights[key & int(_MASK)], n)
-            tails = sigmoid(z[:, None] - cuts[None, :])
-            ids = batch.column(0)
-            expected, tail = (tails.sum(axis=1), tails[:, -1]) if len(cuts) else (np.full(len(z), float(GOOD)), np.ones(len(z)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(expected), pa.array(tail), pa.array(tail >= LEAST_TAIL)], ["doc_id", "expected_grade", "tail", "kept"])
+            expected, tail = _score(model.value, batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= LEAST_TAIL)], ["doc_id", "expected_grade", "tail", "kept"])
 
     return run
 
@@ -178,11 +186,16 @@ def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     Null and empty texts are graded by their few ratio features. Without usable labels every document has the best grade.
     Repeated rows give repeated results; a null doc_id is returned as null; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_texts(docs))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_texts())
     return rows.mapInArrow(_grader(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, expected_grade double, tail double, kept boolean")
 
 
 def select_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The documents the model keeps, all columns."""
-    gone = grade(docs, model).filter("not kept").select(F.col("doc_id").alias("__ql_doc")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__ql_doc")), "left_anti")
+    """The rows whose text the model keeps, all columns. Rows are graded where they are read: nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array, clean: pa.Array) -> pa.Array:
+        return pa.array(_score(shared.value, text, clean)[1] >= LEAST_TAIL)
+
+    return docs.filter(good(F.col("text").cast("string"), _clean()))
