@@ -113,39 +113,43 @@ def _by_shard(sorted_tokens: np.ndarray, rest_bits: int):
 
 
 def _count_blobs(batches):
+    """Shingles with their counts, by shard: summed here first, so a shingle of most documents is one entry a flush."""
     rest = 24
-    schema = pa.schema([("shard", pa.int32()), ("tokens", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
     held, n = [], 0
 
     def flush():
-        tokens = np.sort(np.concatenate(held))
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         mask = U64((1 << rest) - 1)
-        rows = [(k, _planes(tokens[s] & mask, 3)) for k, s in _by_shard(tokens, rest)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("shard", pa.int64()), ("tokens", pa.binary())])).cast(schema) if rows else None
+        rows = [(k, _planes(tokens[s] & mask, 3), _planes(counts[s], 3)) for k, s in _by_shard(tokens, rest)]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     for batch in batches:
         for _, s in shingle_sets(*text_buffers(batch.column(0)), WIDTH):
-            held.append(s >> U64(64 - SHARD_BITS - rest))
-            n += len(s)
-            if n >= FLUSH:
-                yield flush()
-                held, n = [], 0
+            for part in np.array_split(s, len(s) // FLUSH + 1):
+                held.append(part >> U64(64 - SHARD_BITS - rest))
+                n += len(part)
+                if n >= FLUSH:
+                    yield flush()
+                    held, n = [], 0
     if n:
         yield flush()
 
 
 def _frequent(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    tokens = np.sort(np.concatenate([_unplanes(x.as_py(), 3) for x in table["tokens"]]))
+    tokens, counts = (np.concatenate([_unplanes(x.as_py(), 3) for x in table[k]]) for k in ("tokens", "counts"))
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    counts = np.diff(np.append(starts, len(tokens)))
+    counts = np.add.reduceat(counts[order].astype(np.int64), starts)
     often = counts >= FREQUENT
     full = tokens[starts[often]].astype(np.int64) + (key[0].as_py() << 24)
-    return pa.table({"token": full, "df": counts[often].astype(np.int64)})
+    return pa.table({"token": full, "df": counts[often]})
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (35-bit, sorted) in at least FREQUENT documents, and the rank of their frequency class."""
-    blobs = docs.select("text").mapInArrow(_count_blobs, "shard int, tokens binary")
+    blobs = docs.select("text").mapInArrow(_count_blobs, "shard int, tokens binary, counts binary")
     counted = keep(blobs.groupBy("shard").applyInArrow(_frequent, "token long, df long"), "df")
     classes = counted.groupBy(F.floor(F.log2("df")).cast("int").alias("c")).count().collect()  # at most 64 rows
     least, total = 64, 0
