@@ -2,7 +2,8 @@
 
 Fixed masks select some positions of a window of words and ignore the others, so a window still matches where an
 ignored word was substituted. Hashes of all windows of the benchmark are looked up in all windows of the documents;
-around every hit the item and the document are laid side by side and the best stretch with few substitutions decides.
+around every hit the item and the document are laid side by side and the stretch with most matches among those with few
+substitutions decides.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import U64, doc_words, mix, text_buffers
 
-# Fixed masks: 1 takes a word, 0 ignores it.
-MASKS = ("1111111", "11011011011", "1101001110011", "10110110001101")
+# Fixed masks: 1 takes a word, 0 ignores it. Together they hit every stretch that `enough` and PENALTY admit for items of 7 words
+# or more, wherever its substitutions are (the tests go through all of them); `short_masks` does the same for shorter items.
+MASKS = ("1111", "11101", "1010011")
+SHORT = 7
 MIN_MATCHED = 13
 ITEM_SHARE = 0.8
 PENALTY = 2
 #: Benchmark items held by a task at a time; a larger benchmark is searched in several passes over the documents.
 ITEMS_AT_ONCE = 20_000
+#: Upper bits of a seed by which most windows of a document are told to be in no item before the sorted seeds are searched.
+COARSE_BITS = 20
 
 _STEP = mix(np.arange(1, 65, dtype=U64) * U64(0xA24BAED4963EE407)) | U64(1)
 
@@ -39,6 +44,11 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks over a whole item of n words, fewer than 7: all words, or all but one inside."""
+    return ["1" * n] + ["1" * k + "0" + "1" * (n - k - 1) for k in range(1, n - 1) if enough(n - 1, n) and n - 1 >= PENALTY]
+
+
 def words_only(text):
     """Lower case, runs of anything but letters and digits become one space: case and punctuation do not hide a copy."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
@@ -48,7 +58,7 @@ def build_index(items: list[tuple[int, str]]):
     """Sorted seed hashes with item and position, the items' word hashes, and the masks in use (short items get their own)."""
     data, offs = text_buffers(pa.array([t or "" for _, t in items], pa.string()))
     words = [h[a : a + n] for _, counts, h, _, _ in doc_words(data, offs) for a, n in zip(np.concatenate(([0], np.cumsum(counts)[:-1])), counts, strict=True)]
-    masks = list(MASKS) + ["1" * n for n in sorted({len(w) for w in words if 0 < len(w) < len(MASKS[0])})]
+    masks = list(MASKS) + [m for n in sorted({len(w) for w in words if 0 < len(w) < SHORT}) for m in short_masks(n)]
     parts = []
     for k, w in enumerate(words):
         for m, mask in enumerate(masks):
@@ -63,12 +73,17 @@ def build_index(items: list[tuple[int, str]]):
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and matches of the stretch with the most matches less PENALTY for each substitution."""
+    """Start, end and matches of the stretch with the most matches among those with at least PENALTY matches for each substitution.
+
+    It starts and ends with a match; the first of equal ones counts.
+    """
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmax(total[: end + 1] == low[end]))
-    return start, end, int(same[start:end].sum())
+    matches = np.concatenate(([0], np.cumsum(same)))
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place that is no higher than the end
+    end = int(np.argmax(matches - matches[start]))
+    matched = int(matches[end] - matches[start[end]])
+    begin = int(start[end])
+    return begin + int(np.argmax(same[begin:end])) if matched else begin, end, matched
 
 
 def enough(matched: int, item_words: int) -> bool:
@@ -78,24 +93,27 @@ def enough(matched: int, item_words: int) -> bool:
 def overlaps(index, texts: pa.Array):
     """Yields (row, item id, doc start, item start, words, matched words) of the best stretch for each text and item that overlap."""
     hashes, item, place, words, ids, masks = index
+    coarse = np.zeros(1 << COARSE_BITS, bool)
+    coarse[hashes >> U64(64 - COARSE_BITS)] = True
     for row, counts, h, _, _ in doc_words(*text_buffers(texts), lower=False):
         bounds = np.concatenate(([0], np.cumsum(counts)))
-        pairs = set()
+        parts = []
         for mask in masks:
             s = seeds(h, mask)
             if not len(s):
                 continue
-            lo = np.searchsorted(hashes, s)
-            hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == s)
-            doc = np.searchsorted(bounds, hit, side="right") - 1
-            inside = hit + len(mask) <= bounds[doc + 1]
-            for at, d in zip(hit[inside], doc[inside], strict=True):
-                k = lo[at]
-                while k < len(hashes) and hashes[k] == s[at]:
-                    pairs.add((int(d), int(item[k]), int(at - bounds[d] - place[k])))
-                    k += 1
+            at = np.flatnonzero(coarse[s >> U64(64 - COARSE_BITS)])
+            lo = np.searchsorted(hashes, s[at])
+            n = np.searchsorted(hashes, s[at], side="right") - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            doc = np.searchsorted(bounds, at, side="right") - 1
+            inside = at + len(mask) <= bounds[doc + 1]
+            at, lo, n, doc = at[inside], lo[inside], n[inside], doc[inside]
+            k = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            parts.append(np.column_stack((np.repeat(doc, n), item[k], np.repeat(at - bounds[doc], n) - place[k])))
+        pairs = np.unique(np.concatenate(parts), axis=0).tolist() if parts else []
         best = {}
-        for d, k, shift in sorted(pairs):
+        for d, k, shift in pairs:
             doc, w = h[bounds[d] : bounds[d + 1]], words[k]
             a = max(0, -shift)
             b = min(len(w), len(doc) - shift)
@@ -142,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, doc_start, item_start, n_words, n_matched (in words).
 
     A document overlaps an item where a stretch with at most a third of substitutions matches MIN_MATCHED words, or
-    ITEM_SHARE of a shorter item. The best stretch is given. Null or empty texts and items match nothing; repeated rows give
+    ITEM_SHARE of a shorter item. The stretch with the most matches is given. Null or empty texts and items match nothing; repeated rows give
     repeated results; a null id is returned as null; no other column is read. Either table may be empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_only(F.col("text").cast("string")).alias("text"))

@@ -194,6 +194,50 @@ def test_contamination_passes(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == once
 
 
+def admitted(same, n):
+    """Plain version: whether some stretch has enough matches and at most a third of substitutions."""
+    return any(decontam.enough(sum(same[a:b]), n) and 3 * (b - a - sum(same[a:b])) <= b - a for a in range(len(same)) for b in range(a + 1, len(same) + 1))
+
+
+def test_contamination_substitutions(spark):
+    rng = np.random.default_rng(7)
+    items, docs, want = [], [], set()
+    for k in range(600):
+        n = int(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 18, 20, 30, 45]))
+        item = [f"i{k}w{j}" for j in range(n)]
+        same = [True] * n
+        for j in rng.choice(n, int(rng.integers(0, n // 2 + 1)), replace=False):
+            same[j] = False
+        if n == 45 and k % 2:
+            same = [j % 4 != 3 for j in range(n)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(["before"] * 3 + [w if s else f"x{k}y{j}" for j, (w, s) in enumerate(zip(item, same, strict=True))] + ["after"] * 3)))
+        if admitted(same, n):
+            want.add((k, k))
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 300
+
+
+def test_contamination_masks():
+    """Strings of matches that no mask hits, of any length: none is admitted."""
+    masks = [(int(m, 2), len(m)) for m in decontam.MASKS]
+    wide = max(n for _, n in masks)
+    for n in (*range(7, 19), 200):
+        most = max(m for m in range(n + 1) if m == 0 or not decontam.enough(m - 1, n))
+        best, top = {(0, 0): 0}, -1
+        for _ in range(n):
+            after = {}
+            for (last, m), score in best.items():
+                for bit in (0, 1):
+                    now = (last << 1 | bit) & ((1 << wide) - 1)
+                    if not any(now & v == v for v, _ in masks):
+                        key = now, min(most, m + bit)
+                        after[key] = max(after.get(key, -1000), score + (1 if bit else -decontam.PENALTY))
+            best = after
+            top = max([top, *(score for (_, m), score in best.items() if m == most)])
+        assert top < 0
+
+
 def test_targets():
     got = mixture.targets({"a": 100, "b": 10, None: 50, "c": 40})
     assert got["b"] == 30 and abs(sum(got.values()) - 200) < 1e-9
