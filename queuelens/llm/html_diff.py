@@ -10,8 +10,10 @@ they are unique. Where a page has no article element, differencing decides alone
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -22,10 +24,12 @@ from .common import keep
 
 #: Pages in a range at most, about; there are at least as many ranges as shuffle partitions.
 ROWS_A_BUCKET = 20_000
-#: Neighbours looked at on either side when the nearest are copies.
+#: Different line lists looked at on either side when the nearest are near copies; pages with equal lists are passed over, however many.
 REACH = 3
-#: A neighbour sharing this part of the characters is a copy: it says nothing about boilerplate.
+#: A neighbour sharing this part of the characters is a copy, unless both pages have words of their own: it says nothing about boilerplate.
 COPY_SHARE = 0.6
+#: The part of a page's words that its lines must have beyond the other's lines to make them its own.
+OWN_SHARE = 0.1
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -200,6 +204,23 @@ def _near(path: str, other: str) -> int:
     return n
 
 
+def _words(lines: list[tuple[int, str]]) -> Counter:
+    return Counter(w for k, t in lines if k != HARD for w in t.split())
+
+
+def _both_own(page: list[tuple[int, str]], other: list[tuple[int, str]], found: list[bool]) -> bool:
+    """Whether both pages have lines of their own with other words: lines of a near copy differ in few words, or one page has them all."""
+    common = Counter(x for x, s in zip(page, found, strict=True) if s)
+    left = []
+    for x in other:
+        if common[x] > 0:
+            common[x] -= 1
+        else:
+            left.append(x)
+    mine, theirs = _words([x for x, s in zip(page, found, strict=True) if not s]), _words(left)
+    return (mine - theirs).total() >= OWN_SHARE * max(1, _words(page).total()) and (theirs - mine).total() >= OWN_SHARE * max(1, _words(other).total())
+
+
 def difference(page: list[tuple[int, str]], others: list[list[tuple[int, str]]]) -> tuple[str, int]:
     """The main text of a page and its number of lines shared with the nearest of the others that is no copy of it."""
     shared = [False] * len(page)
@@ -208,7 +229,7 @@ def difference(page: list[tuple[int, str]], others: list[list[tuple[int, str]]])
     for other in others:
         found = shared_lines(mine, [hash(t) for _, t in other])
         common = sum(len(t) for (k, t), s in zip(page, found, strict=True) if s and k != HARD)
-        if common < COPY_SHARE * max(1, weight, sum(len(t) for k, t in other if k != HARD)):
+        if common < COPY_SHARE * max(1, weight, sum(len(t) for k, t in other if k != HARD)) or _both_own(page, other, found):
             shared = found
             break
     has_main = any(k == MAIN for k, _ in page)
@@ -216,22 +237,43 @@ def difference(page: list[tuple[int, str]], others: list[list[tuple[int, str]]])
     return "\n\n".join(kept), sum(shared)
 
 
+def lines_digest(lines: list[tuple[int, str]]) -> int:
+    said = "\n".join(f"{k} {t}" for k, t in lines)
+    return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _digest(page):
+    @F.arrow_udf("long")
+    def digest(pages: pa.Array) -> pa.Array:
+        return pa.array([lines_digest(page_lines(x.as_py() or "")) for x in pages], pa.int64())
+
+    return digest(page)
+
+
 def _stream(batches):
-    """Rows in order of bucket and key; each own row is differenced with the REACH rows before and after it in its bucket."""
+    """Rows in order of bucket and key; each own row is differenced with the REACH nearest other line lists of its host on either side.
+
+    Consecutive rows with equal lists form one group, which waits until REACH other lists followed it or the host ends.
+    """
     names = ("page_id", "url", "text", "n_chars", "n_shared")
-    held: list[dict] = []
-    at, bucket = 0, None
     out: dict[str, list] = {k: [] for k in names}
-
-    def settle(k: int) -> None:
-        r = held[k]
-        if not r["own"]:
-            return
-        around = [j for j in range(max(0, k - REACH), min(len(held), k + REACH + 1)) if j != k and r["host"] and held[j]["host"] == r["host"]]
-        around.sort(key=lambda j: (-_near(r["path"], held[j]["path"]), abs(j - k), j))
-        text, n = difference(r["lines"], [held[j]["lines"] for j in around])
-        for name, value in zip(names, (r["page_id"], r["url"], text, len(text), n), strict=True):
-            out[name].append(value)
+    place, count = None, 0
+    before: dict[int, dict] = {}  # the last pages with different lists, latest last
+    seen: dict[int, int] = {}  # the last group of a list
+    waiting: list[dict] = []
+
+    def settle(g: dict) -> None:
+        results = {}
+        for page_id, url, path in g["members"]:
+            around = [(-_near(path, r["path"]), d, side, r) for side in (0, 1) for d, r in enumerate(g["sides"][side])]
+            around.sort(key=lambda x: x[:3])
+            order = tuple(x[1:3] for x in around)
+            if order not in results:
+                results[order] = difference(g["lines"], [x[3]["lines"] for x in around])
+            text, n = results[order]
+            for name, value in zip(names, (page_id, url, text, len(text), n), strict=True):
+                out[name].append(value)
+        g["settled"] = True
 
     def drain() -> pa.RecordBatch:
         done = pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k in ("url", "text") else pa.int64()) for k, v in out.items()], list(names))
@@ -239,23 +281,46 @@ def _stream(batches):
             v.clear()
         return done
 
+    def end() -> None:
+        for g in waiting:
+            if not g["settled"]:
+                settle(g)
+        waiting.clear()
+        before.clear()
+        seen.clear()
+
     for batch in batches:
         for r in batch.to_pylist():
-            if r["bucket"] != bucket:
-                for k in range(at, len(held)):
-                    settle(k)
-                held, at, bucket = [], 0, r["bucket"]
-            r["lines"] = page_lines(r.pop("html") or "")
-            held.append(r)
-            while at + REACH < len(held):
-                settle(at)
-                at += 1
-            if at > 4 * REACH:
-                del held[: at - REACH]
-                at = REACH
+            if (r["bucket"], r["host"]) != place or not r["host"]:
+                end()
+                place, count = (r["bucket"], r["host"]), 0
+            lines = page_lines(r["html"] or "")
+            digest = lines_digest(lines)
+            member = [(r["page_id"], r["url"], r["path"])] if r["own"] else []
+            if waiting and waiting[-1]["digest"] == digest:
+                waiting[-1]["members"] += member
+                continue
+            r = {"path": r["path"], "lines": before[digest]["lines"] if digest in before else lines}
+            last = seen.get(digest, -1)
+            for g in reversed(waiting):  # groups up to the last one of this list have it
+                if g["number"] < last:
+                    break
+                if not g["settled"] and g["digest"] != digest:
+                    g["sides"][1].append(r)
+                    if len(g["sides"][1]) == REACH:
+                        settle(g)
+            while waiting and waiting[0]["settled"]:
+                waiting.pop(0)
+            sides = [x for d, x in reversed(before.items()) if d != digest][:REACH], []
+            waiting.append({"number": count, "digest": digest, "lines": r["lines"], "members": member, "sides": sides, "settled": False})
+            seen[digest] = count
+            count += 1
+            before.pop(digest, None)
+            before[digest] = r
+            if len(before) > REACH + 1:
+                before.pop(next(iter(before)))
         yield drain()
-    for k in range(at, len(held)):
-        settle(k)
+    end()
     yield drain()
 
 
@@ -278,20 +343,27 @@ def _bucket(bounds: list[str]):
 
 
 def _halo(keys: DataFrame) -> list[tuple[str, int]]:
-    """(key, bucket) of the rows just outside each bucket: the REACH before its first and after its last row."""
-    first, last = Window.partitionBy("bucket").orderBy("key"), Window.partitionBy("bucket").orderBy(F.desc("key"))
-    edge = keys.withColumns({"i": F.row_number().over(first), "j": F.row_number().over(last)}).filter((F.col("i") <= REACH) | (F.col("j") <= REACH))
-    found = sorted((r["bucket"], r["key"]) for r in edge.select("bucket", "key").collect())  # 2 * REACH rows a bucket at most
+    """(key, bucket) of the rows outside each bucket that its rows can be paired with: the nearest row of each of the REACH + 1 nearest
+    line lists before its first and after its last row."""
+    def edge(nearest, order):
+        place = Window.partitionBy("bucket").orderBy(order("key"))
+        lists = keys.groupBy("bucket", "host", "digest").agg(nearest("key").alias("key"))
+        found = lists.withColumn("i", F.row_number().over(place)).filter(F.col("i") <= REACH + 1).collect()  # REACH + 1 rows a bucket at most
+        out: dict[int, list] = {}
+        for r in sorted(found, key=lambda r: r["i"]):
+            out.setdefault(r["bucket"], []).append(((r["host"], r["digest"]), r["key"]))
+        return out
+
+    heads, tails = edge(F.min, F.asc), edge(F.max, F.desc)
     out = set()
-    for k in range(1, len(found)):
-        if found[k][0] != found[k - 1][0]:
-            out.update((key, found[k][0]) for _, key in found[max(0, k - REACH) : k])
-            b = found[k - 1][0]
-            out.update((key, b) for _, key in found[k : k + REACH])
-            # a bucket of few rows also reaches over its neighbour
-            for before in {x for x, _ in found[max(0, k - REACH) : k]} - {b}:
-                size = sum(x > before for x, _ in found[:k])
-                out.update((key, before) for _, key in found[k : k + max(0, REACH - size)])
+    for ends, step in ((tails, 1), (heads, -1)):
+        near: dict[tuple, str] = {}  # nearest first
+        for b in sorted(ends)[::step]:
+            out.update((key, b) for key in near.values())
+            merged = dict(ends[b])
+            for name, key in near.items():
+                merged.setdefault(name, key)
+            near = dict(list(merged.items())[: REACH + 1])
     return sorted(out)
 
 
@@ -299,7 +371,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points), n_shared (lines shared with the page it was paired with).
 
     Null or empty html gives an empty text. A null or hostless url is paired with nothing. Repeated rows and equal URLs
-    are neighbours and, as copies, skipped in pairing. Other columns are not read. Every page is parsed whole. The html is
+    are neighbours and, as copies, skipped in pairing: pages with equal lines are passed over until others of the host are found. Near
+    copies, whose own lines differ in few words, are passed over as far as REACH different line lists on either side. Other columns are not read. Every page is parsed whole. The html is
     shuffled once, into ranges of the order by host and path; rows near a range's ends also go to the next range.
     """
     url = F.col("url").cast("string")
@@ -308,7 +381,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
     key = F.concat_ws("\x01", "host", "path", F.coalesce(F.lpad(F.hex("page_id"), 16, "0"), F.lit("")), F.coalesce("url", F.lit("")), F.hex(F.xxhash64("html")))
     rows = rows.withColumn("key", key)
-    keys, bounds = _buckets(keep(rows.select("key"), "keys"))
+    keys, bounds = _buckets(keep(rows.select("key", "host", _digest("html").alias("digest")), "keys"))
     spark = pages.sparkSession
     halo = spark.createDataFrame(_halo(keep(keys, "buckets")), "at string, bucket int")
     own = rows.withColumns({"bucket": _bucket(bounds)("key"), "own": F.lit(True)})

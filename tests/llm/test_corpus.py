@@ -140,6 +140,27 @@ def test_main_text(spark):
     assert html_diff.main_text(df.sparkSession.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_copies(spark):
+    """Pages without an article element: a run of 10 copies, and 70 % boilerplate in a class no list names."""
+    menu = "".join(f"<div class='zq'>menu entry number {j}</div>" for j in range(14))
+
+    def page(n):
+        return f"<body>{menu}" + "".join(f"<p>own{n}x{j} text{n}x{j} of{n} page{n}</p>" for j in range(6)) + "</body>"
+
+    rows = [(k, f"http://a.com/x/{k:02}", page("c" if 3 <= k < 13 else k)) for k in range(17)] + [(100 + k, f"http://b.com/{k}", page(0)) for k in range(8)]
+    rows += [(200 + k, f"http://d.com/x/{k}", page(5).replace("own5x0", f"date{k}")) for k in range(3)]
+    own = lambda n: "\n\n".join(f"own{n}x{j} text{n}x{j} of{n} page{n}" for j in range(6))
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.page_id: r.text for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert len(got) == len(rows)
+        for k in range(17):
+            assert got[k] == own("c" if 3 <= k < 13 else k)
+        assert all(got[100 + k].startswith("menu entry") and got[100 + k].endswith(own(0)) for k in range(8))  # copies alone say nothing
+        assert all(f"date{k}" in got[200 + k] and "own5x5" in got[200 + k] for k in range(3))  # so do near copies
+
+
 def test_main_text_of_fixture(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_diff.main_text(pages).collect()}
