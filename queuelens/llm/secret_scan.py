@@ -27,7 +27,10 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 # Parts of names and how sensitive they are.
 NAME_SCORES = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "secrets": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "privatekey": 3, "bearer": 2, "auth": 2, "authorization": 2, "dsn": 2, "cookie": 1, "session": 1, "signature": 2, "salt": 1}
 _KEY_WORDS = frozenset("api access private auth encryption signing master client service account".split())
-_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "dsn", "cookie", "session", "bearer", "signature")
+_ENDINGS = ("apikey", "privatekey", "passphrase", "password")
+#: A name that scores has one of these parts (`key`: no word of _KEY_WORDS counts without it) or one of the _ENDINGS.
+_STEMS = (*NAME_SCORES, "key")
+_APART = re.compile(r"[^a-z0-9]+")
 PLACEHOLDERS = frozenset("changeme change_me password passwd secret token example placeholder redacted none null true false undefined your_password your_token todo".split())
 LEAST_SCORE = 4.0
 MIN_LITERAL = 8
@@ -56,13 +59,24 @@ def name_score(name: str) -> int:
     parts = [p.lower() for p in _PARTS.findall(name)]
     score = max((NAME_SCORES.get(p, 0) for p in parts), default=0)
     joined = "".join(parts)
-    if any(joined.endswith(k) for k in ("apikey", "privatekey", "passphrase", "password")):
+    if any(joined.endswith(k) for k in _ENDINGS):
         score = max(score, 3)
     if "key" in parts and _KEY_WORDS & set(parts):
         score = max(score, 3)
     return score
 
 
+def _ends_in_joined(lower: str) -> bool:
+    joined = _APART.sub("", lower)
+    return any(k in joined for k in _ENDINGS)
+
+
+def _may_score(text: str) -> bool:
+    """Whether some name in the text can score. Parts stand whole in the text; endings may be set apart, as in `pass_word`."""
+    lower = text.lower()
+    return any(k in lower for k in _STEMS) or _ends_in_joined(lower)
+
+
 def literal_score(value: str) -> float:
     """0 for placeholders and references; else up to 3 by length, kinds of characters and entropy."""
     if len(value) < MIN_LITERAL or value.lower() in PLACEHOLDERS or re.search(r"\$\{|\{\{|<[^>]*>|%\(|^\$|\s", value):
@@ -77,8 +91,7 @@ def literal_score(value: str) -> float:
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly, in parts, or through constants."""
-    lower = text.lower()
-    if not ("=" in text or ":" in text) or not any(s in lower for s in _STEMS):
+    if not ("=" in text or ":" in text) or not _may_score(text):
         return []
     constants: dict[str, list[tuple[int, int, str]]] = {}
     found, at = set(), 0

@@ -302,6 +302,17 @@ def test_secrets(spark, odd, empty):
     assert out[1].spans == "" and out[1].base_sha256 == hashlib.sha256(b"").hexdigest() and secret_scan.secret_spans(empty).count() == 0
 
 
+def test_secrets_alone():
+    """One literal for each sensitive name, in a text that says nothing else."""
+    value = "aB3dE6fG9hJ2kL5m"
+    names = [*secret_scan.NAME_SCORES, *(f"{k}_key" for k in secret_scan._KEY_WORDS), "api_key", "privateKey", "pass_word", "pass_phrase"]
+    for name in names:
+        assert secret_scan.name_score(name) > 0
+        for written in (name, name.upper(), f"my_{name}"):
+            assert secret_scan.lexed_spans(f'{written} = "{value}"') == [(len(written) + 4, len(written) + 20)], written
+    assert not secret_scan.lexed_spans(f'colour = "{value}"')
+
+
 def test_quality(spark, odd, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = ordinal.train(docs, labels.filter("doc_id % 4 <> 0"))
