@@ -76,15 +76,9 @@ def task_slots(running: DataFrame, limits: DataFrame) -> DataFrame:
 def dispatch(pending: DataFrame, concurrency: int, slots: int) -> DataFrame:
     """First-in-first-out dispatch that skips, not blocks: an entry whose name has no free slot is passed over, and the scan stops at
     the concurrency. Rows: queue, seq, task_name."""
-    start = F.struct(F.lit(0).alias("running"), F.array().cast("array<string>").alias("names"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, x):
-        mine = F.size(F.filter(acc["names"], lambda v: v == x["task_name"]))
-        go = (acc["running"] < concurrency) & (mine < slots)
-        return F.struct((acc["running"] + go.cast("int")).alias("running"), F.when(go, F.concat(acc["names"], F.array(x["task_name"]))).otherwise(acc["names"]).alias("names"), F.when(go, F.concat(acc["out"], F.array(x["seq"]))).otherwise(acc["out"]).alias("out"))
-
-    item = F.struct("seq", "task_name")
-    return pending.groupBy("queue").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda a: a["out"]).alias("out")).select("queue", F.explode("out").alias("seq"))
+    by_name, by_queue = Window.partitionBy("queue", "task_name").orderBy("seq"), Window.partitionBy("queue").orderBy("seq")
+    free = pending.withColumn("mine", F.row_number().over(by_name)).filter(F.col("mine") <= slots)
+    return free.withColumn("running", F.row_number().over(by_queue)).filter(F.col("running") <= concurrency).select("queue", "seq")
 
 
 def reserve_gate(pools: DataFrame, running: DataFrame) -> DataFrame:

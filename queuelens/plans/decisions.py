@@ -81,7 +81,7 @@ def task_slots(spark, d):
 @query(""", r AS (SELECT queue, seq, task_name, row_number() OVER (PARTITION BY queue, task_name ORDER BY seq) AS n FROM log WHERE placement = 'ready' AND seq < 2000),
  s AS (SELECT queue, seq, row_number() OVER (PARTITION BY queue ORDER BY seq) AS m FROM r WHERE n <= 3) SELECT queue, seq FROM s WHERE m <= 5""")
 def dispatch_scan(spark, d):
-    return control.dispatch(task_log(spark, d).filter("placement = 'ready' and seq < 2000").select("queue", "seq", "task_name"), 5, 3)
+    return control.dispatch(task_log(spark, d).filter("placement = 'ready'").select("queue", "seq", "task_name"), 5, 3)
 
 
 @query("""SELECT pool, coalesce(busy, 0) AS busy, coalesce(busy, 0) < least(prefetch, concurrency) AS can_reserve FROM pools LEFT JOIN (SELECT queue, count(*) AS busy FROM log WHERE placement = 'pending' GROUP BY queue) USING (queue)""", "pools")

@@ -130,3 +130,20 @@ def test_handlers(spark):
     rows = spark.createDataFrame([("1", "a", b""), ("2", "b", b"")], "id string, name string, payload binary")
     got = {r.id: (r.ok, r.failure_class, r.error) for r in apply_handlers(rows, {"a": _fail}).collect()}
     assert got == {"1": (False, "permanent", "boom"), "2": (True, "", "")}
+
+
+def test_dispatch_reads_the_whole_queue(spark, tmp_path):
+    """A queue whose entries all come late, and names out of slots before it."""
+    from unittest import mock
+
+    from queuelens.plans import decisions
+
+    rows = [("a", k, f"n{k % 2}" if k < 3000 else f"m{k % 3}", "ready") for k in range(4000)] + [("late", k, f"n{k % 2}", "ready") for k in range(2500, 2600)] + [("a", 4000, "x", "dead")]
+    with mock.patch.object(decisions, "task_log", lambda *_: spark.createDataFrame(rows, "queue string, seq long, task_name string, placement string")):
+        got = sorted(map(tuple, decisions.QUERIES["dispatch_scan"][0](spark, "").collect()))
+    want, names, running = [], {}, {}
+    for q, k, n, p in sorted(rows, key=lambda r: r[1]):
+        if p == "ready" and running.get(q, 0) < 5 and names.get((q, n), 0) < 3:
+            names[q, n], running[q] = names.get((q, n), 0) + 1, running.get(q, 0) + 1
+            want.append((q, k))
+    assert got == sorted(want) and ("late", 2500) in got
