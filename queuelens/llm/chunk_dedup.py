@@ -115,6 +115,8 @@ def _repeats(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     d, i, s, z = unplanes(table["digests"]), unplanes(table["docs"]).view(np.int64), unplanes(table["starts"]).view(np.int64), unplanes(table["sizes"]).view(np.int64)
     order = np.lexsort((s, i, d))
     d, i, s, z = d[order], i[order], s[order], z[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])))  # rows with equal doc_id and text are one document
+    d, i, s, z = d[new], i[new], s[new], z[new]
     change = np.concatenate(([True], d[1:] != d[:-1]))
     first = np.flatnonzero(change)
     group = np.cumsum(change) - 1
@@ -124,7 +126,7 @@ def _repeats(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Every occurrence of a chunk that occurs more than once: doc_id, start, size (bytes), first_doc, is_first."""
+    """Every occurrence of a chunk that occurs at more than one (doc_id, start): doc_id, start, size (bytes), first_doc, is_first."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blobs = rows.mapInArrow(_chunk_blobs, "shard int, digests binary, docs binary, starts binary, sizes binary")
     return blobs.groupBy("shard").applyInArrow(_repeats, "doc_id long, start long, size long, first_doc long, is_first boolean")

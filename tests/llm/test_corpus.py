@@ -369,6 +369,17 @@ def test_chunks(spark, docs, odd, empty):
     assert {r.doc_id for r in chunk_dedup.repeated_passages(odd).collect()} == {4, 5, 7, 9} and chunk_dedup.repeated_passages(empty).count() == 0
 
 
+def test_chunks_of_repeated_rows(spark):
+    """A row given three times is one document: alone it repeats nothing, and with a second document it is the first occurrence once."""
+    text = " ".join(f"passage{k}" for k in range(80))
+    one = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")
+    assert chunk_dedup.repeated_passages(one).count() == 0
+    both = one.unionByName(spark.createDataFrame([(2, text)], one.schema))
+    found = {r.doc_id: r for r in chunk_dedup.repeated_passages(both).collect()}
+    assert set(found) == {1, 2} and found[1].removed_bytes == 0 and found[2].removed_bytes == found[2].end - found[2].start
+    assert {(r.doc_id, r.text == text) for r in chunk_dedup.remove_repeats(both).collect() if r.doc_id == 1} == {(1, True)}
+
+
 def test_long_text_in_pieces(monkeypatch):
     from queuelens.llm import common
 
