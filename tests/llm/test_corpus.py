@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -313,6 +314,48 @@ def test_secrets_alone():
     assert not secret_scan.lexed_spans(f'colour = "{value}"')
 
 
+def test_secrets_syntax():
+    text = '<password>aB3dE6fG9hJ2kL5m</password> <property name="db.password" value="Zx81-qqLm-0042"/>\nprivate_key: |\n  MIIEpAIBAAKCAQEA7\n  bq9fQ2Lmx011aa\nnext: 1\n<colour>aB3dE6fG9hJ2kL5m</colour>'
+    found = [text[a:b] for a, b in secret_scan.lexed_spans(text)]
+    assert found == ["aB3dE6fG9hJ2kL5m", "Zx81-qqLm-0042", "MIIEpAIBAAKCAQEA7", "bq9fQ2Lmx011aa"]
+
+
+HOSTILE = {
+    "doubling": "x = 'Zx81q9Lm'\n" + "x = x + x\n" * 90_000 + "password = x\n",
+    "chain": "token = 'Zx81q9Lm'\n" + "".join(f"token = token + 'a{k}'\n" for k in range(40_000)),
+    "spaces": "password" + " " * 1_000_000 + "x",
+    "quotes": "password='\"" * 100_000,
+    "escapes": 'password="\\' * 100_000,
+    "elements": "<password " * 100_000 + "</",
+    "nested blocks": "".join(" " * k + "password: |\n" for k in range(500)) + "\n" * 700_000,
+    "assignments": "token=abcdef " * 80_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_secrets_long(name):
+    """About a megabyte of text that makes patterns or constants grow takes seconds at most, not minutes."""
+    began = time.time()
+    secret_scan.scan(HOSTILE[name])
+    assert time.time() - began < 5
+    assert secret_scan.lexed_spans(HOSTILE["doubling"][:200] + "\npassword = x\n") == [(5, 13)]
+
+
+def test_secrets_base_equals_plain(spark, docs):
+    """Base columns of every document against the patterns as the contract writes them, on bytes, matched one by one."""
+    key = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+    got = {r.doc_id: r for r in secret_scan.secret_spans(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        raw, want = (r.text or "").encode(), []
+        for kind, (pattern, group, least) in enumerate(((key, 1, 6), (re.compile(rb"AKIA[A-Z0-9]+"), 0, 20), (re.compile(rb"[0-9a-f]+"), 0, 24))):
+            want += [(m.start(), kind, m.end()) for m in pattern.finditer(raw) if m.end(group) - m.start(group) >= least]
+        want = [(len(raw[:a].decode()), k, len(raw[:b].decode())) for a, k, b in want]
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(want))
+        kinds = collections.Counter(k for _, k, _ in want)
+        row = got[r.doc_id]
+        assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256) == (kinds[0], kinds[1], kinds[2], hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_quality(spark, odd, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = ordinal.train(docs, labels.filter("doc_id % 4 <> 0"))
