@@ -4,7 +4,8 @@ Pages are ordered by host and URL path; every page is paired with the nearest pa
 it. The text lines (blocks) of both are aligned by longest common subsequence and shared lines are deleted. Page
 structure decides first where it is explicit: lines inside an article element stay even when neighbours share them
 (texts may quote the same passage), lines inside navigation, advert, form, comment and similar elements go even when
-they are unique. Where a page has no article element, differencing decides alone.
+they are unique. Differencing decides the rest: every line of a page without an article element, and, anywhere, lines of
+elements whose names only contain a structure word (`search-results`, `notice-period`): these go if a neighbour has them.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ ROWS_A_BUCKET = 20_000
 REACH = 3
 #: A neighbour sharing this part of the characters is a copy, unless both pages have words of their own: it says nothing about boilerplate.
 COPY_SHARE = 0.6
+#: Lines of one page that the alignment holds bit masks of at a time: memory stays small for pages of any number of lines.
+LCS_BLOCK = 8192
 #: The part of a page's words that its lines must have beyond the other's lines to make them its own.
 OWN_SHARE = 0.1
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_PLAIN = re.compile(r"""[^>=]*+""")
+_GAP = re.compile(r"\s*+")
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -43,44 +48,79 @@ _HARD = frozenset("head nav footer aside form menu dialog button fieldset".split
 _WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus share sharing social related recommended widget toolbar pagination pager login search form skip".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _BODY = frozenset(("articlebody", "main-content", "article-body", "article-content", "post-content", "post-body", "entry-content"))
+#: Words that say nothing beside a structure word (`cookie-bar`), endings that are one even when written together (`usercomments`),
+#: and parts of a page's main element that are not the article.
+_FILL = frozenset("a an and bar block body box container content for global header inner item items link links list main my nav of our outer page panel row section site sticky the top bottom left right text top user users wrap wrapper".split())
+_ENDINGS = ("comment", "comments", "sidebar", "navbar", "cookiebar", "menu", "advert", "adverts", "breadcrumbs")
+_OTHERS = frozenset("comment comments reply replies related sponsored".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HIDDEN = re.compile(r"display\s*:\s*none")
 _CLOSES_P = _BLOCKS - {"body", "html", "option", "legend", "summary", "caption"}
 
 MAIN, OPEN, HARD = 0, 1, 2
+#: Added to MAIN or OPEN: a structure word is only a part of the element's name (`search-results`), so neighbours decide.
+SOFT = 4
 
 
-def _kind(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it holds the article."""
+def _kind(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate, whether it may be, and whether it holds the article."""
     main = tag in ("article", "main")
+    hard = tag in _HARD or (tag == "header" and not inside)
     if not attrs or attrs.isspace():
-        return tag in _HARD or (tag == "header" and not inside), main
-    words, role, ids = set(), "", set()
-    hidden = False
+        return hard, False, main
+    words, names, role, ids = set(), set(), "", set()
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            ids.update(value.lower().split())
+            names.update(n.lower().strip("-_") for n in value.split())
             words.update(w.lower() for w in _PARTS.findall(value))
         elif name == "role":
             role = value.lower()
         elif name == "itemprop":
             ids.add(value.lower())
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            hidden = True
-    main = main or role in ("main", "article") or bool(ids & _BODY)
-    hard = tag in _HARD or hidden or role in _ROLES or (tag == "header" and not inside)
-    if not main and tag not in ("html", "body"):
-        hard = hard or bool(words & _WORDS) or ("header" in words and not inside and not re.fullmatch("h[1-6]", tag))
-    elif main and words & {"comment", "comments", "reply", "replies", "related", "sponsored"}:
-        hard, main = True, False
-    return hard, main
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+            hard = True
+    main = main or role in ("main", "article") or bool((ids | names) & _BODY)
+    hard = hard or role in _ROLES
+    if tag in ("html", "body"):
+        return hard, False, main
+    if main:
+        gone = bool(words & _OTHERS)
+        return hard or gone, False, main and not gone
+    plain = {re.sub(r"[^a-z]", "", n) for n in names}
+    said = bool(plain & _WORDS) or any(n.endswith(_ENDINGS) for n in plain) or ("header" in plain and not inside and tag not in _HEADINGS)
+    part = bool(words & _WORDS) or ("header" in words and not inside and tag not in _HEADINGS)
+    whole = part and words <= _WORDS | _FILL
+    return hard or ((said or whole) and tag not in _HEADINGS), part or said, False
+
+
+def _tag_end(source: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """End of the attributes and of the tag whose name ended at `at`. Quotes open after an equals sign only and must close; each
+    character is read once, as a quote is looked for only where the page has a later one."""
+    while True:
+        at = _PLAIN.match(source, at).end()
+        if at == len(source):
+            return at, at
+        if source[at] == ">":
+            return at, at + 1
+        at = _GAP.match(source, at + 1).end()
+        quote = source[at : at + 1]
+        if quote in ("'", '"') and last[quote] > at:
+            at = source.index(quote, at + 1) + 1
+        elif quote:  # one that never closes is a character like any other
+            at += quote != ">"
 
 
 def page_lines(source: str) -> list[tuple[int, str]]:
-    """The blocks of a page in order, each with MAIN, OPEN or HARD; white space is folded, references are decoded."""
+    """The blocks of a page in order, each with MAIN, OPEN or HARD, the first two perhaps with SOFT; white space is folded, references
+    are decoded. The time is in proportion to the page's size, whatever its markup."""
     lines: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
     parts: list[str] = []
     at, n, level = 0, len(source), OPEN
+    last = {q: source.rfind(q) for q in "'\""}
+    raw_ends: dict[str, int] = {}
 
     def flush():
         if parts:
@@ -90,26 +130,42 @@ def page_lines(source: str) -> list[tuple[int, str]]:
             parts.clear()
 
     while at < n:
-        m = _TAG.search(source, at)
-        if not m:
+        begin = source.find("<", at)
+        if begin < 0:
             parts.append(source[at:])
             break
-        if m.start() > at:
-            parts.append(source[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
+        if begin > at:
+            parts.append(source[at:begin])
+        follows = source[begin + 1 : begin + 2]
+        if follows in ("!", "?") and follows:
+            if source.startswith("<!--", begin):
+                end = source.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else n
+            elif source.startswith("<![CDATA[", begin):
+                end = source.find("]]>", begin + 9)
+                parts.append(html.escape(source[begin + 9 : end if end >= 0 else n]))
+                at = end + 3 if end >= 0 else n
+            else:
+                end = source.find(">", begin)
+                at = end + 1 if end >= 0 else n
+            continue
+        close = follows == "/"
+        name = _NAME.match(source, begin + 1 + close)
+        if not name:
+            parts.append("<")
+            at = begin + 1
             continue
-        close, attrs, tag = m[1] or m[4], m[3] or m[6] or "", tag.lower()
+        tag = name[0].lower()
+        end, at = _tag_end(source, name.end(), last)
+        attrs = source[name.end() : end]
         if close:
             if tag in _BLOCKS:
                 flush()
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 flush_needed = tag not in _BLOCKS
                 while stack:
                     t, before = stack.pop()
+                    opened[t] -= 1
                     if before != level:
                         if flush_needed:
                             flush()
@@ -117,12 +173,15 @@ def page_lines(source: str) -> list[tuple[int, str]]:
                     if t == tag:
                         break
             continue
-        if tag in _RAW and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else n
+        alone = attrs.rstrip().endswith("/")
+        if tag in _RAW and not alone:
+            if raw_ends.get(tag, 0) >= 0:
+                found = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(source, at)
+                raw_ends[tag] = found.end() if found else -1
+            at = raw_ends[tag] if raw_ends[tag] >= 0 else n
             parts.append(" ")
             continue
-        if tag == "br" or tag in _VOID:
+        if tag in _VOID:
             if tag == "hr":
                 flush()
             else:
@@ -130,21 +189,23 @@ def page_lines(source: str) -> list[tuple[int, str]]:
             continue
         if tag in _BLOCKS:
             flush()
-            if tag in _CLOSES_P:
+            if tag in _CLOSES_P and opened["p"]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         level = stack[k][1]
+                        opened.subtract(t for t, _ in stack[k:])
                         del stack[k:]
                         break
                     if stack[k][0] in _CLOSES_P:
                         break
-        if attrs.rstrip().endswith("/") and tag not in _BLOCKS:
+        if alone and tag not in _BLOCKS:
             continue
-        hard, main = _kind(tag, attrs, level == MAIN)
-        new = HARD if level == HARD or hard else MAIN if main else level
+        hard, soft, main = _kind(tag, attrs, level & ~SOFT == MAIN)
+        new = HARD if level == HARD or hard else MAIN if main else level | SOFT if soft else level
         if new != level and tag not in _BLOCKS:
             flush()
         stack.append((tag, level))
+        opened[tag] += 1
         level = new
     flush()
     return lines
@@ -153,41 +214,52 @@ def page_lines(source: str) -> list[tuple[int, str]]:
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
     """For each item of a, whether a longest common subsequence of a and b takes it (bit-parallel, Hirschberg halves)."""
     taken = [False] * len(a)
+    both = set(a) & set(b)
+    where = [k for k, v in enumerate(a) if v in both]
+    a, b = [a[k] for k in where], [v for v in b if v in both]
 
     def lengths(x: list[int], y: list[int]) -> list[int]:
-        """LCS length of x with every prefix of y."""
-        masks: dict[int, int] = {}
-        for k, v in enumerate(y):
-            masks[v] = masks.get(v, 0) | 1 << k
-        full = (1 << len(y)) - 1
-        row = full
-        for v in x:
-            hit = row & masks.get(v, 0)
-            row = ((row + hit) | (row - hit)) & full
-        bits, out, count = ~row & full, [0], 0
-        for digit in reversed(format(bits, f"0{len(y)}b")) if y else ():
-            count += digit == "1"
-            out.append(count)
+        """LCS length of x with every prefix of y, in blocks of y that hand a carry for each item of x to the next."""
+        out, count, carries = [0], 0, [0] * len(x)
+        for k in range(0, len(y), LCS_BLOCK):
+            part = y[k : k + LCS_BLOCK]
+            masks: dict[int, int] = {}
+            for j, v in enumerate(part):
+                masks[v] = masks.get(v, 0) | 1 << j
+            width = len(part)
+            full = (1 << width) - 1
+            row = full
+            for i, v in enumerate(x):
+                hit = row & masks.get(v, 0)
+                total = row + hit + carries[i]
+                carries[i] = total >> width
+                row = (total | (row - hit)) & full
+            for digit in reversed(format(~row & full, f"0{width}b")):
+                count += digit == "1"
+                out.append(count)
         return out
 
+    found = [False] * len(a)
     work = [(0, len(a), 0, len(b))]
     while work:
         i, j, k, m = work.pop()
         while i < j and k < m and a[i] == b[k]:
-            taken[i] = True
+            found[i] = True
             i, k = i + 1, k + 1
         while i < j and k < m and a[j - 1] == b[m - 1]:
             j, m = j - 1, m - 1
-            taken[j] = True
+            found[j] = True
         if i == j or k == m:
             continue
         if j - i == 1:
-            taken[i] = a[i] in b[k:m]
+            found[i] = a[i] in b[k:m]
             continue
         half = (i + j) // 2
         head, tail = lengths(a[i:half], b[k:m]), lengths(a[half:j][::-1], b[k:m][::-1])[::-1]
         cut = max(range(m - k + 1), key=lambda c: head[c] + tail[c])
         work += [(i, half, k, k + cut), (half, j, k + cut, m)]
+    for k, f in zip(where, found, strict=True):
+        taken[k] = f
     return taken
 
 
@@ -232,8 +304,8 @@ def difference(page: list[tuple[int, str]], others: list[list[tuple[int, str]]])
         if common < COPY_SHARE * max(1, weight, sum(len(t) for k, t in other if k != HARD)) or _both_own(page, other, found):
             shared = found
             break
-    has_main = any(k == MAIN for k, _ in page)
-    kept = [t for (k, t), s in zip(page, shared, strict=True) if k == MAIN or (k == OPEN and not has_main and not s)]
+    has_main = any(k & ~SOFT == MAIN for k, _ in page)
+    kept = [t for (k, t), s in zip(page, shared, strict=True) if k == MAIN or (not s and (k == MAIN | SOFT or (k != HARD and not has_main)))]
     return "\n\n".join(kept), sum(shared)
 
 

@@ -171,7 +171,34 @@ def test_main_text_of_fixture(spark):
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
 
 
-def test_lcs():
+def test_main_text_structure_words():
+    """Names that are structure words go; names that only contain one are decided by a neighbour, and stay where there is none."""
+    page = html_diff.page_lines
+    article = "<article><p>first</p><div class='search-results'>real one</div><div class='social-studies'>real two</div><p class='notice-period'>real three</p><div class='comments'><p>gone</p></div></article>"
+    assert html_diff.difference(page(article), [])[0] == "first\n\nreal one\n\nreal two\n\nreal three"
+    other = page("<article><p>another page of its own</p><div class='social-studies'>real two</div></article>")
+    assert html_diff.difference(page(article), [other])[0] == "first\n\nreal one\n\nreal three"
+    assert html_diff.difference(page("<main><h2 class='comment-title'>On comment</h2><p>x</p></main>"), [])[0] == "On comment\n\nx"
+    for name in ("usercomment", "cookiebar", "topmenu", "user-comment", "cookie-bar", "sideBar", "ad", "card advert"):
+        assert html_diff.difference(page(f"<p>stays</p><div class='{name}'>goes</div>"), [])[0] == "stays", name
+
+
+HOSTILE_PAGES = {
+    "unclosed tags": '<div class="x" ' * 70_000, "quotes": "<a t='>' " * 110_000 + 'z="', "inline": "<b>" * 100_000 + "<div></div>" * 60_000, "closing": "<div>" * 100_000 + "</span>" * 70_000,
+    "open script": "<script>" * 120_000, "comments": "<!--" * 250_000, "equals": '<a ="' * 200_000, "lines": "<p>a" * 200_000, "names": "<a" * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE_PAGES)
+def test_main_text_long(name):
+    began = time.time()
+    html_diff.page_lines(HOSTILE_PAGES[name])
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_lcs(monkeypatch, block):
+    monkeypatch.setattr(html_diff, "LCS_BLOCK", block)
     rng = np.random.default_rng(2)
     for _ in range(60):
         a, b = (rng.integers(0, 6, rng.integers(0, 14)).tolist() for _ in range(2))
