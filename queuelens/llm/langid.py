@@ -37,9 +37,10 @@ def learn(train: DataFrame) -> dict[str, bytes]:
     picked = train.filter("lang is not null and text is not null and doc_id is not null").groupBy("lang", F.pmod(h, F.lit(STRETCHES)).alias("k")).agg(F.min(h).alias("h")).select("lang", "h")
     start = F.pmod(h, F.greatest(F.length("text") - STRETCH_CHARS, F.lit(1))) + 1
     text = _letters(F.substring(F.col("text"), start.cast("int"), F.lit(STRETCH_CHARS)))
-    rows = train.withColumn("h", h).join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", text.alias("t")).collect()  # at most STRETCHES a language
+    drawn = train.withColumn("h", h).join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", text.alias("t"))
+    rows = drawn.groupBy("lang", "h").agg(F.min("t").alias("t")).collect()  # at most STRETCHES a language, however often an id is repeated
     out: dict[str, list[str]] = {}
-    for r in sorted(set(rows)):
+    for r in sorted(rows):
         out.setdefault(r["lang"], []).append(r["t"])
     return {k: " ".join(v).encode() for k, v in out.items() if any(v)}
 
@@ -78,11 +79,12 @@ def _predictor(dictionaries: dict[str, bytes]):
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1), rejected (the margin is narrow).
 
-    A null text or one without letters is `und` with score 0, as is any text when nothing was learned. Ties go to the first
+    A null text or one without letters (marks alone are none) is `und` with score 0, as is any text when nothing was learned. Ties go to the first
     language by name. Repeated rows give repeated results; a null doc_id counts as not held out. Other columns are not read.
     """
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), _letters(F.col("text").cast("string")).alias("text"))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    spoken = F.when(F.regexp_like(text, F.lit(r"\p{L}")), _letters(text))
+    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), spoken.alias("text"))
     return rows.mapInArrow(_predictor(dictionaries), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
