@@ -143,12 +143,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> tuple
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Fits on at most MAX_LABELLED labelled documents; labels with a null are not used."""
+    """Fits on at most MAX_LABELLED labelled documents; labels with a null are not used. Of rows that repeat a doc_id one counts, the one
+    whose text has the smallest hash, so the same tables give the same model."""
     grade = (F.col("quality") - F.col("toxic") + 1).cast("int")
     rated = labels.select(F.col("doc_id").cast("long").alias("of_doc"), grade.alias("grade")).filter("of_doc is not null and grade between 0 and 2")
     rated = rated.groupBy("of_doc").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("of_doc"), "of_doc").limit(MAX_LABELLED)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_texts()).join(F.broadcast(rated), F.col("doc_id") == F.col("of_doc"))
-    sample = rows.select(F.col("grade").cast("long").alias("grade"), "text", "clean").mapInArrow(_extract, "grade long, x array<int>").limit(2 * MAX_LABELLED).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rated), F.col("doc_id") == F.col("of_doc"))
+    once = rows.groupBy("of_doc").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "grade")).alias("x")).select(F.col("x.grade").cast("long").alias("grade"), F.col("x.text").alias("text"))
+    sample = once.select("grade", *_texts()).mapInArrow(_extract, "grade long, x array<int>").toArrow()
     x = sample["x"].combine_chunks()
     flat, offs = x.values.to_numpy(), x.offsets.to_numpy()
     texts = [flat[offs[k] : offs[k + 1]] for k in range(len(x))]
