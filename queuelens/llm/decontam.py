@@ -24,8 +24,10 @@ SHORT = 7
 MIN_MATCHED = 13
 ITEM_SHARE = 0.8
 PENALTY = 2
-#: Benchmark items held by a task at a time; a larger benchmark is searched in several passes over the documents.
-ITEMS_AT_ONCE = 20_000
+#: An item of one word is part of no text in particular; it is not searched.
+MIN_ITEM = 2
+#: Bytes of benchmark text held by a task at a time; a larger benchmark is searched in several passes over the documents.
+BYTES_AT_ONCE = 8 << 20
 #: Upper bits of a seed by which most windows of a document are told to be in no item before the sorted seeds are searched.
 COARSE_BITS = 20
 
@@ -58,9 +60,11 @@ def build_index(items: list[tuple[int, str]]):
     """Sorted seed hashes with item and position, the items' word hashes, and the masks in use (short items get their own)."""
     data, offs = text_buffers(pa.array([t or "" for _, t in items], pa.string()))
     words = [h[a : a + n] for _, counts, h, _, _ in doc_words(data, offs) for a, n in zip(np.concatenate(([0], np.cumsum(counts)[:-1])), counts, strict=True)]
-    masks = list(MASKS) + [m for n in sorted({len(w) for w in words if 0 < len(w) < SHORT}) for m in short_masks(n)]
+    masks = list(MASKS) + [m for n in sorted({len(w) for w in words if MIN_ITEM <= len(w) < SHORT}) for m in short_masks(n)]
     parts = []
     for k, w in enumerate(words):
+        if len(w) < MIN_ITEM:
+            continue
         for m, mask in enumerate(masks):
             if m < len(MASKS) or len(mask) == len(w):
                 s = seeds(w, mask)
@@ -148,7 +152,8 @@ def _clear_of(index):
 def _indexes(benchmark: DataFrame):
     """Yields the broadcast index of one bounded slice of the benchmark, the stated query set, at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_only(F.col("text").cast("string")).alias("text"))
-    passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-size // BYTES_AT_ONCE))
     for k in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         index = build_index(sorted({(r["item_id"], r["text"] or "") for r in part}, key=str))
@@ -160,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, doc_start, item_start, n_words, n_matched (in words).
 
     A document overlaps an item where a stretch with at most a third of substitutions matches MIN_MATCHED words, or
-    ITEM_SHARE of a shorter item. The stretch with the most matches is given. Null or empty texts and items match nothing; repeated rows give
+    ITEM_SHARE of a shorter item of two words or more. The stretch with the most matches is given. Null or empty texts and items match nothing; repeated rows give
     repeated results; a null id is returned as null; no other column is read. Either table may be empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_only(F.col("text").cast("string")).alias("text"))
