@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import time
 
@@ -219,6 +220,33 @@ def test_language(spark, docs, odd, empty):
     assert got.score.between(0, 1).all()
     out = {r.doc_id: r for r in langid.language_id(odd).collect()}
     assert out[1].lang_pred == out[2].lang_pred == out[3].lang_pred == "und" and langid.language_id(empty).count() == 0
+    marks = spark.createDataFrame([(1, "\u0301 \u0300", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert langid.predict(marks, {"en": b"the and of", "fr": b"le et de"}).first().lang_pred == "und"
+
+
+def test_language_equals_plain(spark):
+    """Every prediction against compressing the letters of each text with each dictionary, chunk by chunk."""
+    import unicodedata
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = langid.learn(docs.filter(~langid.held_out(docs.doc_id)))
+    repeated = docs.unionByName(docs)
+    assert langid.learn(repeated.filter(~langid.held_out(docs.doc_id))) == learned
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, learned).collect()}
+    for r in docs.collect():
+        raw = " ".join("".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (r.text or "").lower()).split(" ")).encode()
+        raw = re.sub(rb" +", b" ", raw).strip(b" ")
+        if not raw:
+            assert got[r.doc_id] == "und"
+            continue
+        sizes = {}
+        for name, words_ in learned.items():
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(words_, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(coder.compress(raw[k : k + langid.CHUNK])) for k in range(0, len(raw), langid.CHUNK))
+        best = min(sizes.values())
+        assert sizes[got[r.doc_id]] <= best + 2 * (len(raw) // langid.CHUNK + 1)
 
 
 def test_contamination(spark, odd, empty):
@@ -239,7 +267,7 @@ def test_contamination_passes(spark, monkeypatch):
     texts = {r.item_id: " ".join(re.findall(r"\w+", r.text.lower())) for r in bench.collect()}
     plain = {(r.doc_id, k) for r in docs.collect() for k, t in texts.items() if t in " ".join(re.findall(r"\w+", r.text.lower()))}
     assert plain <= once and len(once) < len(plain) + 10
-    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 15)
+    monkeypatch.setattr(decontam, "BYTES_AT_ONCE", 3000)
     assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == once
 
 
@@ -252,7 +280,7 @@ def test_contamination_substitutions(spark):
     rng = np.random.default_rng(7)
     items, docs, want = [], [], set()
     for k in range(600):
-        n = int(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 18, 20, 30, 45]))
+        n = int(rng.choice([2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 18, 20, 30, 45]))
         item = [f"i{k}w{j}" for j in range(n)]
         same = [True] * n
         for j in rng.choice(n, int(rng.integers(0, n // 2 + 1)), replace=False):
@@ -267,6 +295,12 @@ def test_contamination_substitutions(spark):
     assert got == want and len(want) > 300
 
 
+def test_contamination_one_word(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "quick fox")], "item_id long, text string")
+    got = decontam.contamination(spark.createDataFrame([(1, "the end"), (2, "a Quick, fox!")], "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(2, 2)]
+
+
 def test_contamination_masks():
     """Strings of matches that no mask hits, of any length: none is admitted."""
     masks = [(int(m, 2), len(m)) for m in decontam.MASKS]
@@ -391,11 +425,32 @@ def test_quality(spark, odd, empty):
     assert (got.kept == good).mean() > 0.93 and got.kept[good].mean() > 0.97
     assert (np.diff(model[1]) > 0).all() and got.expected_grade.between(0, 2).all()
     assert ordinal.grade(odd, model).count() == len(ODD) and ordinal.grade(empty, model).count() == 0
+    part = docs.join(labels.select("doc_id").limit(300), "doc_id")
+    once, twice = ordinal.train(part, labels), ordinal.train(part.unionByName(part).repartition(7), labels)
+    assert (once[0] == twice[0]).all() and (once[1] == twice[1]).all()  # repeated rows change nothing
     nothing = ordinal.train(docs, labels.limit(0))
     assert ordinal.grade(odd, nothing).filter("kept").count() == len(ODD)
     assert ordinal.select_good(odd, model).columns == odd.columns
 
 
+def test_quality_scores_equal_plain(spark, docs):
+    """Scores of a known model against sums over each text's own set of features."""
+    rng = np.random.default_rng(11)
+    model = rng.normal(0, 0.05, 1 << ordinal.BITS), np.array([-0.5, 0.4])
+    rows = docs.select("doc_id", *ordinal._texts()).collect()
+    got = {r.doc_id: r for r in ordinal.grade(docs, model).collect()}
+    import pyarrow as pa
+
+    for r in rows[:120]:
+        features = set()
+        for *_, feature in ordinal.batch_features(pa.array([r.text]), pa.array([r.clean])):
+            kind = set(feature.tolist())
+            features = (*features, *kind)
+        z = sum(model[0][f] for f in features)
+        tails = [1 / (1 + math.exp(c - z)) for c in model[1]]
+        assert abs(got[r.doc_id].tail - tails[-1]) < 1e-9 and abs(got[r.doc_id].expected_grade - sum(tails)) < 1e-9 and got[r.doc_id].kept == (tails[-1] >= ordinal.LEAST_TAIL)
+
+
 def test_sharding(spark, docs, odd, empty):
     out = sharding.shard_digest(docs, 20_000).toPandas()
     sums = out.groupby("shard").agg(n=("n_bytes", "sum"), said=("shard_bytes", "first"), docs=("doc_id", "count"))
