@@ -1,8 +1,8 @@
 """Repeated passages by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes cuts texts where its upper bits are zero, so cuts depend on nearby bytes alone and
+A gear rolling hash over the last 16 bytes cuts texts where its upper bits are zero, so cuts depend on nearby bytes alone and
 an insertion moves no cut but its own. Chunks are deduplicated by a 64-bit digest; a run of chunks that all occur elsewhere,
-at least MIN_RUN bytes long, is a repeated passage. The first occurrence (smallest doc_id, then place) of a chunk stays.
+with at least MIN_WORDS words, is a repeated passage. It stays in the first document (the smallest doc_id).
 """
 
 from __future__ import annotations
@@ -11,15 +11,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import _BYTE, PIECE, U64, _power, mix, text_buffers
+from .common import _BYTE, _SPACE, PIECE, U64, _power, keep, mix, text_buffers
 
-WINDOW = 32
+WINDOW = 16
 #: Upper bits of the gear hash that are zero at a cut: chunks have 2**CUT_BITS bytes on average.
-CUT_BITS = 5
-MIN_RUN = 120
-SHARD_BITS = 11
+CUT_BITS = 4
+#: Words that begin in a run. A run lacks up to some 10 words of the passage at its ends, before the first and after the last cut.
+MIN_WORDS = 26
+#: Bytes of text whose chunks one shard holds, about; the number of shards follows the input.
+SHARD_BYTES = 32 << 20
 FLUSH = 1_000_000
+#: A digest with so many chunks in one flush, in several documents, is hot: its chunks are known to be repeated where they are found and
+#: do not meet in one task; only its first place is worked out there.
+HOT = 64
+#: Hot digests whose first places are broadcast at most; more are joined with salt.
+MAX_BROADCAST = 500_000
+SALTS = 32
 
 _GEAR = (mix(np.arange(301, 557, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 
@@ -34,7 +43,7 @@ def gear(raw: np.ndarray) -> np.ndarray:
             h = h.copy()
             h[w:] += more
         w *= 2
-    return h
+    return h << np.uint32(32 - WINDOW)
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
@@ -72,18 +81,16 @@ def digests(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunk_blobs(batches):
-    schema = pa.schema([("shard", pa.int32()), ("digests", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary())])
+def _flushes(batches):
+    """Arrays (digest, doc, start, size, words that begin in it) of about FLUSH chunks, sorted by digest, doc and start, each once."""
     held, n = [], 0
 
     def flush():
-        d, i, s, z = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(d, kind="stable")
-        d, i, s, z = d[order], i[order], s[order], z[order]
-        shard = (d >> U64(64 - SHARD_BITS)).astype(np.int32)
-        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
-        rows = [(int(shard[a]), planes(d[a:b]), planes(i[a:b].view(U64)), planes(s[a:b].view(U64)), planes(z[a:b].view(U64))) for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        d, i, s, z, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((s, i, d))
+        d, i, s, z, w = d[order], i[order], s[order], z[order], w[order]
+        once = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])))
+        return d[once], i[once], s[once], z[once], w[once]
 
     for batch in batches:
         data, offs = text_buffers(batch.column(1))
@@ -93,7 +100,10 @@ def _chunk_blobs(batches):
                 continue
             ends = cuts(raw).astype(np.int64)
             sizes = np.diff(ends, prepend=0)
-            held.append((digests(raw, ends), np.full(len(ends), doc, np.int64), ends - sizes, sizes))
+            solid = ~_SPACE[raw]
+            solid[1:] &= _SPACE[raw[:-1]]
+            words = np.add.reduceat(solid.astype(np.int64), ends - sizes)
+            held.append((digests(raw, ends), np.full(len(ends), doc, np.int64), ends - sizes, sizes, words))
             n += len(ends)
             if n >= FLUSH:
                 yield flush()
@@ -102,6 +112,40 @@ def _chunk_blobs(batches):
         yield flush()
 
 
+def _hot(d: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Which of the sorted chunks have a hot digest."""
+    first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    size = np.diff(np.append(first, len(d)))
+    several = i[first] != i[first + size - 1]
+    return np.repeat((size >= HOT) & several, size)
+
+
+def _chunk_blobs(bits: int):
+    """Chunks by shard. Of a hot digest only its first chunk and one of another document go there, marked by size 0."""
+    schema = pa.schema([("shard", pa.int32()), ("digests", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary())])
+
+    def run(batches):
+        for d, i, s, z, w in _flushes(batches):
+            hot = _hot(d, i)
+            z = np.where(hot, 0, z | w << 32)
+            edge = np.concatenate(([True], d[1:] != d[:-1]))
+            ends = hot & (edge | np.concatenate((edge[1:], [True])))
+            taken = ~hot | ends
+            d, i, s, z = d[taken], i[taken], s[taken], z[taken]
+            shard = (d >> U64(64 - bits)).astype(np.int32)
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
+            rows = [(int(shard[a]), planes(d[a:b]), planes(i[a:b].view(U64)), planes(s[a:b].view(U64)), planes(z[a:b].view(U64))) for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _hot_chunks(batches):
+    for d, i, s, z, w in _flushes(batches):
+        hot = _hot(d, i)
+        yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (d.view(np.int64), i, s, z, w)], ["digest", "doc_id", "start", "size", "words"])
+
+
 def planes(x: np.ndarray) -> bytes:
     """Numbers byte by byte in planes, so that equal upper bytes lie together and compress."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -111,35 +155,68 @@ def unplanes(column) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view("<u8").ravel() for x in column])
 
 
-def _repeats(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    d, i, s, z = unplanes(table["digests"]), unplanes(table["docs"]).view(np.int64), unplanes(table["starts"]).view(np.int64), unplanes(table["sizes"]).view(np.int64)
-    order = np.lexsort((s, i, d))
-    d, i, s, z = d[order], i[order], s[order], z[order]
-    new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])))  # rows with equal doc_id and text are one document
-    d, i, s, z = d[new], i[new], s[new], z[new]
-    change = np.concatenate(([True], d[1:] != d[:-1]))
-    first = np.flatnonzero(change)
-    group = np.cumsum(change) - 1
-    many = np.diff(np.append(first, len(d)))[group] > 1
-    lead = first[group]
-    return pa.table({"doc_id": i[many], "start": s[many], "size": z[many], "first_doc": i[lead][many], "is_first": change[many]})
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Every occurrence of a chunk that occurs at more than one (doc_id, start): doc_id, start, size (bytes), first_doc, is_first."""
+def _repeats(across: bool):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        d, i, s, z = unplanes(table["digests"]), unplanes(table["docs"]).view(np.int64), unplanes(table["starts"]).view(np.int64), unplanes(table["sizes"]).view(np.int64)
+        order = np.lexsort((z, s, i, d))
+        d, i, s, z = d[order], i[order], s[order], z[order]
+        new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])))  # rows with equal doc_id and text are one document
+        d, i, s, z = d[new], i[new], s[new], z[new]
+        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        size = np.diff(np.append(first, len(d)))
+        again = (i[first] != i[first + size - 1]) if across else size > 1
+        group = np.repeat(np.arange(len(first)), size)
+        hot = np.bincount(group, z == 0, len(first)) > 0
+        lead = first[group]
+        many = again[group] & (z > 0)
+        leads = first[hot]
+        none = np.zeros(len(leads), np.int64)
+        parts = ((d.view(np.int64)[many], d.view(np.int64)[leads]), (i[many], none), (s[many], none), (z[many] & 0xFFFFFFFF, none), (z[many] >> 32, none), (i[lead][many], i[leads]), (s[lead][many], s[leads]))
+        names = ("digest", "doc_id", "start", "size", "words", "first_doc", "first_start")
+        return pa.table({n: np.concatenate(x) for n, x in zip(names, parts, strict=True)})
+
+    return run
+
+
+def shard_bits(docs: DataFrame) -> int:
+    """Bits of a digest that choose its shard, from the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(24, max(4, int(size // SHARD_BYTES).bit_length()))
+
+
+def repeated_chunks(docs: DataFrame, across: bool = True) -> DataFrame:
+    """Every occurrence of a chunk that occurs in more than one document (or, unless `across`, at more than one place): doc_id, start,
+    size (bytes), words (that begin in it), first_doc, is_first."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blobs = rows.mapInArrow(_chunk_blobs, "shard int, digests binary, docs binary, starts binary, sizes binary")
-    return blobs.groupBy("shard").applyInArrow(_repeats, "doc_id long, start long, size long, first_doc long, is_first boolean")
+    bits = shard_bits(rows)
+    blobs = rows.mapInArrow(_chunk_blobs(bits), "shard int, digests binary, docs binary, starts binary, sizes binary")
+    found = keep(blobs.groupBy("shard").applyInArrow(_repeats(across), "digest long, doc_id long, start long, size long, words long, first_doc long, first_start long"), "chunks")
+    leads = found.filter("size = 0").select(F.col("digest").alias("of"), "first_doc", "first_start")
+    hot = rows.mapInArrow(_hot_chunks, "digest long, doc_id long, start long, size long, words long")
+    n = leads.count()
+    if not n:
+        hot = found.limit(0)
+    elif n <= MAX_BROADCAST:
+        hot = hot.join(F.broadcast(leads), F.col("digest") == F.col("of"))
+    else:
+        leads = leads.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hot = hot.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(leads, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt")))
+    every = found.filter("size > 0").select("doc_id", "start", "size", "words", "first_doc", "first_start").unionByName(hot.select("doc_id", "start", "size", "words", "first_doc", "first_start"))
+    return every.select("doc_id", "start", "size", "words", "first_doc", ((F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))).alias("is_first"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per repeated passage: doc_id, start, end, n_chunks, removed_bytes, first_doc_id (of its first chunk).
+    """One row per passage that several documents hold: doc_id, start, end, n_chunks, n_words, removed_bytes, first_doc_id (of its first chunk).
 
-    Places are bytes of the UTF-8 text. removed_bytes counts the chunks that are not the first occurrence; 0 means that this is the
-    passage the others repeat. A passage may repeat within one document. Null and empty texts have none. Rows with equal doc_id and
+    Places are bytes of the UTF-8 text. removed_bytes counts the chunks that an earlier document (a smaller doc_id) has; 0 means that this is the
+    passage the others repeat. What repeats within one document alone is no passage. Null and empty texts have none. Rows with equal doc_id and
     text are the same document; a row with a null doc_id takes no part. Other columns are not read.
     """
-    chunks = repeated_chunks(docs).distinct()
+    return passages(repeated_chunks(docs).distinct())
+
+
+def passages(chunks: DataFrame) -> DataFrame:
+    """Runs of adjoining repeated chunks with at least MIN_WORDS words."""
     order = Window.partitionBy("doc_id").orderBy("start", "size")
     ends = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = chunks.withColumn("new", F.coalesce(F.col("start") > ends, F.lit(True)).cast("int"))
@@ -148,26 +225,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.min("start").alias("start"),
         F.max(F.col("start") + F.col("size")).alias("end"),
         F.count("*").alias("n_chunks"),
-        F.sum(F.when(~F.col("is_first"), F.col("size")).otherwise(0)).alias("removed_bytes"),
+        F.sum("words").alias("n_words"),
+        F.sum(F.when(F.col("first_doc") != F.col("doc_id"), F.col("size")).otherwise(0)).alias("removed_bytes"),
         F.min_by("first_doc", "start").alias("first_doc_id"),
     )
-    return found.filter(F.col("end") - F.col("start") >= MIN_RUN).select("doc_id", "start", "end", "n_chunks", "removed_bytes", "first_doc_id")
-
+    return found.filter(F.col("n_words") >= MIN_WORDS).select("doc_id", "start", "end", "n_chunks", "n_words", "removed_bytes", "first_doc_id")
 
 
-def _cut_text(text, spans):
-    raw, at, parts = (text or "").encode(), 0, []
-    for a, b in spans or ():
-        parts.append(raw[at:a])
-        at = max(at, b)
-    return b"".join([*parts, raw[at:]]).decode()
+@F.arrow_udf(StringType())
+def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, gone in zip(texts, spans, strict=True):
+        raw, at, parts = (text.as_py() or "").encode(), 0, []
+        for span in gone.as_py() or ():
+            parts.append(raw[at : span["a"]])
+            at = max(at, span["b"])
+        out.append(b"".join([*parts, raw[at:]]).decode())
+    return pa.array(out, pa.string())
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns; texts lose the chunks of repeated passages that are not their first occurrence."""
-    spans = repeated_passages(docs).filter("removed_bytes > 0").select("doc_id", "start", "end")
-    gone = repeated_chunks(docs).distinct().filter("not is_first").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    """The documents with all their columns; texts lose the chunks of repeated passages that an earlier document has."""
+    chunks = keep(repeated_chunks(docs).distinct(), "repeats")
+    spans = passages(chunks).filter("removed_bytes > 0").select("doc_id", "start", "end")
+    gone = chunks.filter("first_doc <> doc_id").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     gone = gone.join(spans, "doc_id").filter("a >= start and b <= end").groupBy(F.col("doc_id").alias("__ql_doc")).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("__ql_spans"))
-    cut = F.udf(lambda text, spans: _cut_text(text, spans), "string")
     out = docs.join(gone, F.col("doc_id") == F.col("__ql_doc"), "left")
-    return out.withColumn("text", F.when(F.col("__ql_spans").isNull(), F.col("text")).otherwise(cut("text", "__ql_spans"))).drop("__ql_doc", "__ql_spans")
+    return out.withColumn("text", F.when(F.col("__ql_spans").isNull(), F.col("text")).otherwise(_cut_texts(F.col("text").cast("string"), "__ql_spans"))).drop("__ql_doc", "__ql_spans")

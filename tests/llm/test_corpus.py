@@ -459,13 +459,13 @@ def test_sharding(spark, docs, odd, empty):
     assert len(sharding.shard_digest(odd, 1000).collect()) == len(ODD) and sharding.shard_digest(empty).count() == 0
 
 
-def test_chunks(spark, docs, odd, empty):
+def test_chunks(spark, docs, odd, empty, monkeypatch):
     def plain(raw):
         """Chunk ends by the definition, byte by byte."""
         h, zero, ends = 0, [], []
         for b in raw:
-            h = (h << 1) + int(chunk_dedup._GEAR[b]) & 0xFFFFFFFF
-            zero.append(h >> 27 == 0)
+            h = (h << 1) + (int(chunk_dedup._GEAR[b]) << 16) & 0xFFFFFFFF
+            zero.append(h >> 28 == 0)
         for k, z in enumerate(zero):
             if z and not (k and zero[k - 1]):
                 e = k + 1
@@ -474,16 +474,32 @@ def test_chunks(spark, docs, odd, empty):
                 ends.append(e)
         return sorted({e for e in ends if e < len(raw)} | ({len(raw)} if raw else set()))
 
-    seen = collections.defaultdict(set)
+    seen, spans = collections.defaultdict(set), collections.defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
         raw = r.text.encode()
         ends = plain(raw)
         assert chunk_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist() == ends
         for a, b in zip([0, *ends], ends, strict=False):
             seen[raw[a:b]].add((r.doc_id, a))
-    want = {(d, a) for places in seen.values() if len(places) > 1 for d, a in places}
-    got = chunk_dedup.repeated_chunks(docs).collect()
-    assert {(r.doc_id, r.start) for r in got} == want
+            spans[r.doc_id].append((a, b, len(re.findall(rb"(?<![^ \t-\r])[^ \t-\r]", raw[max(0, a - 1) : b])) - (a > 0 and raw[a - 1 : a].strip(b" \t\n\r\f\v") != b"")))
+    want = {(d, a): min(places) for places in seen.values() if len({d for d, _ in places}) > 1 for d, a in places}
+    within = {(d, a) for places in seen.values() if len(places) > 1 for d, a in places}
+    for hot in (chunk_dedup.HOT, 3):
+        monkeypatch.setattr(chunk_dedup, "HOT", hot)
+        got = chunk_dedup.repeated_chunks(docs).distinct().collect()
+        assert {(r.doc_id, r.start): (r.first_doc, r.is_first) for r in got} == {k: (v[0], k == v) for k, v in want.items()} and len(got) == len(want)
+    assert {(r.doc_id, r.start) for r in chunk_dedup.repeated_chunks(docs, across=False).collect()} == within > want.keys()
+    plain = set()
+    for d, chunks in spans.items():
+        run = []
+        for chunk in [*chunks, None]:
+            if chunk and (d, chunk[0]) in want:
+                run.append(chunk)
+                continue
+            if sum(c[2] for c in run) >= chunk_dedup.MIN_WORDS:
+                plain.add((d, run[0][0], run[-1][1], len(run), sum(c[2] for c in run), sum(c[1] - c[0] for c in run if want[d, c[0]][0] != d), want[d, run[0][0]][0]))
+            run = []
+    assert {tuple(r) for r in chunk_dedup.repeated_passages(docs).collect()} == plain and len(plain) > 20
     passage = " ".join(f"passage{k}" for k in range(55))
     rows = [(k, " ".join(f"d{k}_{j}" for j in range(40 + k)) + " " + passage + f" end{k}") for k in range(4)] + [(9, BODY)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -494,6 +510,31 @@ def test_chunks(spark, docs, odd, empty):
     assert {r.doc_id for r in chunk_dedup.repeated_passages(odd).collect()} == {4, 5, 7, 9} and chunk_dedup.repeated_passages(empty).count() == 0
 
 
+def test_chunks_recall():
+    """Passages of 51 to 60 words of real text at random places of two other texts: the run of common chunks is long enough."""
+    import pyarrow.parquet as pq
+
+    texts = [t.split() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts = [t for t in texts if len(t) > 70 and len(set(t)) > 40]
+    rng, lost = np.random.default_rng(8), 0
+    for _ in range(400):
+        t = texts[int(rng.integers(len(texts)))]
+        n = int(rng.integers(51, 61))
+        k = int(rng.integers(len(t) - n))
+        found = []
+        for _ in range(2):
+            around = [" ".join(f"q{int(x)}" for x in rng.integers(0, 10**6, int(rng.integers(5, 40)))) for _ in range(2)]
+            raw = np.frombuffer(f"{around[0]} {' '.join(t[k : k + n])} {around[1]}".encode(), np.uint8)
+            ends = chunk_dedup.cuts(raw)
+            found.append((chunk_dedup.digests(raw, ends), [raw[a:b].tobytes().count(b" ") for a, b in zip([0, *ends], ends, strict=False)]))
+        best = run = 0
+        for digest, words_ in zip(*found[0], strict=True):
+            run = run + words_ if digest in found[1][0] else 0
+            best = max(best, run)
+        lost += best < chunk_dedup.MIN_WORDS
+    assert lost <= 400 * 0.03
+
+
 def test_chunks_of_repeated_rows(spark):
     """A row given three times is one document: alone it repeats nothing, and with a second document it is the first occurrence once."""
     text = " ".join(f"passage{k}" for k in range(80))
