@@ -2,7 +2,8 @@
 
 Lines are normalised and hashed; for each host the distinct documents with a line are counted, lines above a limit are
 removed, and documents that lose most of their words are rejected. Counts within a text (duplicate lines, repeated
-3-word windows) are worked out inside its row, so texts are never shuffled; only line hashes are.
+3-word windows) are worked out inside its row. Texts are read once and never shuffled: what is known of each is written,
+and line hashes are counted and looked up from there.
 """
 
 from __future__ import annotations
@@ -10,16 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line in more documents of its host than this, and than this many of every thousand of them, is boilerplate.
-MAX_LINE_DOCS = 100
-MAX_LINE_PERMILLE = 2
+#: A line in more documents of its host than this many of every thousand, and than these few, is boilerplate.
+MAX_LINE_PERMILLE = 20
+MAX_LINE_DOCS = 5
 #: A document must keep at least this part of its words.
 MIN_KEPT_PERCENT = 50
+#: Boilerplate lines (of all hosts) that are broadcast at most; more are joined with salt.
+MAX_BROADCAST = 500_000
+SALTS = 32
 
 _SPACES = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
 
 
 def words_of(text):
@@ -75,54 +80,56 @@ def _let(value, use):
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host"), text.alias("text"))
-    within = _let(
-        words_of(F.col("text")),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
+def parsed(docs: DataFrame) -> DataFrame:
+    """What is known of each row (doc_id, host, text): the base counts, two hashes of the text, and of its lines (hash, words)."""
+    text = F.col("text")
+    of_words = _let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    of_lines = _let(
+        _worded_lines(text),
+        lambda x: F.struct(
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            F.transform(x, lambda y: F.struct(F.xxhash64(_line_key(y)).alias("line"), F.size(words_of(y)).alias("words"))).alias("lines"),
+        ),
     )
-    lines = _let(
-        _worded_lines(F.col("text")),
-        lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("host").isNull(), "n").otherwise(F.concat(F.lit("s"), "host")).alias("host"),
+        F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), of_words.alias("w"), of_lines.alias("l"),
+        (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
-    counted = rows.select(
-        "doc_id",
-        "host",
-        within.alias("w"),
-        F.length(F.translate("text", _SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("n_dup_lines"),
-    )
-    counted = counted.select("doc_id", "host", F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.n_repeat_words").alias("n_repeat_words"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    failed = (F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("w.n_words"))
+    return rows.select("row", "doc_id", "host", "t1", "t2", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), "l.lines")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each distinct normalised line of a row: doc_id, host, line (hash), words (in all its occurrences), and the row's hash."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = F.transform(_worded_lines(text), lambda x: F.struct(F.xxhash64(_line_key(x)).alias("line"), F.size(words_of(x)).alias("words")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "host", F.explode(keyed).alias("x")).select("doc_id", "host", "x.line", "x.words").groupBy("doc_id", "host", "line").agg(F.sum("words").alias("words"))
+def frequent_lines(rows: DataFrame) -> DataFrame:
+    """(host, line) that more than the limit of the host's distinct documents hold."""
+    documents = rows.select("host", "t1", "t2", F.col("lines.line").alias("lines")).dropDuplicates(["host", "t1", "t2"])
+    per_line = documents.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    per_host = rows.select("host", "t1", "t2").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    limit = F.greatest(F.lit(MAX_LINE_DOCS), F.floor(F.col("host_docs") * MAX_LINE_PERMILLE / 1000))
+    return per_line.filter(F.col("docs") > MAX_LINE_DOCS).join(per_host, "host").filter(F.col("docs") > limit).select("host", "line")
 
 
 def line_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
 
     kept is false if base_failed, or if frequent lines hold more than half of the words. A null text has no words and fails; a
-    null host is a host of its own. doc_id names a document: rows that repeat it are one document for the counts of lines, and
-    each gets a result row; a null doc_id is one such name. Other columns are not read.
+    null host is a host of its own. Documents of a host are told apart by their text: rows that repeat a text, under whatever
+    doc_id, are one document for the counts of lines, and each gets a result row. A null doc_id is returned as null. Other
+    columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    lines = line_rows(rows)
-    docs_of_host = rows.groupBy("host").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("host_docs"))
-    per_line = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > MAX_LINE_DOCS)
-    limit = F.greatest(F.lit(MAX_LINE_DOCS), F.floor(F.col("host_docs") * MAX_LINE_PERMILLE / 1000))
-    frequent = per_line.join(docs_of_host.withColumnRenamed("host", "of_host"), F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("docs") > limit).select(F.col("host").alias("of_host"), F.col("line").alias("of_line"))
-    removed = lines.join(frequent, (F.col("line") == F.col("of_line")) & F.col("host").eqNullSafe(F.col("of_host"))).groupBy("doc_id", "host").agg(F.sum("words").cast("long").alias("n_removed_words"))
-    removed = removed.select(F.col("doc_id").alias("of_doc"), F.col("host").alias("doc_host"), "n_removed_words")
-    base = base_counts(rows)
-    out = base.join(removed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & F.col("host").eqNullSafe(F.col("doc_host")), "left")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = keep(parsed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"))), "lines")
+    frequent = keep(frequent_lines(rows), "frequent").select(F.col("host").alias("of_host"), F.col("line").alias("of_line"))
+    lines = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.words")
+    same = (F.col("line") == F.col("of_line")) & (F.col("host") == F.col("of_host"))
+    if frequent.count() <= MAX_BROADCAST:
+        hits = lines.join(F.broadcast(frequent), same)
+    else:
+        salted = frequent.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, same & (F.col("salt") == F.col("of_salt")))
+    removed = hits.groupBy(F.col("row").alias("of_row")).agg(F.sum("words").cast("long").alias("n_removed_words"))
+    out = rows.drop("lines").join(removed, F.col("row") == F.col("of_row"), "left")
     gone = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - gone) >= MIN_KEPT_PERCENT * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", gone.alias("n_removed_words"), kept.alias("kept"))
@@ -144,9 +151,9 @@ wl AS (SELECT doc_id, host, line,
        FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM wl GROUP BY doc_id),
 kl AS (SELECT doc_id, host, k, sum(words) AS words FROM wl GROUP BY ALL),
-hd AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY host),
-fl AS (SELECT kl.host, k FROM kl JOIN hd ON kl.host IS NOT DISTINCT FROM hd.host GROUP BY kl.host, k, host_docs
-       HAVING count(*) > greatest({MAX_LINE_DOCS}, host_docs * {MAX_LINE_PERMILLE} // 1000)),
+hd AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
+fl AS (SELECT kl.host, k FROM kl JOIN d USING (doc_id) JOIN hd ON kl.host IS NOT DISTINCT FROM hd.host GROUP BY kl.host, k, host_docs
+       HAVING count(DISTINCT d.text) > greatest({MAX_LINE_DOCS}, host_docs * {MAX_LINE_PERMILLE} // 1000)),
 rm AS (SELECT doc_id, kl.host, sum(words) AS n_removed_words
        FROM kl JOIN fl ON kl.k = fl.k AND kl.host IS NOT DISTINCT FROM fl.host GROUP BY ALL),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,

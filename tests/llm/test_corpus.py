@@ -121,13 +121,42 @@ def test_line_quality_odd(spark, odd, empty):
     assert r.n_repeat_words == 6
 
 
+def letters(k):
+    """A number in letters: digits of a line count as equal."""
+    return "".join(chr(97 + int(c)) for c in str(k))
+
+
 def test_line_quality_removes_frequent_lines(spark):
-    rows = [(k, "the same line here\n" + " ".join(f"u{k}_{j}" for j in range(60)), "s") for k in range(150)] + [(1000 + k, "the same line here\n" * 20 + " ".join(f"v{k}_{j}" for j in range(55)), "s") for k in range(3)]
+    rows = [(k, "the same line here\n" + " ".join(f"u{letters(k)}_{letters(j)}" for j in range(60)), "s") for k in range(150)] + [(1000 + k, "the same line here\n" * 20 + " ".join(f"v{letters(k)}_{letters(j)}" for j in range(55)), "s") for k in range(3)]
     got = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0].kept and got[0].n_removed_words == 4
     assert not got[1000].kept
 
 
+def test_line_quality_limit(spark, monkeypatch):
+    """The same share counts on small hosts as on large ones; copies of one text are one document; many frequent lines join alike."""
+    def host(name, n, with_line, first):
+        return [(first + k, ("shared line of words\n" if k < with_line else "") + " ".join(f"{name}{letters(k)}_{letters(j)}" for j in range(60)), name) for k in range(n)]
+
+    copies = [(9000 + k, "one line of a copied text\n" + " ".join(f"c{j}" for j in range(60)), "a") for k in range(40)]
+    rows = host("a", 20, 6, 0) + host("b", 600, 13, 1000) + host("c", 600, 12, 2000) + host("d", 20, 5, 3000) + copies
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {i: 4 if "shared line" in t and s in "ab" else 0 for i, t, s in rows}
+    assert {r.doc_id: r.n_removed_words for r in line_quality.line_quality(df).collect()} == want
+    monkeypatch.setattr(line_quality, "MAX_BROADCAST", 0)
+    assert {r.doc_id: r.n_removed_words for r in line_quality.line_quality(df).collect()} == want
+
+
+def test_line_quality_sql_where_lines_go(spark):
+    """The SQL twin on a table with frequent lines, exact copies and hosts of several sizes."""
+    c = duckdb.connect()
+    c.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    got = entry.queries()["op6_line_quality"](spark, "/root/testdata/sf0.01")
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(c.execute(f"select {', '.join(got.columns)} from ({entry.oracle_sql()['op6_line_quality']})").fetchall())
+    assert sum(r[got.columns.index("n_removed_words")] > 0 for r in rows) > 30
+
+
 def test_main_text(spark):
     nav, foot = '<nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div>', "<footer>&copy; x</footer>"
     page = lambda n, t: f"<html><head><title>T</title><script>var a='</p>';</script></head><body>{nav}<p>Shared tag line</p><h1>Head {n}</h1><p><b>{t} &amp; more<br>x<p>second\n {n}</p><section class='comments'><p>first!</p></section>{foot}"
