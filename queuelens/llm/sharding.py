@@ -1,8 +1,9 @@
 """Sharding by extendible hashing: a directory over hash-prefix bits whose oversized buckets split on another bit.
 
-Bytes are counted by hash prefix, some bits at a time and only below prefixes that are still too large, so each count
-that reaches the driver has at most 2**STEP rows for each oversized prefix. The directory's leaves tile the hash
-space; a document's shard is found by binary search.
+Bytes are counted by hash prefix in Spark, at first as deep as the total asks for, then a few bits at a time and only below
+prefixes that are still too large: what reaches the driver is in proportion to the directory, which has a leaf for about
+each LIMIT_BYTES of text. Sums are carried up the prefix tree level by level. The leaves tile the hash space; a document's
+shard is found by binary search.
 """
 
 from __future__ import annotations
@@ -12,44 +13,69 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import U64, keep
 
 LIMIT_BYTES = 64 << 20
-STEP = 10
+#: Bits by which an oversized bucket is looked into at a time; a count has at most 2**STEP rows for each.
+STEP = 4
 MAX_DEPTH = 60
+#: Oversized buckets that are broadcast at most; beyond it the same join shuffles.
+MAX_BROADCAST = 1_000_000
 
 
 def _key():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
 
 
-def build_directory(sizes: DataFrame, limit: int = LIMIT_BYTES) -> list[tuple[int, int, int]]:
-    """Leaves (prefix, depth, bytes) in hash order, from rows (h, bytes). A bucket whose rows share one hash is never split."""
-    leaves, pending, depth = [], {0: 0}, 0
-    while pending:
-        to = min(depth + STEP, MAX_DEPTH)
+def _sums(prefix: np.ndarray, size: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The level above: bytes of each prefix less its last bit, and whether all its rows share one hash."""
+    up = prefix >> U64(1)
+    first = np.flatnonzero(np.concatenate(([True], up[1:] != up[:-1]))) if len(up) else np.zeros(0, int)
+    alone = np.diff(np.append(first, len(up))) == 1
+    return up[first], np.add.reduceat(size, first) if len(up) else size, alone & single[first]
+
+
+def _depth(total: int, limit: int) -> int:
+    """Bits after which a bucket holds about the limit."""
+    return min(MAX_DEPTH, max(1, (total // max(1, limit)).bit_length() + 1))
+
+
+def build_directory(sizes: DataFrame, limit: int = LIMIT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves in hash order as arrays (first hash, depth, bytes), from rows (h, bytes). A bucket whose rows share one hash is never split."""
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    pending, depth, to = np.zeros(1, U64), 0, _depth(total, limit)
+    leaves: list[tuple[np.ndarray, np.ndarray, int]] = []
+    while len(pending):
         rows = sizes
         if depth:
-            spark = sizes.sparkSession
-            at = spark.createDataFrame([(p - (1 << 64) if p >= 1 << 63 else p,) for p in pending], "p long")
-            rows = rows.join(F.broadcast(at), F.shiftrightunsigned("h", 64 - depth) == F.col("p"), "left_semi")
+            at = sizes.sparkSession.createDataFrame(pd.DataFrame({"p": pending.astype(np.int64)}))
+            if len(pending) <= MAX_BROADCAST:
+                at = F.broadcast(at)
+            rows = rows.join(at, F.shiftrightunsigned("h", 64 - depth) == F.col("p"), "left_semi")
         prefix = F.shiftrightunsigned("h", 64 - to)
-        counted = rows.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()
-        found = {r["p"]: (r["bytes"], r["lo"] == r["hi"]) for r in counted}
-        nodes = [(p, depth) for p in pending]
-        pending = {}
-        while nodes:
-            p, d = nodes.pop()
-            below = [v for k, v in found.items() if k >> (to - d) == p] if d < to else [found.get(p, (0, True))]
-            total = sum(b for b, _ in below)
-            if total <= limit or (len(below) == 1 and below[0][1]) or d == MAX_DEPTH:
-                leaves.append((p, d, total))
-            elif d < to:
-                nodes += [(2 * p, d + 1), (2 * p + 1, d + 1)]
-            else:
-                pending[p] = total
-        depth = to
-    return sorted(leaves, key=lambda x: x[0] << (64 - x[1]) if x[1] else 0)
+        counted = rows.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("bytes"), (F.min("h") == F.max("h")).alias("single")).toPandas().sort_values("p")
+        levels = {to: (counted["p"].to_numpy(np.int64).astype(U64), counted["bytes"].to_numpy(np.int64), counted["single"].to_numpy(bool))}
+        for d in range(to - 1, depth - 1, -1):
+            levels[d] = _sums(*levels[d + 1])
+        for d in range(depth, to + 1):
+            known, size, single = levels[d]
+            at = np.searchsorted(known, pending)
+            there = at < len(known)
+            there[there] = known[at[there]] == pending[there]
+            held = np.zeros(len(pending), np.int64)
+            held[there] = size[at[there]]
+            alone = ~there
+            alone[there] = single[at[there]]
+            done = (held <= limit) | alone | (d == MAX_DEPTH)
+            leaves.append((pending[done], held[done], d))
+            pending = pending[~done]
+            if d < to:
+                pending = np.stack([pending << U64(1), (pending << U64(1)) | U64(1)], axis=1).ravel()
+        depth, to = to, min(to + STEP, MAX_DEPTH)
+    first = np.concatenate([p << U64(64 - d) if d else p for p, _, d in leaves])
+    depths, held = np.concatenate([np.full(len(p), d, np.int32) for p, _, d in leaves]), np.concatenate([n for _, n, _ in leaves])
+    order = np.argsort(first)
+    return first[order], depths[order], held[order]
 
 
 def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
@@ -59,12 +85,12 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     document, or repeated rows of it). A null doc_id is spread by its text. An empty table has one empty shard.
     """
     rows = docs.withColumns({"__ql_bytes": F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long"), "__ql_hash": _key()})
-    leaves = build_directory(keep(rows.select(F.col("__ql_hash").alias("h"), F.col("__ql_bytes").alias("bytes")), "sizes"), limit)
-    starts = np.array([p << (64 - d) if d else 0 for p, d, _ in leaves], np.uint64)
-    depths, total = np.array([d for _, d, _ in leaves], np.int32), np.array([b for _, _, b in leaves], np.int64)
+    starts, depths, total = build_directory(keep(rows.select(F.col("__ql_hash").alias("h"), F.col("__ql_bytes").alias("bytes")), "sizes"), limit)
+    directory = docs.sparkSession.sparkContext.broadcast((starts, depths, total))  # 20 bytes for each LIMIT_BYTES of text
 
     @F.pandas_udf("shard int, depth int, bytes long")
     def look(h: pd.Series) -> pd.DataFrame:
+        starts, depths, total = directory.value
         at = np.searchsorted(starts, h.to_numpy(np.int64).view(np.uint64), side="right") - 1
         return pd.DataFrame({"shard": at.astype(np.int32), "depth": depths[at], "bytes": total[at]})
 

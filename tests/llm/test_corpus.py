@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -488,6 +489,35 @@ def test_sharding(spark, docs, odd, empty):
     assert len(sharding.shard_digest(odd, 1000).collect()) == len(ODD) and sharding.shard_digest(empty).count() == 0
 
 
+def test_sharding_equals_plain(spark, docs, odd, monkeypatch):
+    """The directory against splitting buckets one by one on another bit, for several limits and steps."""
+    def plain(rows, limit):
+        leaves, todo = [], [(0, 0, rows)]
+        while todo:
+            p, d, inside = todo.pop()
+            if sum(b for _, b in inside) <= limit or len({h for h, _ in inside}) == 1 or d == sharding.MAX_DEPTH:
+                leaves.append((p << (64 - d) if d else 0, d, sum(b for _, b in inside)))
+                continue
+            for bit in (0, 1):
+                todo.append((2 * p + bit, d + 1, [(h, b) for h, b in inside if h >> (63 - d) & 1 == bit]))
+        return sorted(leaves)
+
+    for df in (docs, odd):
+        sizes = df.select(sharding._key().alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).cache()
+        rows = [(r.h % (1 << 64), r.bytes) for r in sizes.collect()]
+        for limit, step in ((900, 4), (20_000, 1), (10**9, 4)):
+            monkeypatch.setattr(sharding, "STEP", step)
+            monkeypatch.setattr(sharding, "_depth", lambda total, limit, step=step: step)
+            assert [tuple(map(int, x)) for x in zip(*sharding.build_directory(sizes, limit), strict=True)] == plain(rows, limit)
+
+
+def test_write_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "shards"), 50_000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    want = {r.doc_id: r.shard for r in sharding.shard_digest(docs, 50_000).collect()}
+    assert {r.doc_id: r["__ql_shard"] for r in back.collect()} == want and back.count() == docs.count()
+
+
 def test_chunks(spark, docs, odd, empty, monkeypatch):
     def plain(raw):
         """Chunk ends by the definition, byte by byte."""
