@@ -373,6 +373,77 @@ def test_mixture(spark, docs, odd, empty):
     assert sum(sizes[r.doc_id] for r in mixed.select("doc_id").collect()) == a.taken.sum()
 
 
+def test_mixture_equals_plain(spark, docs, monkeypatch):
+    """The plan replayed without Spark's windows: quotas, the whole splitting tree, disjoint stretches of permuted blocks."""
+    monkeypatch.setattr(mixture, "LEAST_BLOCKS", 8)
+    monkeypatch.setattr(mixture, "BLOCK_WORDS", 600)
+    monkeypatch.setattr(mixture, "SHARD_WORDS", 5000)
+    rows = docs.select("doc_id", "source", F.coalesce(mixture.word_count(F.col("text")), F.lit(0)).alias("n"), mixture._key(F.col("source"), F.col("doc_id"), F.col("text"))[1].alias("h")).collect()
+    def spark_hash(triples):
+        return [r[0] for r in spark.createDataFrame([(k, *t) for k, t in enumerate(triples)], "k int, s string, b long, p int").orderBy("k").select(F.xxhash64("s", "b", "p", F.lit(mixture.SEED + 2))).collect()] if triples else []
+
+    def spark_hash2(pairs):
+        return [r[0] for r in spark.createDataFrame([(k, *t) for k, t in enumerate(pairs)], "k int, s string, b long").orderBy("k").select(F.xxhash64("s", "b", F.lit(mixture.SEED + 1))).collect()]
+
+    total = collections.Counter()
+    for r in rows:
+        total[r.source] += r.n
+    goal, copies = mixture.targets(dict(total)), {}
+    n_blocks = {s: max(8, 2 ** math.ceil(math.log2(max(1, n) / 600))) for s, n in total.items()}
+    for s in total:
+        words_ = collections.Counter()
+        for r in rows:
+            if r.source == s:
+                words_[r.h % n_blocks[s]] += r.n
+        key = "n" if s is None else "s" + s
+        blocks = sorted(words_)
+        blocks = [b for _, b in sorted(zip(spark_hash2([(key, b) for b in blocks]), blocks, strict=True))]
+        passes, rest = int(goal[s] // total[s]), goal[s] - goal[s] // total[s] * total[s]
+        taken, before = {}, 0
+        for b in blocks:
+            taken[b] = words_[b] > 0 and rest > 0 and before + words_[b] / 2 < rest
+            before += words_[b]
+        gap = rest - sum(words_[b] for b in blocks if taken[b])
+        near = [(abs(abs(gap) - words_[b]), k, b) for k, b in enumerate(blocks) if words_[b] and (gap > 0) != taken[b]]
+        if near and min(near)[0] < abs(gap):
+            taken[min(near)[2]] ^= True
+        every = [(key, b, p) for b in blocks for p in range(1, (min(3, passes + taken[b]) if words_[b] else 0) + 1)]
+        copies[key] = [c for _, _, _, c in sorted((c[2], h, c[1], c) for h, c in zip(spark_hash(every), every, strict=True))]
+    keys = sorted(copies)
+    shards = max(mixture.LEAST_SHARDS, 1 << (sum(total.values()) // 5000).bit_length())
+    table, where, at = mixture.split_quotas(np.array([len(copies[k]) for k in keys]), shards), {}, collections.Counter()
+    for shard in range(shards):
+        for k, n in zip(keys, table[shard], strict=True):
+            for c in copies[k][at[k] : at[k] + n]:
+                where[c] = shard
+            at[k] += n
+    want = {}
+    for r in rows:
+        key = "n" if r.source is None else "s" + r.source
+        want[r.doc_id] = [(p, where[key, r.h % n_blocks[r.source], p]) for p in (1, 2, 3) if (key, r.h % n_blocks[r.source], p) in where] if r.n else []
+    got = {r.doc_id: r for r in mixture.mix_digest(docs).collect()}
+    assert {i: [tuple(map(int, p.split(":")[:2])) for p in r.places.split(",") if p] for i, r in got.items()} == want
+    assert all(r.taken == r["size"] * len(want[i]) for i, r in got.items()) and len(set(where.values())) == shards
+    other = {r.doc_id: r.places for r in mixture.mix_digest(docs, seed=1).collect()}
+    assert sum(other[i] != r.places for i, r in got.items()) > len(got) // 2  # the tree's seed decides
+    out = mixture.mix(docs, True).select("doc_id", "__ql_shard", "__ql_order", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.doc_id, r["__ql_shard"]) for r in out) == sorted((i, s) for i, x in want.items() for _, s in x)
+    assert [r["__ql_order"] for r in out] == [r["__ql_order"] for r in sorted(out, key=lambda r: (r.part, r["__ql_shard"], r["__ql_order"]))]
+
+
+def test_write_mix(spark, docs, tmp_path):
+    mixture.write_mix(docs, str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    want = collections.Counter(r.doc_id for r in mixture.mix(docs).select("doc_id").collect())
+    assert collections.Counter(r.doc_id for r in back.collect()) == want and set(docs.columns) < set(back.columns)
+
+
+def test_mixture_columns(spark):
+    """Columns whose names clash with the operator's own, or hold a dot, come back as they were."""
+    rows = spark.createDataFrame([(k, f"w{k} x y", "a", 1, 2, 3) for k in range(40)], "doc_id long, text string, source string, `places.x` int, target int, __ql_h int")
+    assert mixture.mix(rows).columns == rows.columns and mixture.mix(rows).count() == 40
+
+
 BASE = [
     ('x password: "hunter2secret" y', [("assign", 2, 26)]),
     ("Token=abc token=abcdef", [("assign", 10, 22)]),
