@@ -7,12 +7,13 @@ Documents are sets of distinct 5-word shingles (64-bit hashes); two link at Jacc
    only affects speed, never results.
 2. Equal sets collapse to one class. A set of n shingles puts its first n - ceil(3n/4) + 1 shingles in that order
    (the *short* lists) into the inverted index: sets that link share at least one of them.
-3. Each index shard merges its lists. Lists of up to SHORT sets give all pairs of fitting sizes; longer ones
-   give a star around their largest set, and stay open.
+3. Each index shard merges its lists; the number of shards follows the input. Lists of up to SHORT sets give all pairs of
+   fitting sizes; longer ones give a star around their largest set, and stay open.
 4. `Lists.search` (DivideSkip) retains the sets that reach the required overlap: it merges the short inverted lists of
    a group and binary-probes its long ones.
-5. Verified links give components. An open list whose sets are all in one component is done; the sets of the others
-   are searched in each other, in blocks, wherever they are in different components, so no link between them is lost.
+5. The sets of open lists are searched in each other, in blocks, so no link is lost. Where only components are asked for, lists
+   whose sets the verified links have put into one component are passed over. Where links are counted, all are searched,
+   each pair of sets in one cell, and counts, not pairs, are returned.
 """
 
 from __future__ import annotations
@@ -27,16 +28,20 @@ from pyspark.sql import functions as F
 from .common import U64, keep, shingle_sets, text_buffers
 
 WIDTH = 5
-#: Bits of a shingle hash that choose its shard. More shards for more text: 2**11 suit up to about a terabyte.
-SHARD_BITS = 11
+#: Bytes of text for each index shard, about. Bits of a shingle hash choose the shard; shingles are counted by REST more bits.
+SHARD_BYTES = 16 << 20
+MIN_BITS, MAX_BITS, REST = 6, 24, 24
 FREQUENT = 16
 #: Most frequent shingles sent to every executor (9 bytes each). Beyond it only the most frequent ones are sent.
 MAX_FREQUENT = 2_000_000
 SHORT = 15
-BLOCK = 1024
+#: Sets and shingles of a block of an open list, at most about: two blocks meet in a task's memory.
+BLOCK = 4096
+BLOCK_SHINGLES = 1 << 20
 FLUSH = 2_000_000
-#: Most pairs of ids broadcast to pick texts; beyond it the same join shuffles.
+#: Most pairs of ids broadcast to pick texts; beyond it the same join shuffles, with salt where a key may be hot.
 MAX_BROADCAST_PAIRS = 1_000_000
+SALTS = 32
 
 
 def required(a, b):
@@ -82,14 +87,14 @@ class Lists:
         likely = merged >= np.maximum(need - n_long, 0)
         if allowed is not None:
             likely &= allowed
-        found, probes = [], self.tokens[long]
-        for c in np.flatnonzero(likely):
-            s, count = self.sets[c], int(merged[c])
-            if n_long and len(s) and count < need[c]:
-                count += int((s[np.minimum(np.searchsorted(s, probes), len(s) - 1)] == probes).sum())
-            if len(s) and count >= need[c]:
-                found.append(int(c))
-        return found
+        at = np.flatnonzero(likely)
+        count = merged[at]
+        for k in long:  # candidates are looked up in each long list by binary search
+            members = self.owner[self.starts[k] : self.starts[k] + self.lengths[k]]
+            place = np.searchsorted(members, at)
+            inside = place < len(members)
+            count[inside] += members[place[inside]] == at[inside]
+        return at[(count >= need[at]) & (self.sizes[at] > 0)].tolist()
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -112,28 +117,36 @@ def _by_shard(sorted_tokens: np.ndarray, rest_bits: int):
             yield int(shard[a]), slice(a, b)
 
 
-def _count_blobs(batches):
+def shard_bits(docs: DataFrame) -> int:
+    """Bits that choose a shard, from the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MAX_BITS, max(MIN_BITS, int(size // SHARD_BYTES).bit_length()))
+
+
+def _count_blobs(bits: int):
     """Shingles with their counts, by shard: summed here first, so a shingle of most documents is one entry a flush."""
-    rest = 24
     schema = pa.schema([("shard", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
-    held, n = [], 0
 
-    def flush():
+    def flush(held):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        mask = U64((1 << rest) - 1)
-        rows = [(k, _planes(tokens[s] & mask, 3), _planes(counts[s], 3)) for k, s in _by_shard(tokens, rest)]
+        mask = U64((1 << REST) - 1)
+        rows = [(k, _planes(tokens[s] & mask, 3), _planes(counts[s], 3)) for k, s in _by_shard(tokens, REST)]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    for batch in batches:
-        for _, s in shingle_sets(*text_buffers(batch.column(0)), WIDTH):
-            for part in np.array_split(s, len(s) // FLUSH + 1):
-                held.append(part >> U64(64 - SHARD_BITS - rest))
-                n += len(part)
-                if n >= FLUSH:
-                    yield flush()
-                    held, n = [], 0
-    if n:
-        yield flush()
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for _, s in shingle_sets(*text_buffers(batch.column(0)), WIDTH):
+                for part in np.array_split(s, len(s) // FLUSH + 1):
+                    held.append(part >> U64(64 - bits - REST))
+                    n += len(part)
+                    if n >= FLUSH:
+                        yield flush(held)
+                        held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return run
 
 
 def _frequent(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -147,9 +160,9 @@ def _frequent(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"token": full, "df": counts[often]})
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (35-bit, sorted) in at least FREQUENT documents, and the rank of their frequency class."""
-    blobs = docs.select("text").mapInArrow(_count_blobs, "shard int, tokens binary, counts binary")
+def frequent_shingles(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (their upper bits, sorted) in at least FREQUENT documents, and the rank of their frequency class."""
+    blobs = docs.select("text").mapInArrow(_count_blobs(bits), "shard int, tokens binary, counts binary")
     counted = keep(blobs.groupBy("shard").applyInArrow(_frequent, "token long, df long"), "df")
     classes = counted.groupBy(F.floor(F.log2("df")).cast("int").alias("c")).count().collect()  # at most 64 rows
     least, total = 64, 0
@@ -164,7 +177,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order].astype(U64), np.floor(np.log2(np.maximum(df[order], 1))).astype(np.uint8)
 
 
-def _profiles(frequent):
+def _profiles(frequent, bits: int):
     def run(batches):
         token, rank = frequent.value
         for batch in batches:
@@ -178,12 +191,12 @@ def _profiles(frequent):
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 length = len(s) - required_self(len(s)) + 1
                 if len(token):
-                    short = s >> U64(64 - SHARD_BITS - 24)
+                    short = s >> U64(64 - bits - REST)
                     at = np.minimum(np.searchsorted(token, short), len(token) - 1)
                     known = token[at] == short
                     if known.any():
                         s = s[np.argsort(np.where(known, rank[at], 0), kind="stable")]
-                prefixes.append(_planes(s[:length] >> U64(64 - SHARD_BITS - 32), 6))
+                prefixes.append(_planes(s[:length] >> U64(64 - bits - 32), 7))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "n_shingles", "digest", "prefix"])
 
     return run
@@ -207,7 +220,7 @@ def _index_blobs(batches):
 
     for batch in batches:
         for doc, size, prefix in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            t = _unplanes(prefix, 6)
+            t = _unplanes(prefix, 7)
             tokens.append(t)
             ids.append(np.full(len(t), doc, np.int64))
             sizes.append(np.full(len(t), size, U64))
@@ -318,79 +331,131 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _search(table: pa.Table) -> pa.Table:
-    """Links across components within each cell, as few as join what the cell's links join."""
-    sets = [s for _, s in shingle_sets(*text_buffers(table["text"]), WIDTH)]
-    x, y, doc, component, row, col = (table[k].to_numpy() for k in ("x", "y", "doc", "component", "is_row", "is_col"))
-    found = []
-    for cell in _groups(x, y):
-        cols = cell[col[cell]]
-        lists, owners, up = Lists([sets[k] for k in cols]), component[cols], {}
-
-        def root(v, up=up):
-            while up.setdefault(v, v) != v:
-                up[v] = v = up[up[v]]
-            return v
-
-        for k in cell[row[cell]]:
-            for c in lists.search(sets[k], owners != component[k]):
-                a, b = root(component[k]), root(owners[c])
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-                    found.append((int(doc[k]), int(doc[cols[c]])))
-    a, b = zip(*sorted(found), strict=True) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def search_open(docs: DataFrame, opened: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (a, b) that join components within open lists (rows token, a).
-
-    A set's home is the longest of its lists that holds several components; sets of one home form blocks of up to about BLOCK
-    sets. Wherever two blocks meet in a list, all sets of one are searched in the other, so each set travels once to each cell
-    and no pairs are written.
+def _search(counting: bool):
+    """Within each cell: rows (kind 1) of links across components, as few as join what the cell's links join; and, counting, rows
+    (kind 0) of each set with the weight of the sets it links with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [s for _, s in shingle_sets(*text_buffers(table["text"]), WIDTH)]
+        x, y, doc, component, weight, row, col = (table[k].to_numpy() for k in ("x", "y", "doc", "component", "weight", "is_row", "is_col"))
+        found, degree = [], {}
+        for cell in _groups(x, y):
+            cols = cell[col[cell]]
+            lists, owners, up = Lists([sets[k] for k in cols]), component[cols], {}
+            back, one_block = np.zeros(len(cols), np.int64), x[cell[0]] == y[cell[0]]
+
+            def root(v, up=up):
+                while up.setdefault(v, v) != v:
+                    up[v] = v = up[up[v]]
+                return v
+
+            for k in cell[row[cell]]:
+                linked = np.array(lists.search(sets[k], None if counting else owners != component[k]), np.int64)
+                if not len(linked):
+                    continue
+                for c in linked[owners[linked] != component[k]]:
+                    a, b = root(component[k]), root(owners[c])
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        found.append((int(doc[k]), int(doc[cols[c]])))
+                if counting:
+                    linked = linked[doc[cols[linked]] != doc[k]]
+                    degree[doc[k]] = degree.get(doc[k], 0) + int(weight[cols[linked]].sum())
+                    if not one_block:
+                        back[linked] += weight[k]
+            for c in np.flatnonzero(back):
+                degree[doc[cols[c]]] = degree.get(doc[cols[c]], 0) + int(back[c])
+        rows = [(1, a, b) for a, b in sorted(found)] + [(0, int(a), n) for a, n in sorted(degree.items()) if n]
+        kind, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, by: str, n: int) -> DataFrame:
+    """left joined with right on a key that a third of left's rows may share: right (n rows) is broadcast if small, else given to SALTS parts."""
+    if n <= MAX_BROADCAST_PAIRS:
+        return left.join(F.broadcast(right), key)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__ql_salt")
+    return left.withColumn("__ql_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(right.select("*", salts), [key, "__ql_salt"]).drop("__ql_salt")
+
+
+def open_cells(opened: DataFrame, profile: DataFrame, labels: DataFrame, counting: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, component, block) of the sets to search, and the cells (x, y) of blocks that meet in a list.
+
+    A set's home is the longest of its lists; sets of one home form blocks of up to about BLOCK sets and BLOCK_SHINGLES shingles.
+    Each set travels once to each of its block's cells and no pairs are written.
     """
     at = opened.select("token", "a").join(labels.select(F.col("node").alias("a"), "root"), "a", "left").select("token", "a", F.coalesce("root", "a").alias("component"))
-    mixed = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("token", "n")
-    at = keep(at.join(mixed, "token"), "mixed")
-    longest = F.max(F.shiftleft(F.least("n", F.lit(1 << 19)), 43) + F.col("token"))
-    homes = at.groupBy("a", "component").agg(longest.alias("home"))
-    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    homes = keep(homes.join(parts, "home").select("a", "component", F.xxhash64("home", F.pmod(F.xxhash64("a"), "parts")).alias("block")), "homes")
-    meet = at.join(homes.select("a", "block"), "a").select("token", "block").distinct()
+    lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    lists = keep((lists if counting else lists.filter("lo <> hi")).select("token", "n"), "open")
+    at = keep(_salted(at, lists, "token", "a", lists.count()), "members")
+    longest = F.max(F.struct("n", "token"))
+    homes = at.groupBy("a", "component").agg(longest.alias("x")).select("a", "component", F.col("x.token").alias("home"))
+    homes = keep(homes.join(profile.select(F.col("doc_id").alias("a"), "n_shingles"), "a"), "homes")
+    parts = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts")).filter("parts > 1")
+    parts = keep(parts, "parts")  # homes of more than one block: few
+    many = _salted(homes, parts, "home", "a", parts.count())
+    one = homes.join(F.broadcast(parts.select("home")) if parts.count() <= MAX_BROADCAST_PAIRS else parts.select("home"), "home", "left_anti").withColumn("parts", F.lit(1).cast("long"))
+    blocks = many.select("a", "component", "home", "parts").unionByName(one.select("a", "component", "home", "parts"))
+    blocks = keep(blocks.select("a", "component", F.xxhash64("home", F.pmod(F.xxhash64("a"), "parts")).alias("block")), "blocks")
+    meet = at.join(blocks.select("a", "block"), "a").select("token", "block").distinct()
     cells = meet.select("token", F.col("block").alias("x")).join(meet.select("token", F.col("block").alias("y")), "token").filter("x <= y").select("x", "y").distinct()
-    rows = cells.join(homes, F.col("x") == F.col("block")).select("x", "y", "a", "component", F.lit(True).alias("is_row"), (F.col("x") == F.col("y")).alias("is_col"))
-    cols = cells.filter("x < y").join(homes, F.col("y") == F.col("block")).select("x", "y", "a", "component", F.lit(False).alias("is_row"), F.lit(True).alias("is_col"))
-    placed = keep(rows.unionByName(cols), "cells")
+    return blocks, keep(cells, "cells")
+
+
+def search_open(docs: DataFrame, blocks: DataFrame, cells: DataFrame, weights: DataFrame, counting: bool) -> DataFrame:
+    """What `_search` finds in blocks wherever they meet: (kind, a, b)."""
+    heavy = keep(blocks.join(weights, "a"), "weighed")
+    rows = cells.join(heavy, F.col("x") == F.col("block")).select("x", "y", "a", "component", "weight", F.lit(True).alias("is_row"), (F.col("x") == F.col("y")).alias("is_col"))
+    cols = cells.filter("x < y").join(heavy, F.col("y") == F.col("block")).select("x", "y", "a", "component", "weight", F.lit(False).alias("is_row"), F.lit(True).alias("is_col"))
+    placed = keep(rows.unionByName(cols), "placed")
     n = placed.count()
     if n <= MAX_BROADCAST_PAIRS:
         placed = F.broadcast(placed)
     filled = docs.select(F.col("doc_id").alias("doc"), "text").join(placed, F.col("doc") == F.col("a")).drop("a")
-    return filled.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(max(64, n // 512))).alias("group")).applyInArrow(_search, "a long, b long")
+    return filled.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(max(64, n // 512))).alias("group")).applyInArrow(_search(counting), "kind int, a long, b long")
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+def ngram_join(docs: DataFrame, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included); with `links`
+    also n_links, the number of other rows it links with.
 
     Null or empty text: no shingles, linked with nothing. Fewer than five words: one shingle. Rows with equal doc_id are one
-    node with several texts and each gets a row; a row with null doc_id keeps a null component and links nothing.
-    Other columns are not read, so their names cannot clash. An empty table gives an empty result.
+    node with several texts and each gets a row (where these differ, n_links is the sum over them, and a row that links with several
+    counts for each); a row with null doc_id keeps a null component and links nothing. Other columns are not read, so their names cannot clash. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
-    profile = keep(docs.mapInArrow(_profiles(frequent), "doc_id long, n_shingles long, digest binary, prefix binary"), "profile")
+    bits = shard_bits(docs)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, bits))
+    profile = keep(docs.mapInArrow(_profiles(frequent, bits), "doc_id long, n_shingles long, digest binary, prefix binary"), "profile")
     known = profile.filter("digest is not null and doc_id is not null")
-    classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "classes")
     unique = known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     shards = unique.select("doc_id", "n_shingles", "prefix").mapInArrow(_index_blobs, "shard long, tokens binary, ids binary, sizes binary")
     lists = keep(shards.groupBy("shard").applyInArrow(_merge_shard, "kind int, token long, a long, b long"), "lists")
     pairs = keep(lists.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    links = keep(verify_pairs(docs, pairs), "links")
+    verified = keep(verify_pairs(docs, pairs), "links")
     # Classes of one doc_id with several texts meet in that node.
-    labels = components(links)
-    more = keep(search_open(docs, lists.filter("kind = 1"), labels), "more")
+    labels = components(verified)
+    opened, sized = lists.filter("kind = 1"), unique.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    weights = classes.groupBy(F.col("rep").alias("a")).agg(F.max("weight").alias("weight"))
+    blocks, cells = open_cells(opened, sized, labels, links)
+    searched = keep(search_open(docs, blocks, cells, weights, links), "searched")
+    more = searched.filter("kind = 1").select("a", "b")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    named = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    shared = named.join(profile.select("digest", "doc_id", "n_shingles"), "digest", "right")
-    out = shared.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out
+        labels = components(verified.unionByName(more))
+    named = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "rep", "weight", F.coalesce("root", "rep").alias("component_id"))
+    if links:
+        # verified pairs whose blocks meet in a cell are counted there
+        of = blocks.select("a", "block")
+        at = verified.join(of.select("a", F.col("block").alias("x")), "a", "left").join(of.select(F.col("a").alias("b"), F.col("block").alias("y")), "b", "left")
+        apart = at.join(cells.select(F.col("x").alias("cx"), F.col("y").alias("cy")), (F.least("x", "y") == F.col("cx")) & (F.greatest("x", "y") == F.col("cy")), "left_anti").filter("a <> b")
+        apart = apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        alone = apart.join(weights.select(F.col("a").alias("b"), "weight"), "b").select("a", F.col("weight").alias("b"))
+        degree = searched.filter("kind = 0").select("a", "b").unionByName(alone).groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
+        named = named.join(degree, "rep", "left").select("digest", "component_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
+    out = named.join(profile.select("digest", "doc_id", "n_shingles"), "digest", "right")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    more_columns = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_links")] if links else []
+    return out.select("doc_id", "n_shingles", component, *more_columns)

@@ -68,6 +68,12 @@ def components(rows):
     return {i: root(i) for i in up}
 
 
+def n_links(rows):
+    """Plain version: all pairs."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    return {i: sum(100 * len(a & b) >= 75 * len(a | b) for k, (_, b) in enumerate(sets) if k != n and a and b) for n, (i, a) in enumerate(sets)}
+
+
 def test_ngram_join(spark, docs, odd, empty):
     for df in (docs, odd):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
@@ -90,8 +96,14 @@ def test_ngram_join_hot_group(spark, monkeypatch):
         for _ in range(int(rng.integers(0, 6))):
             w[int(rng.integers(80))] = f"r{int(rng.integers(10**6))}"
         rows.append((d, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
-    assert got == components(rows)
+    rows += [(1000 + d, rows[d % 7][1]) for d in range(30)] + [(2000, "alone in the whole table"), (2001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for broadcast in (10**6, 0):
+        monkeypatch.setattr(ngram_join, "MAX_BROADCAST_PAIRS", broadcast)
+        got = ngram_join.ngram_join(df, links=True).collect()
+        assert {r.doc_id: r.component_id for r in got} == components(rows) == {r.doc_id: r.component_id for r in ngram_join.ngram_join(df).collect()}
+        assert {r.doc_id: r.n_links for r in got} == n_links(rows)
+    assert ngram_join.ngram_join(df.limit(0), links=True).count() == 0
 
 
 def test_lists_search():
