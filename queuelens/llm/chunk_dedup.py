@@ -20,9 +20,11 @@ WINDOW = 16
 CUT_BITS = 4
 #: Words that begin in a run. A run lacks up to some 10 words of the passage at its ends, before the first and after the last cut.
 MIN_WORDS = 26
+#: A chunk of more bytes (one without a cut, such as one character over and over) is cut here whatever the hash says.
+LARGEST = (1 << 24) - 1
 #: Bytes of text whose chunks one shard holds, about; the number of shards follows the input.
-SHARD_BYTES = 32 << 20
-FLUSH = 1_000_000
+SHARD_BYTES = 8 << 20
+FLUSH = 250_000
 #: A digest with so many chunks in one flush, in several documents, is hot: its chunks are known to be repeated where they are found and
 #: do not meet in one task; only its first place is worked out there.
 HOT = 64
@@ -58,7 +60,7 @@ def cuts(raw: np.ndarray) -> np.ndarray:
         if a:
             first = first[1:]
         parts.append(np.flatnonzero(first) + a + 1)
-    at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    at = np.concatenate([*parts, np.arange(LARGEST - 3, len(raw), LARGEST - 3)]).astype(np.int64)
     for _ in range(3):
         inside = at < len(raw)
         at[inside] += (raw[at[inside]] & 0xC0) == 0x80
@@ -127,7 +129,7 @@ def _chunk_blobs(bits: int):
     def run(batches):
         for d, i, s, z, w in _flushes(batches):
             hot = _hot(d, i)
-            z = np.where(hot, 0, z | w << 32)
+            z = np.where(hot, 0, w << 24 | z)
             edge = np.concatenate(([True], d[1:] != d[:-1]))
             ends = hot & (edge | np.concatenate((edge[1:], [True])))
             taken = ~hot | ends
@@ -147,12 +149,20 @@ def _hot_chunks(batches):
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte in planes, so that equal upper bytes lie together and compress."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers byte by byte in planes, so that equal upper bytes lie together and compress; first the number of planes that are not all zero."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unplanes(column) -> np.ndarray:
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view("<u8").ravel() for x in column])
+    blobs = [x.as_py() for x in column]
+    out = np.zeros((sum((len(x) - 1) // x[0] for x in blobs), 8), np.uint8)
+    at = 0
+    for x in blobs:
+        n = (len(x) - 1) // x[0]
+        out[at : at + n, : x[0]] = np.frombuffer(x, np.uint8, offset=1).reshape(x[0], n).T
+        at += n
+    return out.view("<u8").ravel()
 
 
 def _repeats(across: bool):
@@ -171,7 +181,7 @@ def _repeats(across: bool):
         many = again[group] & (z > 0)
         leads = first[hot]
         none = np.zeros(len(leads), np.int64)
-        parts = ((d.view(np.int64)[many], d.view(np.int64)[leads]), (i[many], none), (s[many], none), (z[many] & 0xFFFFFFFF, none), (z[many] >> 32, none), (i[lead][many], i[leads]), (s[lead][many], s[leads]))
+        parts = ((d.view(np.int64)[many], d.view(np.int64)[leads]), (i[many], none), (s[many], none), (z[many] & LARGEST, none), (z[many] >> 24, none), (i[lead][many], i[leads]), (s[lead][many], s[leads]))
         names = ("digest", "doc_id", "start", "size", "words", "first_doc", "first_start")
         return pa.table({n: np.concatenate(x) for n, x in zip(names, parts, strict=True)})
 
@@ -186,7 +196,7 @@ def shard_bits(docs: DataFrame) -> int:
 
 def repeated_chunks(docs: DataFrame, across: bool = True) -> DataFrame:
     """Every occurrence of a chunk that occurs in more than one document (or, unless `across`, at more than one place): doc_id, start,
-    size (bytes), words (that begin in it), first_doc, is_first."""
+    size (bytes), words (that begin in it), first_doc, is_first. Repeated rows may give an occurrence again."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = shard_bits(rows)
     blobs = rows.mapInArrow(_chunk_blobs(bits), "shard int, digests binary, docs binary, starts binary, sizes binary")
@@ -212,12 +222,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     passage the others repeat. What repeats within one document alone is no passage. Null and empty texts have none. Rows with equal doc_id and
     text are the same document; a row with a null doc_id takes no part. Other columns are not read.
     """
-    return passages(repeated_chunks(docs).distinct())
+    return passages(repeated_chunks(docs))
 
 
 def passages(chunks: DataFrame) -> DataFrame:
-    """Runs of adjoining repeated chunks with at least MIN_WORDS words."""
+    """Runs of adjoining repeated chunks with at least MIN_WORDS words. A chunk that repeated rows give again counts once."""
     order = Window.partitionBy("doc_id").orderBy("start", "size")
+    again = (F.lag("start").over(order) == F.col("start")) & (F.lag("size").over(order) == F.col("size"))
+    chunks = chunks.withColumn("again", again).filter("again is null or not again")
     ends = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = chunks.withColumn("new", F.coalesce(F.col("start") > ends, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -246,7 +258,7 @@ def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with all their columns; texts lose the chunks of repeated passages that an earlier document has."""
-    chunks = keep(repeated_chunks(docs).distinct(), "repeats")
+    chunks = keep(repeated_chunks(docs), "repeats")
     spans = passages(chunks).filter("removed_bytes > 0").select("doc_id", "start", "end")
     gone = chunks.filter("first_doc <> doc_id").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     gone = gone.join(spans, "doc_id").filter("a >= start and b <= end").groupBy(F.col("doc_id").alias("__ql_doc")).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("__ql_spans"))

@@ -688,6 +688,15 @@ def test_chunks_of_repeated_rows(spark):
     assert {(r.doc_id, r.text == text) for r in chunk_dedup.remove_repeats(both).collect() if r.doc_id == 1} == {(1, True)}
 
 
+def test_text_without_cuts(monkeypatch):
+    monkeypatch.setattr(chunk_dedup, "LARGEST", 100)
+    raw = ("é" * 1000 + "ab").encode()
+    ends = chunk_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist()
+    parts = [raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+    assert "".join(parts).encode() == raw and max(len(p.encode()) for p in parts) <= 100
+    assert chunk_dedup.cuts(np.zeros(0, np.uint8)).tolist() == []
+
+
 def test_long_text_in_pieces(monkeypatch):
     from queuelens.llm import common
 
