@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Units of duration texts in nanoseconds.
 UNITS = {"ns": 1, "us": 1_000, "µs": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
 ZERO_TIME = "0001-01-01 00:00:00"
+#: The fairness key of messages without one.
+DEFAULT_KEY = "__default__"
 
 
 def micros(column: str) -> Column:
@@ -15,6 +17,22 @@ def micros(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
 
 
+def rfc3339(us: Column) -> Column:
+    """The UTC text of microseconds since the epoch, trailing zeros of the fraction cut: 2024-01-31T00:00:00.5Z."""
+    days, rest = F.floor(us / 86_400_000_000), F.pmod(us, F.lit(86_400_000_000))
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")), "yyyy-MM-dd")
+    seconds = F.floor(rest / 1_000_000)
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+    fraction = F.rtrim(F.format_string(".%06d", rest % 1_000_000), F.lit("0"))
+    return F.concat(day, clock, F.when(fraction == ".", "").otherwise(fraction), F.lit("Z"))
+
+
+def parse_rfc3339(text: Column) -> Column:
+    """Microseconds since the epoch of a text with its zone (Z or an offset), digits beyond microseconds cut; null where it is none."""
+    good = F.regexp_like(text, F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"))
+    return F.when(good, F.unix_micros(F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"))))
+
+
 def or_default(c: Column, default: str) -> Column:
     """A trimmed text, or the default where it is null or blank."""
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default))
@@ -81,6 +99,12 @@ def trace_id(trace: Column, traceparent: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(trace), F.lit("")), F.when(F.size(F.split(traceparent, "-")) >= 2, F.get(F.split(traceparent, "-"), F.lit(1))), F.lit(""))
 
 
+def overwritten(headers: Column, new: Column) -> Column:
+    """Headers with new ones, which win; null headers are none."""
+    kept = F.map_filter(F.coalesce(headers, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(new, k))
+    return F.map_concat(kept, new)
+
+
 def fence_owner(token: Column) -> Column:
     return F.nullif(F.regexp_extract(token, r"^(.+)\|([0-9]+)$", 1), F.lit(""))
 
@@ -89,6 +113,71 @@ def fence_epoch(token: Column) -> Column:
     return F.nullif(F.regexp_extract(token, r"^(.+)\|([0-9]+)$", 2), F.lit("")).cast("long")
 
 
+#: Labels of metrics, and what stands for a blank one.
+LABEL_DEFAULTS = {
+    "queue": "default", "task_name": "unknown", "result_class": "unknown", "fairness_bucket": "default", "admission_source": "unknown", "admission_decision": "unknown", "admission_reason": "none", "pool": "default", "budget": "unknown",
+    "adaptive_reason": "none", "adaptive_action": "none", "lifecycle_state": "unknown", "shutdown_outcome": "unknown", "abandon_reason": "unknown", "worker_id": "unknown",
+}
+
+
+#: The same by the names that labels have in metrics.
+METRIC_DEFAULTS = {"queue": "default", "pool": "default", "bucket": "default", "source": "unknown", "decision": "unknown", "reason": "none", "action": "none", "state": "unknown"}
+
+
+def label(name: str, c: Column) -> Column:
+    return or_default(c, LABEL_DEFAULTS[name])
+
+
+def distinct_names(rows: DataFrame, column: str, default: str) -> DataFrame:
+    """The names of a column, trimmed, blank ones by their default, each once and in order."""
+    return rows.select(or_default(F.col(column), default).alias("name")).distinct().orderBy("name")
+
+
+def lease_key(queue: Column, fairness_key: Column, delivery_id: Column) -> Column:
+    return F.concat_ws(":", queue, or_default(fairness_key, DEFAULT_KEY), delivery_id)
+
+
+def stream_key(queue: Column, fairness_key: Column) -> Column:
+    key = F.trim(F.coalesce(fairness_key, F.lit("")))
+    return F.concat(F.lit("stream:"), or_default(queue, "default"), F.when(key == "", "").otherwise(F.concat(F.lit(":"), key)))
+
+
+def group_key(queue: Column) -> Column:
+    return F.concat(F.lit("group:"), or_default(queue, "default"))
+
+
+def consumer_name(base: Column, host: Column, pid: Column) -> Column:
+    return F.concat_ws(":", or_default(base, "worker"), or_default(host, "unknown-host"), pid.cast("string"))
+
+
+def has_header(headers: Column, name: str) -> Column:
+    return F.coalesce(F.element_at(headers, name), F.lit("")) != ""
+
+
+def clamp(c: Column, least: Column, most: Column) -> Column:
+    return F.greatest(least, F.least(c, most))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, 0 where b is 0."""
+    return F.coalesce(F.try_divide(a, b.cast("double")), F.lit(0.0))
+
+
+STREAM_ID = r"^([0-9]{1,18})-([0-9]{1,18})$"
+
+
+def stream_after(entry_id: Column) -> Column:
+    """The id that follows; a text that is no stream id stays as it is."""
+    return F.when(F.regexp_like(entry_id, F.lit(STREAM_ID)), F.concat(stream_ms(entry_id).cast("string"), F.lit("-"), (stream_seq(entry_id) + 1).cast("string"))).otherwise(entry_id)
+
+
+def stream_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: by milliseconds and sequence, or as texts where one is no stream id."""
+    both = F.regexp_like(a, F.lit(STREAM_ID)) & F.regexp_like(b, F.lit(STREAM_ID))
+    of = [F.struct(F.when(both, stream_ms(x)).alias("ms"), F.when(both, stream_seq(x)).alias("seq"), F.when(~both, x).alias("text")) for x in (a, b)]
+    return F.when(of[0] < of[1], -1).when(of[0] > of[1], 1).otherwise(0)
+
+
 def stream_ms(entry_id: Column) -> Column:
     return F.split_part(entry_id, F.lit("-"), F.lit(1)).cast("long")
 

@@ -5,34 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import or_default
+from ..functions import exprs
 from ..sources.task_log import AS_OF_US
 
 #: Upper bounds of latency buckets in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
-def counters(log: DataFrame, classes: DataFrame) -> DataFrame:
-    """All task counters in one pass: rows (family, queue, label, value)."""
-    at = log.join(classes, "failure_code", "left")
-    p, queue = F.col("placement"), or_default(F.col("queue"), "default")
-    lease_over = F.lit(AS_OF_US) - F.col("created_us") >= F.floor(F.col("ttl_ns") / 1000)
-
-    def fam(name, label, condition):
-        return F.when(condition, F.struct(F.lit(name).alias("family"), label.alias("label")))
-
-    blank = F.lit("")
-    families = F.array(
-        fam("tasks_published_total", blank, F.lit(True)),
-        fam("tasks_reserved_total", blank, p.isin("acked", "pending", "dead")),
-        fam("tasks_reclaimed_total", blank, (p == "pending") & lease_over),
-        fam("tasks_completed_total", blank, (p == "acked") & ~F.col("failed")),
-        fam("tasks_failed_total", blank, p.isin("acked", "dead") & F.col("failed")),
-        fam("tasks_retried_total", blank, (p == "delayed") & F.col("is_retry")),
-        fam("task_dead_letter_results_total", or_default(F.col("failure_class"), "unknown"), p == "dead"),
-    )
-    rows = at.select(queue.alias("queue"), F.explode(F.filter(families, lambda x: x.isNotNull())).alias("x"))
-    return rows.groupBy("x.family", "queue", "x.label").agg(F.count("*").alias("value"))
+def families(rows: DataFrame, defined: dict[str, tuple[str, tuple[str, ...], str]]) -> DataFrame:
+    """Counters in one pass over rows: (family, labels, value). Each family has a condition, its labels (columns or expressions `e AS name`) and
+    what it adds up (1 to count). Labels read name=value, in their order."""
+    made = []
+    for family, (condition, labels, added) in defined.items():
+        parts = [x.rsplit(" AS ", 1) if " AS " in x else (x, x) for x in labels]
+        said = F.concat_ws(",", *[F.concat(F.lit(f"{name}="), exprs.or_default(F.expr(e).cast("string"), exprs.METRIC_DEFAULTS.get(name, "unknown"))) for e, name in parts]) if parts else F.lit("")
+        made.append(F.when(F.expr(condition), F.struct(F.lit(family).alias("family"), said.alias("labels"), F.expr(added).cast("double").alias("added"))))
+    at = rows.select(F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x"))
+    return at.groupBy("x.family", "x.labels").agg(F.sum("x.added").alias("value"))
+
+
+def gauge(rows: DataFrame, family: str, labels: tuple[str, ...], value: str) -> DataFrame:
+    """A row for each row: what a scrape shows of a snapshot."""
+    return families(rows, {family: ("true", labels, value)})
 
 
 def latency_histogram(log: DataFrame) -> DataFrame:
@@ -51,16 +45,36 @@ def active_tasks(log: DataFrame) -> DataFrame:
     return log.groupBy("queue", "task_name").agg(F.sum(change).cast("long").alias("active"))
 
 
-def one_hot(status: DataFrame, states: tuple[str, ...] = ("normal", "degraded", "rejecting")) -> DataFrame:
+def one_hot(rows: DataFrame, states: tuple[str, ...] = ("normal", "degraded", "rejecting"), names: tuple[str, ...] = ("queue",)) -> DataFrame:
     """A 0/1 gauge for each possible state."""
-    return status.select("queue", F.explode(F.array(*map(F.lit, states))).alias("gauge"), "state").select("queue", F.col("gauge").alias("state_label"), (F.col("gauge") == F.col("state")).cast("long").alias("value"))
+    every = rows.select(*names, F.explode(F.array(*map(F.lit, states))).alias("gauge"), "state")
+    return every.select(*names, F.col("gauge").alias("state_label"), (F.col("gauge") == F.col("state")).cast("long").alias("value"))
+
+
+def as_json(rows: DataFrame, names: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """The fields of each row as a JSON body."""
+    return rows.select(*names, F.to_json(F.struct(*fields)).alias("body"))
+
 
+def exposition(shown: DataFrame) -> DataFrame:
+    """family{label="value",...} value: the text format of a scrape, from (family, labels, value)."""
+    quoted = F.regexp_replace("labels", r"([^=,]+)=([^,]*)", '$1="$2"')
+    number = F.when(F.col("value") == F.floor("value"), F.floor("value").cast("string")).otherwise(F.col("value").cast("string"))
+    return shown.select(F.concat("family", F.when(F.col("labels") == "", "").otherwise(F.concat(F.lit("{"), quoted, F.lit("}"))), F.lit(" "), number).alias("line"))
 
-def latest_snapshots(log: DataFrame, life_us: int) -> DataFrame:
-    """Last report of every worker younger than its life, sorted by queue and worker."""
-    last = log.groupBy("queue", "consumer").agg(F.max_by(F.struct("task_id", "placement", "created_us"), "seq").alias("x"))
-    state = F.when(F.col("x.placement") == "pending", "accepting").when(F.col("x.placement") == "ready", "draining").otherwise("stopped")
-    return last.filter(F.col("x.created_us") > AS_OF_US - life_us).select("queue", F.col("consumer").alias("worker_id"), "x.task_id", state.alias("state")).orderBy("queue", "worker_id")
+
+def worker_snapshots(reports: DataFrame, life_us: int) -> DataFrame:
+    """Last report of every named worker that is younger than its life, sorted by queue, pool and worker."""
+    named = reports.filter(F.trim("worker_id") != "").groupBy("queue", "pool", "worker_id")
+    last = named.agg(F.max_by(F.struct("state", "pending", "running", "updated_us"), F.struct("updated_us", "seq")).alias("x")).filter(F.col("x.updated_us") > AS_OF_US - life_us)
+    return last.select("queue", "pool", "worker_id", "x.state", "x.pending", "x.running").orderBy("queue", "pool", "worker_id")
+
+
+def shutdowns(reports: DataFrame) -> DataFrame:
+    """Workers that stopped: drained, or forced after the timeout, which abandons what they ran and held."""
+    outcome = F.when(F.col("forced"), "forced_timeout").otherwise("drained")
+    abandoned = F.when(F.col("forced"), F.col("pending") + F.col("running")).otherwise(0)
+    return reports.filter("state = 'stopped'").groupBy("pool", "queue", outcome.alias("outcome")).agg(F.count("*").alias("shutdowns"), F.sum(abandoned).cast("long").alias("abandoned"))
 
 
 def safety(log: DataFrame) -> DataFrame:
@@ -68,11 +82,3 @@ def safety(log: DataFrame) -> DataFrame:
     rows = log.filter("failed").select(F.col("queue").alias("operation"), F.col("failure_code").cast("string").alias("reason"))
     keys = F.array(F.col("operation"), F.concat_ws(":", "operation", "reason"))
     return rows.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("value"))
-
-
-def integrity(keys: DataFrame, rules: DataFrame) -> DataFrame:
-    """Problems of a fairness policy: keys given twice or blank, buckets without positive weight."""
-    twice = keys.groupBy("fairness_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_key").alias("problem"), F.col("fairness_key").alias("subject"))
-    blank = keys.filter(F.trim("fairness_key") == "").select(F.lit("blank_key").alias("problem"), F.col("bucket").alias("subject"))
-    weight = rules.filter("weight <= 0").select(F.lit("bad_weight").alias("problem"), F.col("bucket").alias("subject"))
-    return twice.unionByName(blank).unionByName(weight)

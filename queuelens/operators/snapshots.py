@@ -119,10 +119,24 @@ def decide(at: DataFrame, source) -> DataFrame:
     return at.withColumns({"decision": decision, "state": state}).withColumn("defer_until_us", F.when(F.col("decision") == "deferred", F.lit(AS_OF_US) + F.col("defer_us")))
 
 
-def admission_status(log: DataFrame, policies: DataFrame, queues: DataFrame) -> DataFrame:
-    """What a new message without fairness key would meet on each queue."""
-    at = admission_signals(log, policies, queues).withColumn("reason", admission_reason(F.lit(0)))
-    return decide(at, F.lit("new")).select("queue", "mode", "queue_pending", "oldest_age_us", "retry_signal", "dead_signal", "reason", "decision", "state", "defer_until_us")
+def key_decisions(log: DataFrame, policies: DataFrame, queues: DataFrame, fair_queues: DataFrame, source: str = "new") -> DataFrame:
+    """What a message of each queue and fairness key would meet. A key's pending work counts only where its queue has a fairness policy and
+    a cap; a blank key is the default key and counts like any other."""
+    pending = key_snapshot(log).select("queue", "fairness_key", (F.col("ready") + F.col("reserved")).alias("own"))
+    at = pending.join(admission_signals(log, policies, queues), "queue", "left").join(fair_queues.withColumn("fair", F.lit(True)), "queue", "left")
+    own = F.when(F.coalesce("fair", F.lit(False)) & (F.col("max_pending_per_key") > 0), F.col("own")).otherwise(F.lit(0).cast("long"))
+    at = at.withColumn("key_pending", own)
+    return decide(at.withColumn("reason", F.coalesce(admission_reason(F.col("key_pending")), F.lit(""))), F.lit(source))
+
+
+def admission_status(log: DataFrame, policies: DataFrame, queues: DataFrame, fair_queues: DataFrame) -> DataFrame:
+    """What a new message without fairness key would meet on each queue: it counts with the default key, that of messages without one."""
+    own = key_snapshot(log).filter("fairness_key = ''").select("queue", (F.col("ready") + F.col("reserved")).alias("own"))
+    at = admission_signals(log, policies, queues).join(own, "queue", "left").join(fair_queues.withColumn("fair", F.lit(True)), "queue", "left")
+    capped = F.coalesce("fair", F.lit(False)) & (F.col("max_pending_per_key") > 0)
+    at = at.withColumn("key_pending", F.when(capped, F.coalesce("own", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+    at = at.withColumn("reason", admission_reason(F.col("key_pending")))
+    return decide(at, F.lit("new")).select("queue", "mode", "queue_pending", "key_pending", "oldest_age_us", "retry_signal", "dead_signal", "reason", "decision", "state", "defer_until_us")
 
 
 def fairness_tiers(log: DataFrame, rules: DataFrame, rule_keys: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, scalars, views
+from . import config, decisions, flows, gauges, scalars, views
 
-_ALL = (views.QUERIES, decisions.QUERIES, scalars.QUERIES)
+_ALL = (views.QUERIES, decisions.QUERIES, flows.QUERIES, config.QUERIES, gauges.QUERIES, scalars.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

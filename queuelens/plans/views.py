@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import delivery, metrics, snapshots
-from ..sources.task_log import AS_OF_US, DAY_US, LOG_SQL, dim, dim_sql, task_log
+from ..sources.task_log import AS_OF_US, DAY_US, dim, task_log
+from .base import registry
 
 QUERIES: dict = {}
-
-
-def query(sql: str | None = None, *dims: str):
-    """Registers a query; its SQL twin follows the log and the named policy tables."""
-
-    def add(f):
-        head = ", ".join([LOG_SQL, *([dim_sql(*dims)] if dims else [])])
-        QUERIES[f.__name__] = (f, f"WITH {head}{sql}" if sql and sql.startswith(",") else f"WITH {head} {sql}" if sql else None)
-        return f
-
-    return add
+query = registry(QUERIES)
 
 
 KEYS_SQL = f""", keys AS (SELECT queue, fairness_key, count(*) FILTER (placement = 'ready') AS ready, count(*) FILTER (placement = 'pending') AS reserved_now,
@@ -27,27 +18,52 @@ COUNTS_SQL = """, snap AS (SELECT q.queue, coalesce(depth, 0) AS depth, coalesce
   FROM queues q LEFT JOIN (SELECT queue, count(*) FILTER (placement = 'ready') AS depth, count(*) FILTER (placement = 'pending') AS reserved,
   count(DISTINCT CASE WHEN placement = 'pending' THEN consumer END) AS consumers, count(*) FILTER (placement = 'dead') AS dead,
   count(*) FILTER (placement = 'delayed') AS delayed, count(*) FILTER (placement = 'delayed' AND is_retry) AS retry_backlog FROM log GROUP BY queue) USING (queue))"""
-STATUS_SQL = COUNTS_SQL + KEYS_SQL + f""", sig AS (SELECT p.*, depth + reserved AS queue_pending,
+SIG_SQL = COUNTS_SQL + KEYS_SQL + """, sig AS (SELECT p.*, depth + reserved AS queue_pending, fq.queue IS NOT NULL AND max_pending_per_key > 0 AS key_capped,
   CASE WHEN max_oldest_age_us > 0 THEN coalesce(oldest, 0) ELSE 0 END AS oldest_age_us, CASE WHEN max_retry_backlog > 0 THEN retry_backlog ELSE 0 END AS retry_signal,
   CASE WHEN max_dead > 0 THEN dead ELSE 0 END AS dead_signal
-  FROM admission_policies p JOIN snap USING (queue) LEFT JOIN (SELECT queue, max(oldest_ready_us) AS oldest FROM keys GROUP BY queue) USING (queue)),
-why AS (SELECT *, CASE WHEN max_pending > 0 AND queue_pending >= max_pending THEN 'queue_pending_cap' WHEN max_oldest_age_us > 0 AND oldest_age_us >= max_oldest_age_us THEN 'oldest_ready_age'
-  WHEN max_retry_backlog > 0 AND retry_signal >= max_retry_backlog THEN 'retry_backlog' WHEN max_dead > 0 AND dead_signal >= max_dead THEN 'dead_letter_size' ELSE '' END AS reason FROM sig),
-status AS (SELECT queue, mode, queue_pending, oldest_age_us, retry_signal, dead_signal, reason,
-  CASE WHEN reason = '' THEN 'accepted' WHEN mode = 'reject' THEN 'rejected' ELSE 'deferred' END AS decision,
-  CASE WHEN reason = '' THEN 'normal' WHEN mode = 'reject' THEN 'rejecting' ELSE 'degraded' END AS state,
-  CASE WHEN reason <> '' AND mode <> 'reject' THEN {AS_OF_US} + defer_us END AS defer_until_us FROM why)"""
+  FROM admission_policies p JOIN snap USING (queue) LEFT JOIN (SELECT queue, max(oldest_ready_us) AS oldest FROM keys GROUP BY queue) USING (queue) LEFT JOIN fair_queues fq USING (queue))"""
+REASON_SQL = """CASE WHEN max_pending_per_key > 0 AND key_pending >= max_pending_per_key THEN 'fairness_key_pending_cap' WHEN max_pending > 0 AND queue_pending >= max_pending THEN 'queue_pending_cap'
+  WHEN max_oldest_age_us > 0 AND oldest_age_us >= max_oldest_age_us THEN 'oldest_ready_age' WHEN max_retry_backlog > 0 AND retry_signal >= max_retry_backlog THEN 'retry_backlog' WHEN max_dead > 0 AND dead_signal >= max_dead THEN 'dead_letter_size' ELSE '' END"""
+
+
+def decision_sql(source: str = "new") -> str:
+    """decision, state and defer_until_us of rows with reason and mode."""
+    free = "(reason = '' OR mode = 'disabled')" if source != "dead_letter" else "true"
+    reject = "mode = 'reject'" if source != "due_release" else "false"
+    return f"""CASE WHEN {free} THEN 'accepted' WHEN {reject} THEN 'rejected' ELSE 'deferred' END AS decision, CASE WHEN {free} THEN 'normal' WHEN mode = 'reject' THEN 'rejecting' ELSE 'degraded' END AS state,
+  CASE WHEN {free} OR {reject} THEN NULL ELSE {AS_OF_US} + defer_us END AS defer_until_us"""
+
+
+STATUS_SQL = SIG_SQL + f""", why0 AS (SELECT sig.*, CASE WHEN key_capped THEN coalesce((SELECT ready + reserved_now FROM keys k WHERE k.queue = sig.queue AND k.fairness_key = ''), 0) ELSE 0 END AS key_pending FROM sig),
+why AS (SELECT *, {REASON_SQL} AS reason FROM why0),
+status AS (SELECT queue, mode, queue_pending, key_pending, oldest_age_us, retry_signal, dead_signal, reason, {decision_sql()} FROM why)"""
+#: The decision for every queue and fairness key, as {dec_new} and so on by source.
+KEY_DECISIONS_SQL = SIG_SQL + f""", kp AS (SELECT k.queue, k.fairness_key, sig.* EXCLUDE (queue), CASE WHEN key_capped THEN ready + reserved_now ELSE 0 END AS key_pending FROM keys k JOIN sig USING (queue)), kr AS (SELECT *, {REASON_SQL} AS reason FROM kp),
+dec AS (SELECT *, {decision_sql()} FROM kr)"""
+STATUS_DIMS = ("queues", "fair_queues", "admission_policies")
 
 
 def _status(spark, d):
-    return snapshots.admission_status(task_log(spark, d), dim(spark, "admission_policies"), dim(spark, "queues"))
+    return snapshots.admission_status(task_log(spark, d), dim(spark, "admission_policies"), dim(spark, "queues"), dim(spark, "fair_queues"))
+
 
+def _decisions(spark, d, source="new"):
+    return snapshots.key_decisions(task_log(spark, d), dim(spark, "admission_policies"), dim(spark, "queues"), dim(spark, "fair_queues"), source)
 
-@query(STATUS_SQL + " SELECT * FROM status", "queues", "admission_policies")
+
+@query(STATUS_SQL + " SELECT * FROM status", *STATUS_DIMS)
 def admission_status(spark, d):
     return _status(spark, d)
 
 
+@query(SIG_SQL + f""", kp AS (SELECT k.queue, k.fairness_key, sig.* EXCLUDE (queue), CASE WHEN key_capped THEN ready + reserved_now ELSE 0 END AS key_pending FROM keys k JOIN sig USING (queue)), kr AS (SELECT *, {REASON_SQL} AS reason FROM kp)
+ SELECT queue, fairness_key, source, key_pending, reason, decision, state, defer_until_us FROM (SELECT 'new' AS source, *, {decision_sql()} FROM kr UNION ALL SELECT 'due_release', *, {decision_sql("due_release")} FROM kr UNION ALL SELECT 'dead_letter', *, {decision_sql("dead_letter")} FROM kr)""", *STATUS_DIMS)
+def admission_decisions(spark, d):
+    every = [_decisions(spark, d, source).withColumn("source", F.lit(source)) for source in ("new", "due_release", "dead_letter")]
+    out = every[0].unionByName(every[1]).unionByName(every[2])
+    return out.select("queue", "fairness_key", "source", "key_pending", "reason", "decision", "state", "defer_until_us")
+
+
 @query(COUNTS_SQL + " SELECT * FROM snap", "queues")
 def queue_snapshot(spark, d):
     return snapshots.queue_snapshot(task_log(spark, d), dim(spark, "queues"))
@@ -194,17 +210,6 @@ def latest_results(spark, d):
     return delivery.latest_result(task_log(spark, d))
 
 
-LEASE_OVER = f"{AS_OF_US} - created_us >= ttl_ns // 1000"
-
-
-@query(f""", f AS (SELECT 'tasks_published_total' AS family, queue, '' AS label FROM log UNION ALL SELECT 'tasks_reserved_total', queue, '' FROM log WHERE placement IN ('acked', 'pending', 'dead')
- UNION ALL SELECT 'tasks_reclaimed_total', queue, '' FROM log WHERE placement = 'pending' AND {LEASE_OVER} UNION ALL SELECT 'tasks_completed_total', queue, '' FROM log WHERE placement = 'acked' AND NOT failed
- UNION ALL SELECT 'tasks_failed_total', queue, '' FROM log WHERE placement IN ('acked', 'dead') AND failed UNION ALL SELECT 'tasks_retried_total', queue, '' FROM log WHERE placement = 'delayed' AND is_retry
- UNION ALL SELECT 'task_dead_letter_results_total', queue, failure_class FROM log JOIN failure_classes USING (failure_code) WHERE placement = 'dead') SELECT family, queue, label, count(*) AS value FROM f GROUP BY ALL""", "failure_classes")
-def task_counters(spark, d):
-    return metrics.counters(task_log(spark, d), dim(spark, "failure_classes"))
-
-
 @query(""", g AS (SELECT queue, task_name, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS status, latency_ns FROM log WHERE placement IN ('acked', 'dead')),
  b AS (SELECT * FROM (VALUES """ + ", ".join(f"('{b:g}', {b})" for b in metrics.BUCKETS) + """, ('+Inf', 1e18)) v(le, bound))
  SELECT queue, task_name, status, count(*) AS n, CAST(sum(latency_ns) AS BIGINT) AS sum_ns, le, count(*) FILTER (latency_ns <= bound * 1e9) AS cumulative FROM g, b GROUP BY queue, task_name, status, le""")
@@ -217,17 +222,11 @@ def active_tasks(spark, d):
     return metrics.active_tasks(task_log(spark, d))
 
 
-@query(STATUS_SQL + " SELECT queue, s AS state_label, CAST(s = state AS BIGINT) AS value FROM status, (VALUES ('normal'), ('degraded'), ('rejecting')) v(s)", "queues", "admission_policies")
+@query(STATUS_SQL + " SELECT queue, s AS state_label, CAST(s = state AS BIGINT) AS value FROM status, (VALUES ('normal'), ('degraded'), ('rejecting')) v(s)", *STATUS_DIMS)
 def admission_state_gauges(spark, d):
     return metrics.one_hot(_status(spark, d))
 
 
-@query(f""", w AS (SELECT queue, consumer, arg_max(task_id, seq) AS task_id, arg_max(placement, seq) AS p, arg_max(created_us, seq) AS us FROM log GROUP BY queue, consumer)
- SELECT queue, consumer AS worker_id, task_id, CASE p WHEN 'pending' THEN 'accepting' WHEN 'ready' THEN 'draining' ELSE 'stopped' END AS state FROM w WHERE us > {AS_OF_US - 2 * DAY_US}""")
-def worker_lifecycle_snapshot(spark, d):
-    return metrics.latest_snapshots(task_log(spark, d), 2 * DAY_US)
-
-
 @query(""", k AS (SELECT queue AS key FROM log WHERE failed UNION ALL SELECT concat(queue, ':', CAST(failure_code AS STRING)) FROM log WHERE failed) SELECT key, count(*) AS value FROM k GROUP BY key""")
 def safety_counters(spark, d):
     return metrics.safety(task_log(spark, d))

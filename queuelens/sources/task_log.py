@@ -5,10 +5,10 @@ Policies are small constant tables (a row for each queue, rule, budget or pool);
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import micros
+from ..functions.exprs import micros, parse_rfc3339, rfc3339
 
 AS_OF_US = 1_706_659_200_000_000  # 2024-01-31 00:00:00 UTC
 DAY_US = 86_400_000_000
@@ -30,7 +30,7 @@ FIELDS = {
     "latency_ns": "CAST(round(value * 10) AS BIGINT) * 1000000",
     "failed": "event_type = 'error'",
     "failure_code": "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6",
-    "dedup_key": "concat('k-', CAST(event_id % 5000 AS STRING))",
+    "dedup_key": "concat('k-', CAST(user_id AS STRING), '-', CAST(CAST(floor(value) AS BIGINT) % 16 AS STRING))",
 }
 
 
@@ -45,14 +45,16 @@ LOG_SQL = "log AS (SELECT *, created_us + delay_us AS eta_us FROM (SELECT epoch_
 # Policy tables: columns with types, then rows.
 DIMS: dict[str, tuple[str, list[tuple]]] = {
     "queues": ("queue string", [("bulk",), ("critical",), ("default",)]),
+    "fair_queues": ("queue string", [("critical",), ("default",)]),
     "admission_policies": (
         "queue string, mode string, max_pending long, max_pending_per_key long, max_oldest_age_us long, max_retry_backlog long, max_dead long, defer_us long",
-        [("critical", "defer", 1000, 0, 0, 200, 0, 5_000_000), ("bulk", "reject", 1500, 0, 15 * DAY_US, 0, 0, 5_000_000), ("default", "reject", 0, 100, 0, 0, 150, 5_000_000)],
+        [("critical", "defer", 1000, 0, 0, 200, 0, 5_000_000), ("bulk", "reject", 1500, 0, 15 * DAY_US, 0, 0, 5_000_000), ("default", "reject", 0, 75, 0, 0, 250, 5_000_000)],
     ),
     "fairness_rules": ("bucket string, weight long, reserved long, soft_quota long, hard_quota long, burst long", [("vip", 3, 2, 0, 60, 0), ("burst", 2, 0, 40, 0, 10), ("default", 1, 0, 0, 50, 0)]),
     "fairness_rule_keys": ("fairness_key string, bucket string", [("tenant-0", "vip"), ("tenant-1", "burst"), ("tenant-2", "burst")]),
     "retry_policies": ("queue string, max_deliveries long, initial_ns long, max_ns long, multiplier double, jitter double, max_age_ns long", [("critical", 3, 1_000_000_000, 30_000_000_000, 2.0, 0.2, 0), ("default", 5, 1_000_000_000, 5_000_000_000, 2.0, 0.0, 0), ("bulk", 2, 500_000_000, 10_000_000_000, 3.0, 0.1, 20 * DAY_US * 1000)]),
     "budgets": ("budget string, capacity long", [("downstream", 40), ("mailer", 25), ("unused", 5)]),
+    "tight": ("budget string, capacity long", [("downstream", 7), ("mailer", 3)]),
     "task_budgets": ("task_name string, budget string, tokens long", [("purchase", "downstream", 2), ("signup", "mailer", 1), ("error", "downstream", 1)]),
     "task_limits": ("task_name string, global_limit long, pool_limit long", [("purchase", 30, 10), ("click", 50, 20), ("error", 10, 10)]),
     "pools": ("pool string, queue string, concurrency long, prefetch long", [("pool-bulk", "bulk", 8, 8), ("pool-critical", "critical", 4, 6), ("pool-default", "default", 4, 4)]),
@@ -85,11 +87,13 @@ MESSAGE_SCHEMA = (
 )
 
 
-def parse_messages(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Messages from JSON lines: fixed schema, unknown fields ignored; a line that is no message has corrupt true."""
+def parse_messages(lines: DataFrame, column: str = "value", keep: str | None = None) -> DataFrame:
+    """Messages from JSON lines: fixed schema, unknown fields ignored; a line that is no message has corrupt true. A column of the
+    lines may be kept."""
     parsed = F.from_json(F.col(column), MESSAGE_SCHEMA, {"mode": "PERMISSIVE"})
-    out = lines.select(F.col(column).alias("raw"), parsed.alias("m"))
-    return out.select("m.*", (F.col("m").isNull() | F.col("m.id").isNull()).alias("corrupt"))
+    kept = [keep] if keep else []
+    out = lines.select(*kept, parsed.alias("m"))
+    return out.select(*kept, "m.*", (F.col("m").isNull() | F.col("m.id").isNull()).alias("corrupt"))
 
 
 def normalise(messages: DataFrame, now: str) -> DataFrame:
@@ -102,6 +106,31 @@ def normalise(messages: DataFrame, now: str) -> DataFrame:
     })
 
 
+def delayed_entry_json(entry_id: Column, scheduled_for_us: Column, message: Column) -> Column:
+    """A delayed entry as JSON; the message's binary payload becomes base64."""
+    return F.to_json(F.struct(entry_id.alias("entry_id"), rfc3339(scheduled_for_us).alias("scheduled_for"), message.alias("message")))
+
+
+def parse_delayed_entry(lines: DataFrame, column: str = "value") -> DataFrame:
+    """entry_id, scheduled_for_us and message of delayed entries."""
+    at = lines.select(F.from_json(F.col(column), f"entry_id string, scheduled_for string, message struct<{MESSAGE_SCHEMA.replace(' ', ':').replace(',:', ',')}>").alias("e"))
+    return at.select("e.entry_id", parse_rfc3339(F.col("e.scheduled_for")).alias("scheduled_for_us"), "e.message")
+
+
+ENVELOPE_SCHEMA = "original_task struct<id:string,name:string,queue:string,attempt:int>, failure_class string, last_error string, delivery_count long, first_enqueued_at string, last_failure_at string, worker_identity string, delivery_id string, trace_id string"
+
+
+def dead_letter_json(entry_id: Column, queue: Column, envelope: Column) -> Column:
+    """A dead letter as a message: the envelope is JSON in the payload, which is base64 in the message's own JSON."""
+    return F.to_json(F.struct(entry_id.alias("id"), F.lit("dead_letter").alias("name"), queue.alias("queue"), F.to_json(envelope).cast("binary").alias("payload")))
+
+
+def parse_dead_letter(lines: DataFrame, column: str = "value") -> DataFrame:
+    """id, queue and envelope of dead letters."""
+    at = lines.select(F.from_json(F.col(column), "id string, queue string, payload binary").alias("m"))
+    return at.select("m.id", "m.queue", F.from_json(F.col("m.payload").cast("string"), ENVELOPE_SCHEMA).alias("envelope"))
+
+
 def write_messages(messages: DataFrame, path: str) -> None:
     """Messages as JSON lines."""
     messages.select(F.to_json(F.struct(*messages.columns)).alias("value")).write.text(path)

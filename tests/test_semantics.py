@@ -61,19 +61,98 @@ def test_classes_and_outcomes(spark):
 
 
 def test_caps_equal_replay(spark):
+    """Only accepted work is pending: what is rejected raises neither the queue's nor its key's count."""
     rng = random.Random(5)
-    rows = [(k, f"q{rng.randrange(3)}", f"k{rng.randrange(4)}") for k in range(300)]
-    got = {r.seq: r.reason for r in control.admit_by_caps(spark.createDataFrame(rows, "seq int, queue string, fairness_key string"), 40, 15).collect()}
-    whole, keyed, want = defaultdict(int), defaultdict(int), {}
-    for k, q, f in rows:
-        want[k] = "fairness_key_pending_cap" if keyed[q, f] >= 15 else "queue_pending_cap" if whole[q] >= 40 else ""
-        if not want[k]:
-            whole[q] += 1
-        if keyed[q, f] < 15:
-            keyed[q, f] += 1
+    for per_queue, per_key in ((40, 15), (30, 40), (200, 9), (1, 1)):
+        rows = [(k, f"q{rng.randrange(3)}", f"k{rng.randrange(4)}") for k in range(300)]
+        got = {r.seq: r.reason for r in control.admit_by_caps(spark.createDataFrame(rows, "seq int, queue string, fairness_key string"), per_queue, per_key).collect()}
+        whole, keyed, want = defaultdict(int), defaultdict(int), {}
+        for k, q, f in rows:
+            want[k] = "fairness_key_pending_cap" if keyed[q, f] >= per_key else "queue_pending_cap" if whole[q] >= per_queue else ""
+            if not want[k]:
+                whole[q] += 1
+                keyed[q, f] += 1
+        assert got == want
+
+
+def test_slots_equal_replay(spark):
+    """A task without a pool slot gives its global slot back."""
+    rng = random.Random(9)
+    limits = {"a": (6, 3), "b": (4, 9), "c": (None, 2), "d": (None, None)}
+    rows = [(k, rng.choice("abcd"), f"q{rng.randrange(3)}") for k in range(120)]
+    df = spark.createDataFrame(rows, "seq long, task_name string, queue string")
+    caps = spark.createDataFrame([(n, *v) for n, v in limits.items() if n != "d"], "task_name string, global_limit long, pool_limit long")
+    got = {r.seq: r.gets_slot for r in control.task_slots(df, caps).collect()}
+    whole, pooled, want = defaultdict(int), defaultdict(int), {}
+    for k, n, q in rows:
+        most, pool = limits[n]
+        want[k] = (most is None or whole[n] < most) and (pool is None or pooled[n, q] < pool)
+        if want[k]:
+            whole[n] += 1
+            pooled[n, q] += 1
     assert got == want
 
 
+def test_receipts_equal_replay(spark):
+    """Gaps on both sides of the receipts' life, publishes that are let in and others that are not, and ties."""
+    rng = random.Random(21)
+    rows, at = [], 0
+    for k in range(400):
+        at += rng.choice([0, 1, 5, 10, 20, 30, 99, 100, 101])
+        rows.append((k, at, f"k{rng.randrange(4)}", rng.random() < 0.7))
+    got = {r.seq: r.deduplicated for r in delivery.with_receipts(spark.createDataFrame(rows, "seq long, created_us long, dedup_key string, accepts boolean"), 100).collect()}
+    last, want = {}, {}
+    for k, t, key, accepts in rows:
+        want[k] = key in last and t - last[key] < 100
+        if not want[k] and accepts:
+            last[key] = t
+    assert got == want and 50 < sum(want.values()) < 350
+
+
+def test_dispatch_equals_replay(spark):
+    """Slots and budgets per queue; an entry that fails one gives back what it took, and the scan goes on."""
+    rng = random.Random(13)
+    limits, gates = {"a": (5, 2), "b": (3, 9)}, {"a": ("x", 2, 5), "c": ("x", 3, 5), "d": ("y", 1, 2)}
+    rows = [(f"q{rng.randrange(2)}", k, rng.choice("abcde")) for k in range(200)]
+    out = control.dispatch(spark.createDataFrame(rows, "queue string, seq long, task_name string"), 8, spark.createDataFrame([(n, *v) for n, v in limits.items()], "task_name string, global_limit long, pool_limit long"), spark.createDataFrame([(n, *v) for n, v in gates.items()], "task_name string, budget string, tokens long, capacity long"))
+    want, running, slots, used = [], defaultdict(int), defaultdict(int), defaultdict(int)
+    for q, k, n in rows:
+        budget, tokens, capacity = gates.get(n, (None, 0, 0))
+        if running[q] < 8 and slots[q, n] < min(limits.get(n, (99, 99))) and (budget is None or used[q, budget] + tokens <= capacity):
+            running[q] += 1
+            slots[q, n] += 1
+            used[q, budget] += tokens
+            want.append((q, k))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_mixed_token_leases_equal_replay(spark):
+    rng = random.Random(17)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice([1, 2, 3, 5])) for k in range(150)]
+    got = {r.seq: r.acquired for r in control.greedy_leases(spark.createDataFrame(rows, "budget string, seq long, tokens long"), spark.createDataFrame([("a", 17), ("b", 4)], "budget string, capacity long")).collect()}
+    used, want = defaultdict(int), {}
+    for b, k, n in rows:
+        want[k] = b is None or used[b] + n <= {"a": 17, "b": 4}[b]
+        used[b] += n if want[k] else 0
+    assert got == want
+
+
+def test_fair_reserves(spark):
+    """Reclaims come first, keys in order; then tiers, weights and quotas with every reservation counted."""
+    keys = [("q", "a", 5, 0, 2, 1, 0, 0, 0), ("q", "b", 5, 0, 1, 0, 0, 3, 0), ("q", "c", 5, 0, 1, 0, 1, 0, 2)]
+    df = spark.createDataFrame(keys, "queue string, fairness_key string, ready long, in_use long, weight long, reserved long, soft_quota long, hard_quota long, burst long")
+    over = spark.createDataFrame([("q", "b", 2)], "queue string, fairness_key string, n long")
+    got = [(r.fairness_key, r.kind) for r in control.fair_reserves(df, over, 14).orderBy("call").collect()]
+    assert got == [("b", "reclaimed"), ("b", "reclaimed"), ("a", "reserved"), ("a", "shared"), ("a", "shared"), ("b", "shared"), ("c", "shared"), ("a", "shared"), ("b", "shared"), ("a", "shared"), ("b", "shared"), ("c", "borrow"), ("c", "borrow")]
+
+
+def test_rfc3339(spark):
+    us = [(0,), (-1,), (1_706_659_200_500_000,), (1_706_659_200_000_001,)]
+    assert values(spark, exprs.rfc3339(F.col("u")), us, "u long") == ["1970-01-01T00:00:00Z", "1969-12-31T23:59:59.999999Z", "2024-01-31T00:00:00.5Z", "2024-01-31T00:00:00.000001Z"]
+    texts = [("2024-01-31T00:00:00.5Z",), ("2024-01-31T02:00:00+02:00",), ("2024-01-31T00:00:00.123456789Z",), ("2024-01-31",), (None,)]
+    assert values(spark, exprs.parse_rfc3339(F.col("t")), texts, "t string") == [1_706_659_200_500_000, 1_706_659_200_000_000, 1_706_659_200_123_456, None, None]
+
+
 def test_budget_history_equals_replay(spark):
     rng = random.Random(7)
     rows = [("b", k, k * 10, rng.choice(["acquire", "acquire", "renew", "release"]), f"l{rng.randrange(6)}", rng.randrange(1, 4), rng.choice([15, 60, 200])) for k in range(200)]
@@ -98,19 +177,23 @@ def test_adaptive_equals_replay(spark):
     rng = random.Random(3)
     rows = [("p", k * 100, n := rng.randrange(0, 5), rng.randrange(0, n + 1), n * rng.randrange(50, 250), int(rng.random() < 0.1), rng.randrange(0, 4)) for k in range(150)]
     df = spark.createDataFrame(rows, "pool string, window_us long, executions long, failures long, latency_sum_ns long, blocked long, backlog long")
-    got = [(r.window_us, r.concurrency) for r in control.adaptive(df, 2, 5, 1, 2, 200, 0.5, 1, 2, 300).orderBy("window_us").collect()]
+    got = [(r.window_us, r.concurrency, r.healthy, r.action, r.reason) for r in control.adaptive(df, 2, 5, 1, 2, 200, 0.5, 1, 2, 300).orderBy("window_us").collect()]
     c, healthy, at, want = 2, 0, None, []
     for _, w, n, failed, latency, blocked, backlog in rows:
-        mean, rate, before = (latency / n, failed / n, c) if n else (0, 0, c)
-        if mean > 200 or rate > 0.5 or (blocked and backlog >= 1):
-            healthy, c = 0, max(2, c - 1)
+        mean, rate, before, reason, action = (latency / n, failed / n, c, "", "") if n else (0, 0, c, "", "")
+        if mean > 200:
+            reason, action, c, healthy = "latency", "scale_down", max(2, c - 1), 0
+        elif rate > 0.5:
+            reason, action, c, healthy = "error_rate", "scale_down", max(2, c - 1), 0
+        elif blocked and backlog >= 1:
+            reason, action, c, healthy = "budget_exhaustion", "scale_down", max(2, c - 1), 0
         else:
             healthy = healthy + 1 if n and not blocked else 0
             if backlog >= 1 and healthy >= 2 and (at is None or w - at >= 300):
-                c = min(5, c + 2)
+                reason, action, c = "healthy_backlog", "scale_up", min(5, c + 2)
         at = w if c != before else at
-        want.append((w, c))
-    assert got == want
+        want.append((w, c, healthy, action if c != before else "", reason if c != before else ""))
+    assert got == want and {x[4] for x in want} == {"", "latency", "error_rate", "budget_exhaustion", "healthy_backlog"}
 
 
 def test_messages_round_trip(spark, tmp_path):
@@ -130,20 +213,3 @@ def test_handlers(spark):
     rows = spark.createDataFrame([("1", "a", b""), ("2", "b", b"")], "id string, name string, payload binary")
     got = {r.id: (r.ok, r.failure_class, r.error) for r in apply_handlers(rows, {"a": _fail}).collect()}
     assert got == {"1": (False, "permanent", "boom"), "2": (True, "", "")}
-
-
-def test_dispatch_reads_the_whole_queue(spark, tmp_path):
-    """A queue whose entries all come late, and names out of slots before it."""
-    from unittest import mock
-
-    from queuelens.plans import decisions
-
-    rows = [("a", k, f"n{k % 2}" if k < 3000 else f"m{k % 3}", "ready") for k in range(4000)] + [("late", k, f"n{k % 2}", "ready") for k in range(2500, 2600)] + [("a", 4000, "x", "dead")]
-    with mock.patch.object(decisions, "task_log", lambda *_: spark.createDataFrame(rows, "queue string, seq long, task_name string, placement string")):
-        got = sorted(map(tuple, decisions.QUERIES["dispatch_scan"][0](spark, "").collect()))
-    want, names, running = [], {}, {}
-    for q, k, n, p in sorted(rows, key=lambda r: r[1]):
-        if p == "ready" and running.get(q, 0) < 5 and names.get((q, n), 0) < 3:
-            names[q, n], running[q] = names.get((q, n), 0) + 1, running.get(q, 0) + 1
-            want.append((q, k))
-    assert got == sorted(want) and ("late", 2500) in got

@@ -1,6 +1,8 @@
 """Streams over finished folders give what batch gives."""
 
-from pyspark.sql import functions as F
+import time
+
+import pytest
 
 from queuelens.streaming import processors as p
 
@@ -11,6 +13,19 @@ def stream(spark, tmp_path, rows, schema):
     return p.read_log(spark, str(tmp_path / "in"), df.schema)
 
 
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    p.use_rocksdb(spark)
+
+
+def batches(spark, tmp_path, parts, schema):
+    """A stream that reads each part in a micro-batch of its own, in order."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05 if k + 1 < len(parts) else 0)
+    return p.read_log(spark, str(tmp_path / "in"), spark.createDataFrame(parts[0], schema).schema, 1)
+
+
 def done(spark, tmp_path, out):
     p.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     return spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()
@@ -48,7 +63,47 @@ def test_release(spark, tmp_path):
 
 
 def test_states(spark, tmp_path):
-    rows = [("t", 1, "queued"), ("t", 2, "running"), ("t", 3, "leased"), ("t", 4, "running"), ("t", 5, "succeeded")]
-    s = stream(spark, tmp_path, rows, "task_id string, seq long, state string")
+    rows = [("t", 1, ts(1), "queued"), ("t", 2, ts(2), "running"), ("t", 3, ts(3), "leased"), ("t", 4, ts(4), "running"), ("t", 5, ts(5), "succeeded"), ("t", 6, ts(6), "queued")]
+    late = [("u", 7, ts(200_000), "queued")], [("t", 8, ts(200_100), "leased"), ("u", 9, ts(200_100), "leased")]
+    s = batches(spark, tmp_path, (rows, *late), "task_id string, seq long, ts timestamp_ntz, state string")
     got = sorted((r.seq, r.valid, r.terminal) for r in done(spark, tmp_path, p.task_states(s)))
-    assert got == [(1, True, False), (2, False, False), (3, True, False), (4, True, False), (5, True, True)]
+    # the sixth is no allowed move; after a day without events the task is forgotten and begins anew
+    assert got == [(1, True, False), (2, False, False), (3, True, False), (4, True, False), (5, True, True), (6, False, False), (7, True, False), (8, True, False), (9, True, False)]
+
+
+def test_late_rows(spark, tmp_path):
+    """A row late by less than the watermark counts in its window; one beyond it is dropped."""
+    parts = [("x", ts(100), False, 1), ("x", ts(7300), False, 1)], [("x", ts(7301), False, 2)], [("x", ts(6900), False, 5), ("x", ts(200), False, 70)], [("x", ts(90000), False, 1)], [("x", ts(90001), False, 1)]
+    s = batches(spark, tmp_path, parts, "pool string, ts timestamp_ntz, failed boolean, latency_ns long")
+    got = sorted((r.window_start.hour, r.executions, r.latency_sum_ns) for r in done(spark, tmp_path, p.control_windows(s)))
+    assert got == [(0, 1, 1), (1, 1, 5), (2, 2, 3)]
+
+
+def test_workers(spark, tmp_path):
+    rows = [("w1", 1, ts(0), "start", 0), ("w1", 2, ts(1), "take", 0), ("w1", 3, ts(2), "drain", 10_000), ("w1", 4, ts(5), "take", 0), ("w1", 5, ts(6), "finish", 0), ("w2", 6, ts(0), "start", 0), ("w2", 7, ts(1), "take", 0), ("w2", 8, ts(1), "take", 0), ("w2", 9, ts(2), "drain", 10_000), ("w2", 10, ts(3), "finish", 0)]
+    s = batches(spark, tmp_path, (rows, [("w3", 11, ts(900), "start", 0)], [("w3", 12, ts(901), "drain", 0)]), "worker_id string, seq long, ts timestamp_ntz, action string, timeout_ms long")
+    got = sorted((r.worker_id, r.at_ms // 1000 - 1_704_067_200, r.state, r.outcome, r.abandoned) for r in done(spark, tmp_path, p.worker_lifecycle(s)))
+    assert got == [("w1", 0, "accepting", "", 0), ("w1", 2, "draining", "", 0), ("w1", 6, "stopped", "drained", 0), ("w2", 0, "accepting", "", 0), ("w2", 2, "draining", "", 0), ("w2", 12, "stopped", "forced_timeout", 1),
+                   ("w3", 900, "accepting", "", 0), ("w3", 901, "draining", "", 0), ("w3", 901, "stopped", "drained", 0)]
+
+
+def test_leadership(spark, tmp_path):
+    rows = [("l", 1, ts(0), "a", "acquire", 10_000), ("l", 2, ts(5), "b", "acquire", 10_000), ("l", 3, ts(8), "a", "renew", 10_000), ("l", 4, ts(20), "b", "acquire", 10_000), ("l", 5, ts(21), "a", "renew", 10_000), ("l", 6, ts(22), "b", "release", 0), ("l", 7, ts(23), "a", "acquire", 10_000)]
+    s = batches(spark, tmp_path, (rows, [("l", 8, ts(900), "c", "acquire", 10_000)]), "lock string, seq long, ts timestamp_ntz, owner string, action string, ttl_ms long")
+    got = sorted((r.at_ms // 1000 - 1_704_067_200, r.owner, r.epoch, r.outcome) for r in done(spark, tmp_path, p.leadership(s)))
+    assert got == [(0, "a", 1, "acquired"), (5, "b", 1, "refused"), (8, "a", 1, "renewed"), (18, "a", 1, "lost"), (20, "b", 2, "acquired"), (21, "a", 2, "refused"), (22, "b", 2, "released"), (23, "a", 3, "acquired"), (33, "a", 3, "lost"), (900, "c", 4, "acquired"), (910, "c", 4, "lost")][: len(got)] and len(got) >= 10
+
+
+def test_idempotency(spark, tmp_path):
+    rows = [("k", 1, ts(1), "begin"), ("k", 2, ts(2), "begin"), ("k", 3, ts(3), "fail"), ("k", 4, ts(4), "begin"), ("k", 5, ts(5), "complete"), ("k", 6, ts(6), "begin"), ("k", 7, ts(7), "fail"), ("k", 8, ts(8), "begin")]
+    s = stream(spark, tmp_path, rows, "key string, seq long, ts timestamp_ntz, action string")
+    assert sorted((r.seq, r.begun) for r in done(spark, tmp_path, p.idempotency(s))) == [(1, True), (2, False), (4, True), (6, False), (8, False)]
+
+
+def test_ticks(spark, tmp_path):
+    """Each micro-batch is one tick; a second run finds nothing new."""
+    seen = []
+    s = batches(spark, tmp_path, ([(ts(1), 1)], [(ts(2), 2), (ts(3), 3)]), "ts timestamp_ntz, n int")
+    for _ in range(2):
+        p.scheduler_ticks(s, lambda batch, number: seen.append((number, batch.count())), str(tmp_path / "cp"))
+    assert seen == [(0, 1), (1, 2)]
