@@ -16,22 +16,37 @@ PIECE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="queuelens-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages survive the loss of any executor."""
+    """Writes df to the shared folder and reads it back: later stages survive the loss of any executor. The application's folder is deleted
+    when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/queuelens/{tag}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/queuelens/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    if folder not in _MARKED:
+        _MARKED.add(folder)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+_MARKED: set[str] = set()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -697,6 +697,29 @@ def test_text_without_cuts(monkeypatch):
     assert chunk_dedup.cuts(np.zeros(0, np.uint8)).tolist() == []
 
 
+def test_kept_tables_go(tmp_path):
+    """What an application kept is deleted when it ends."""
+    import subprocess
+    import sys
+
+    said = f"""
+from pyspark.sql import SparkSession
+from queuelens.llm.common import keep
+s = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+assert keep(s.range(5), "five").count() == 5 and keep(s.range(3), "three").count() == 3
+import os
+print("kept", sum(len(d) for _, d, _ in os.walk("{tmp_path}")))
+s.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", said], cwd=str(__import__("pathlib").Path(__file__).parents[2]), capture_output=True, text=True, check=True).stdout
+    for _ in range(50):  # the JVM ends a little later
+        left = [str(x) for x in tmp_path.rglob("*.parquet")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert int(out.split()[-1]) >= 4 and not left
+
+
 def test_long_text_in_pieces(monkeypatch):
     from queuelens.llm import common
 
