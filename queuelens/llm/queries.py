@@ -76,4 +76,4 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": NGRAM_SQL, "op6_line_quality": line_quality.ORACLE_SQL}
+    return {"op3_ngram_join": NGRAM_SQL, "op6_line_quality": line_quality.ORACLE_SQL, "op9_sharding": sharding.oracle_sql()}

@@ -24,7 +24,9 @@ MAX_BROADCAST = 1_000_000
 
 
 def _key():
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    """The upper 64 bits of the id's MD5, as a signed number; a null id goes by its text."""
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("t"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 16), 16, -10).cast("long")
 
 
 def _sums(prefix: np.ndarray, size: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,3 +110,23 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
     """Writes one folder of Parquet for each shard."""
     out = shards(docs, limit)
     out.drop("__ql_bytes", "__ql_depth", "__ql_shard_bytes").repartition("__ql_shard").write.partitionBy("__ql_shard").parquet(path)
+
+
+def oracle_sql(limit: int = LIMIT_BYTES) -> str:
+    """The same in DuckDB SQL: buckets are split one bit at a time."""
+    oversized = f"bytes > {limit} AND hashes > 1 AND depth < {MAX_DEPTH}"
+    return f"""
+WITH RECURSIVE s AS MATERIALIZED (
+  SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 't' || coalesce(text, ''))), 1, 16) AS UBIGINT) AS h,
+         CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes FROM documents),
+node AS (
+  SELECT CAST(0 AS UBIGINT) AS lo, 0 AS depth, CAST(coalesce(sum(n_bytes), 0) AS BIGINT) AS bytes, count(DISTINCT h) AS hashes FROM s
+  UNION ALL
+  SELECT c.lo, c.depth, CAST(coalesce(sum(n_bytes), 0) AS BIGINT), count(DISTINCT h)
+  FROM (SELECT lo + b * CAST(pow(2.0, 63 - depth) AS UBIGINT) AS lo, depth + 1 AS depth
+        FROM node, (VALUES (CAST(0 AS UBIGINT)), (CAST(1 AS UBIGINT))) v(b) WHERE {oversized}) c
+  LEFT JOIN s ON s.h >= c.lo AND s.h - c.lo < CAST(pow(2.0, 64 - c.depth) AS UBIGINT)
+  GROUP BY c.lo, c.depth),
+leaf AS (SELECT lo, depth, bytes, CAST(row_number() OVER (ORDER BY lo) - 1 AS INT) AS shard FROM node WHERE NOT ({oversized}))
+SELECT doc_id, n_bytes, shard, depth, bytes AS shard_bytes FROM s ASOF JOIN leaf ON s.h >= leaf.lo
+"""

@@ -115,7 +115,7 @@ def test_lists_search():
         assert lists.search(q) == want
 
 
-@pytest.mark.parametrize("name", ["op3_ngram_join", "op6_line_quality"])
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op6_line_quality", "op9_sharding"])
 def test_sql(spark, name):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
@@ -594,6 +594,16 @@ def test_sharding_equals_plain(spark, docs, odd, monkeypatch):
             assert [tuple(map(int, x)) for x in zip(*sharding.build_directory(sizes, limit), strict=True)] == plain(rows, limit)
 
 
+def test_sharding_sql(spark, docs):
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{SF}/documents.parquet' union all select null, 'no id', 'en', 's', 5 union all select null, null, 'en', 's', 0")
+    df = docs.unionByName(spark.createDataFrame([(None, "no id", "en", "s", 5), (None, None, "en", "s", 0)], docs.schema))
+    for limit in (700, 20_000, 10**7):
+        got = sharding.shard_digest(df, limit)
+        want = c.execute(f"select {', '.join(got.columns)} from ({sharding.oracle_sql(limit)})").fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "shards"), 50_000)
     back = spark.read.parquet(str(tmp_path / "shards"))
