@@ -14,6 +14,7 @@ from ..functions import exprs
 from ..functions.exprs import next_run
 from ..sources.task_log import AS_OF_US
 from .folds import replay
+from .ranks import last_before
 
 
 def _capped(arrivals: DataFrame, outer: list[str], inner: list[str], outer_cap: str, inner_cap: str) -> DataFrame:
@@ -290,17 +291,30 @@ def leadership_audit(terms: DataFrame) -> DataFrame:
     return at.select("lock", "epoch", "owner", F.coalesce(F.col("epoch") <= F.col("before"), F.lit(False)).alias("epoch_not_growing"), F.coalesce(F.col("acquired_us") < F.col("ended"), F.lit(False)).alias("overlaps"))
 
 
-def fenced_writes(writes: DataFrame, terms: DataFrame) -> DataFrame:
-    """As-of check of control writes (seq, lock, at_us, epoch): the epoch must be that of the term current at the time.
-
-    Both sides are put into one ordered stream and the last term is carried forward, so nothing is joined by range.
-    """
-    events = writes.select("lock", F.col("at_us").alias("t"), F.lit(1).alias("kind"), "seq", "epoch").unionByName(terms.select("lock", F.col("acquired_us").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), "epoch"))
-    order = Window.partitionBy("lock").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    at = events.withColumn("current", F.last(F.when(F.col("kind") == 0, F.col("epoch")), True).over(order))
-    return at.filter("kind = 1").select("seq", "lock", "epoch", (~F.col("epoch").eqNullSafe(F.col("current"))).alias("stale"))
+def fenced_writes(writes: DataFrame, terms: DataFrame, width_us: int = 60_000_000) -> DataFrame:
+    """As-of check of control writes (seq, lock, at_us, epoch): the epoch must be that of the term current at the time."""
+    marks = terms.select("lock", F.col("acquired_us").alias("at_us"), F.col("epoch").alias("current"))
+    at = last_before(writes, marks, "lock", "at_us", "current", width_us)
+    return at.select("seq", "lock", "epoch", (~F.col("epoch").eqNullSafe(F.col("current"))).alias("stale"))
 
 
 def first_successes(log: DataFrame) -> DataFrame:
     """First success of each idempotency key; failures free the key."""
     return log.filter("placement = 'acked' and not failed").groupBy("dedup_key").agg(F.min_by("task_id", "seq").alias("task_id"))
+
+
+def tick(moved: DataFrame, synced: DataFrame, present: bool, mine: bool, epoch: int, seen_epoch: int) -> DataFrame:
+    """What one tick of a scheduler did, from what it would do: a standby does nothing; a leader whose epoch was passed meanwhile is refused at its
+    first write and steps down; else due entries were moved and due schedules dispatched."""
+    role = "leader" if present and mine and epoch == seen_epoch else "stale" if present and mine else "standby"
+    did = moved.groupBy("decision").agg(F.count("*").alias("rows")).select(F.concat(F.lit("move_due:"), "decision").alias("operation"), "rows")
+    did = did.unionByName(synced.groupBy("action").agg(F.count("*").alias("rows")).select(F.concat(F.lit("sync_due:"), "action").alias("operation"), "rows"))
+    if role == "stale":
+        did = did.limit(0).unionByName(moved.sparkSession.createDataFrame([("demote", 1)], "operation string, rows long"))
+    return did.withColumn("role", F.lit(role)) if role != "standby" else did.limit(0).withColumn("role", F.lit(role))
+
+
+def shutdown(workers: DataFrame) -> DataFrame:
+    """How a group of pools stopped: one fatal error ends all; whatever had to be forced makes the whole forced."""
+    fatal, forced = F.count_if(F.col("failed")) > 0, F.count_if(F.col("forced")) > 0
+    return workers.groupBy("queue").agg(F.when(fatal, "failed").when(forced, "forced_timeout").otherwise("drained").alias("outcome"), F.count("*").alias("pools"), F.sum(F.when(F.col("forced"), F.col("pending") + F.col("running")).otherwise(0)).cast("long").alias("abandoned"))

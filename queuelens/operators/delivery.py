@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..sources.task_log import AS_OF_US
+from .ranks import positions
 
 
 def next_ready(log: DataFrame, n: int = 1) -> DataFrame:
@@ -237,7 +238,7 @@ def streams(routed: DataFrame) -> DataFrame:
     """Appended entries in order: a queue's stream, or a stream for each fairness key; position within it."""
     key = F.coalesce(F.nullif(F.trim("fairness_key"), F.lit("")), F.lit(exprs.DEFAULT_KEY))
     at = routed.filter("route in ('ready', 'fair_ready')").withColumn("stream", F.when(F.col("route") == "ready", F.col("queue")).otherwise(F.concat_ws(":", "queue", key)))
-    return at.withColumn("position", F.row_number().over(Window.partitionBy("stream").orderBy("seq")).cast("long")).select("stream", "position", "task_id", "queue")
+    return positions(at, ["stream"], F.floor(F.col("seq") / 1_000_000), ["seq"]).select("stream", "position", "task_id", "queue")
 
 
 def delayed_entries(routed: DataFrame) -> DataFrame:

@@ -201,10 +201,13 @@ SYNC_SQL = f""", {SCHEDULES_SQL}, s AS (SELECT *, CAST(substr(schedule_id, 3) AS
  ps AS (SELECT schedule_id, CASE WHEN k % 45 = 0 THEN '99' ELSE CAST(k % 7 AS VARCHAR) END AS had, CASE WHEN k % 55 <> 0 THEN next_run_us END AS next_run_us, CASE WHEN k % 65 = 0 THEN next_run_us + 1 ELSE next_run_us END AS seen_us FROM s WHERE k % 25 <> 0)"""
 
 
-@query(SYNC_SQL + f""", j AS (SELECT s.schedule_id, had, ps.next_run_us AS n, seen_us, cf.enabled, cf.interval_us AS iv, cf.schedule_id IS NOT NULL AS known, had IS NULL OR had <> h OR ps.next_run_us IS NULL AS fresh, start_us FROM s LEFT JOIN ps USING (schedule_id) LEFT JOIN cf ON cf.schedule_id = s.schedule_id),
- r AS (SELECT *, CASE WHEN coalesce(fresh, true) THEN coalesce(start_us, {AS_OF_US} + iv) ELSE n END AS run FROM j), a AS (SELECT *, CASE WHEN NOT known THEN 'remove' WHEN NOT enabled THEN 'unindex' WHEN run > {AS_OF_US} THEN 'wait' WHEN NOT fresh AND seen_us <> n THEN 'lost_race' ELSE 'dispatch' END AS action FROM r)
- SELECT schedule_id, action, CASE WHEN action = 'dispatch' THEN {{nominal}} END AS nominal_at, CASE WHEN action = 'dispatch' THEN run + (({AS_OF_US} - run) // iv + 1) * iv END AS next_run_us, CASE WHEN action = 'dispatch' THEN ({AS_OF_US} - run) // iv END AS missed_runs,
- CASE WHEN action = 'dispatch' THEN concat('recurring:', schedule_id, ':', {{nominal}}) END AS dedup_key FROM a""".replace("{nominal}", "concat(strftime(make_timestamp(CAST(run AS BIGINT)), '%Y-%m-%dT%H:%M:%S'), CASE WHEN run % 1000000 = 0 THEN '' ELSE rtrim(concat('.', lpad(CAST(run % 1000000 AS VARCHAR), 6, '0')), '0') END, 'Z')"))
+SYNC_PARTS = SYNC_SQL + f""", j AS (SELECT s.schedule_id, had, ps.next_run_us AS n, seen_us, cf.enabled, cf.interval_us AS iv, cf.schedule_id IS NOT NULL AS known, had IS NULL OR had <> h OR ps.next_run_us IS NULL AS fresh, start_us FROM s LEFT JOIN ps USING (schedule_id) LEFT JOIN cf ON cf.schedule_id = s.schedule_id),
+ r AS (SELECT *, CASE WHEN coalesce(fresh, true) THEN coalesce(start_us, {AS_OF_US} + iv) ELSE n END AS run FROM j), sync AS (SELECT *, CASE WHEN NOT known THEN 'remove' WHEN NOT enabled THEN 'unindex' WHEN run > {AS_OF_US} THEN 'wait' WHEN NOT fresh AND seen_us <> n THEN 'lost_race' ELSE 'dispatch' END AS action FROM r)
+"""
+
+
+@query(SYNC_PARTS + f""" SELECT schedule_id, action, CASE WHEN action = 'dispatch' THEN {{nominal}} END AS nominal_at, CASE WHEN action = 'dispatch' THEN run + (({AS_OF_US} - run) // iv + 1) * iv END AS next_run_us, CASE WHEN action = 'dispatch' THEN ({AS_OF_US} - run) // iv END AS missed_runs,
+ CASE WHEN action = 'dispatch' THEN concat('recurring:', schedule_id, ':', {{nominal}}) END AS dedup_key FROM sync""".replace("{nominal}", "concat(strftime(make_timestamp(CAST(run AS BIGINT)), '%Y-%m-%dT%H:%M:%S'), CASE WHEN run % 1000000 = 0 THEN '' ELSE rtrim(concat('.', lpad(CAST(run % 1000000 AS VARCHAR), 6, '0')), '0') END, 'Z')"))
 def schedule_sync(spark, d):
     s = _schedules(spark, d).withColumn("k", F.substring("schedule_id", 3, 99).cast("long"))
     configured = s.filter("k % 35 <> 0").select("schedule_id", "enabled", "interval_us", (F.col("k") % 7).cast("string").alias("definition_hash"), F.when(F.col("k") % 6 == 0, F.lit(AS_OF_US) - F.col("k") * 1000).alias("start_us"))
@@ -374,3 +377,8 @@ def fair_reserve(spark, d):
 @query("SELECT dedup_key, arg_min(task_id, seq) AS task_id FROM log WHERE placement = 'acked' AND NOT failed GROUP BY dedup_key")
 def idempotent_first_success(spark, d):
     return control.first_successes(task_log(spark, d))
+
+
+@query(WORKERS_SQL + """ SELECT queue, CASE WHEN count(*) FILTER (seq % 331 = 0) > 0 THEN 'failed' WHEN count(*) FILTER (forced) > 0 THEN 'forced_timeout' ELSE 'drained' END AS outcome, count(*) AS pools, CAST(sum(CASE WHEN forced THEN pending + running ELSE 0 END) AS BIGINT) AS abandoned FROM workers WHERE state = 'stopped' GROUP BY queue""")
+def manager_shutdown(spark, d):
+    return control.shutdown(_workers(spark, d).filter("state = 'stopped'").withColumn("failed", F.col("seq") % 331 == 0))

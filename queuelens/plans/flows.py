@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import delivery
+from ..operators import control, delivery
 from ..sources.task_log import AS_OF_US, dim, task_log
-from . import views
+from . import decisions, views
 from .base import registry
-from .decisions import FAIL_SQL
+from .decisions import FAIL_SQL, SYNC_PARTS
 
 QUERIES: dict = {}
 query = registry(QUERIES)
@@ -94,6 +94,13 @@ def move_due(spark, d):
     return delivery.move_due(task_log(spark, d), views._decisions(spark, d, "due_release"), dim(spark, "fair_queues"), 7, 7)
 
 
+@query(MOVE_SQL + SYNC_PARTS + """ SELECT 'move_due:accepted' AS operation, count(*) AS rows, 'leader' AS role FROM moved WHERE reason = '' HAVING count(*) > 0 UNION ALL SELECT 'move_due:deferred', count(*), 'leader' FROM moved WHERE reason <> '' HAVING count(*) > 0
+ UNION ALL SELECT concat('sync_due:', action), count(*), 'leader' FROM sync GROUP BY action""", *views.STATUS_DIMS)
+def scheduler_tick(spark, d):
+    """One tick of the leader; the tests have the standby and the stale one."""
+    return control.tick(move_due(spark, d), decisions.schedule_sync(spark, d), True, True, 7, 7)
+
+
 @query(f"SELECT seq, {rfc3339_sql('created_us')} AS text, created_us AS us, created_us - 7200000000 AS us_of_offset FROM log")
 def rfc3339_texts(spark, d):
     text = exprs.rfc3339(F.col("created_us"))

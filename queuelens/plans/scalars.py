@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import delivery
+from ..operators.ranks import positions
 from ..sources.task_log import task_log
 from .base import registry
 
@@ -55,11 +56,9 @@ def fence_tokens(spark, d):
 
 @query("SELECT concat(CAST(seq % 9 AS VARCHAR), '-', CAST(seq AS VARCHAR)) AS entry_id, concat(CAST(seq % 9 AS VARCHAR), '-', CAST(seq + 1 AS VARCHAR)) AS next_id, row_number() OVER (PARTITION BY queue ORDER BY seq % 9, seq) AS position, queue FROM log")
 def stream_order(spark, d):
-    from pyspark.sql import Window
-
     rows = task_log(spark, d).select("queue", F.concat_ws("-", (F.col("seq") % 9).cast("string"), F.col("seq").cast("string")).alias("entry_id"))
-    order = Window.partitionBy("queue").orderBy(exprs.stream_ms(F.col("entry_id")), exprs.stream_seq(F.col("entry_id")))
-    return rows.select("entry_id", exprs.stream_after(F.col("entry_id")).alias("next_id"), F.row_number().over(order).cast("long").alias("position"), "queue")
+    order = [exprs.stream_ms(F.col("entry_id")), exprs.stream_seq(F.col("entry_id"))]
+    return positions(rows, ["queue"], exprs.stream_ms(F.col("entry_id")), order).select("entry_id", exprs.stream_after(F.col("entry_id")).alias("next_id"), "position", "queue")
 
 
 #: Pairs of ids, some of them no stream ids.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from queuelens.functions import exprs
 from queuelens.functions.handlers import HandlerError, apply_handlers
-from queuelens.operators import control, delivery
+from queuelens.operators import control, delivery, ranks
 from queuelens.sources import task_log
 
 
@@ -213,3 +213,35 @@ def test_handlers(spark):
     rows = spark.createDataFrame([("1", "a", b""), ("2", "b", b"")], "id string, name string, payload binary")
     got = {r.id: (r.ok, r.failure_class, r.error) for r in apply_handlers(rows, {"a": _fail}).collect()}
     assert got == {"1": (False, "permanent", "boom"), "2": (True, "", "")}
+
+
+def test_ticks(spark):
+    """A standby does nothing; a leader whose epoch was passed is refused and steps down."""
+    moved = spark.createDataFrame([("accepted",), ("deferred",), ("accepted",)], "decision string")
+    synced = spark.createDataFrame([("dispatch",), ("wait",)], "action string")
+
+    def did(*how):
+        return sorted((r.operation, r["rows"], r.role) for r in control.tick(moved, synced, *how).collect())
+
+    assert did(True, True, 7, 7) == [("move_due:accepted", 2, "leader"), ("move_due:deferred", 1, "leader"), ("sync_due:dispatch", 1, "leader"), ("sync_due:wait", 1, "leader")]
+    assert did(True, False, 7, 7) == did(False, False, 0, 0) == []
+    assert did(True, True, 7, 8) == [("demote", 1, "stale")]
+
+
+def test_ranks(spark):
+    """Positions and as-of values in buckets of any width are those of plain loops; keys without marks, ties and early events included."""
+    rng = random.Random(31)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(200), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long")
+    want, count = {}, defaultdict(int)
+    for k, t, s in sorted(rows, key=lambda r: r[1:]):
+        count[k] += 1
+        want[s] = count[k]
+    for width in (1, 17, 1000):
+        assert {r.seq: r.position for r in ranks.positions(df, ["k"], F.floor(F.col("t") / width), ["t", "seq"]).collect()} == want
+    marks = [("a", 10, 1), ("a", 60, 2), ("a", 61, 3), ("c", 5, 9)]
+    last = {s: max((m for m in marks if m[0] == k and m[1] <= t), default=(0, 0, None), key=lambda m: m[1])[2] for k, t, s in rows if k}
+    events = df.filter("k is not null")
+    for width in (1, 7, 1000):
+        got = ranks.last_before(events, spark.createDataFrame(marks, "k string, t long, v long"), "k", "t", "v", width).collect()
+        assert {r.seq: r.v for r in got} == last and len(got) == len(last)
