@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Units of duration texts in nanoseconds.
 UNITS = {"ns": 1, "us": 1_000, "µs": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
-ZERO_TIME = "0001-01-01 00:00:00"
 #: The fairness key of messages without one.
 DEFAULT_KEY = "__default__"
 

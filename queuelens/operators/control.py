@@ -50,13 +50,6 @@ def admit_by_caps(arrivals: DataFrame, per_queue: int, per_key: int) -> DataFram
     return at.select("seq", "queue", "fairness_key", reason.alias("reason"))
 
 
-def equal_token_leases(requests: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Requests (budget, seq, tokens) of equal size and no releases: the first capacity div tokens get a lease."""
-    order = Window.partitionBy("budget").orderBy("seq")
-    at = requests.withColumn("position", F.row_number().over(order)).join(budgets, "budget")
-    return at.select("budget", "seq", (F.col("position") * F.col("tokens") <= F.col("capacity")).alias("acquired"))
-
-
 def greedy_leases(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """Requests (budget, seq, tokens) of any sizes and no releases, in order: a request gets a lease if its tokens still fit. Without a budget
     nothing gates it. Once fewer tokens are free than the least request asks for, nothing more fits, so only as many

@@ -12,9 +12,8 @@ def replay(rows: DataFrame, key: str, order: list[str], begin: Callable[[], dict
     """For each row, in `order` within its key, what step(state, row) returns; `begin` makes the state of a key. Each key's rows pass one task."""
 
     def run(batches):
-        at, state, types = None, {}, None
+        at, state = None, {}
         for batch in batches:
-            types = types or [batch.schema.field(key).type]
             out = []
             for row in batch.to_pylist():
                 if at is None or row[key] != at[0]:
