@@ -99,7 +99,8 @@ def sigmoid(z):
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the mean log-likelihood. Thresholds stay ordered: gaps are exponentials."""
+    """Weights and thresholds by Adam on the mean log-likelihood. Thresholds stay ordered: gaps are exponentials. No thresholds if the grades are
+    all one or no feature tells them apart."""
     top = int(grades.max()) if len(grades) else 0
     weights = np.zeros(1 << BITS)
     if not len(rows) or not top or grades.min() == top:
@@ -112,6 +113,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> tuple
     tested = df >= MIN_DF
     least = NormalDist().inv_cdf(1 - BY_CHANCE / 2 / max(1, int(tested.sum())))
     used = np.flatnonzero(tested & (np.abs(lean) >= least))
+    if not len(used):
+        return weights, np.zeros(0)  # nothing tells good from bad: no document is rejected
     column = np.full(1 << BITS, -1)
     column[used] = np.arange(len(used))
     at = column[flat]
