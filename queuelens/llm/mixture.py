@@ -25,6 +25,8 @@ SEED = 20240229
 MAX_REPEATS = 3
 #: Rows of the block plan that are broadcast at most; a larger plan is joined by a shuffle.
 MAX_PLAN_ROWS = 200_000
+#: Sources that are broadcast at most. The driver holds a number for each source, however many: their targets depend on all of them.
+MAX_SOURCES = 100_000
 
 
 def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
@@ -113,7 +115,8 @@ def plan(sizes: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFram
     names = {k: None if k == "n" else k[1:] for k in sized}
     goal = targets({names[k]: n for k, n in sized.items()})
     goals = spark.createDataFrame([(k, n, float(goal[names[k]])) for k, n in sized.items()], "__ql_source string, source_size long, target double")
-    goals = F.broadcast(goals.withColumn("__ql_blocks", _blocks(F.col("source_size"))))
+    goals = goals.withColumn("__ql_blocks", _blocks(F.col("source_size")))
+    goals = F.broadcast(goals) if len(sized) <= MAX_SOURCES else goals
     block = F.pmod("__ql_h", "__ql_blocks").alias("__ql_block")
     blocks = keep(sizes.join(goals, "__ql_source").groupBy("__ql_source", block, "source_size", "target").agg(F.sum("size").alias("words")), "blocks")
     order = Window.partitionBy("__ql_source").orderBy(F.xxhash64("__ql_source", "__ql_block", F.lit(seed + 1)), "__ql_block")
