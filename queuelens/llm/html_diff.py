@@ -25,6 +25,9 @@ from .common import keep
 
 #: Pages in a range at most, about; there are at least as many ranges as shuffle partitions.
 ROWS_A_BUCKET = 20_000
+#: Keys drawn for the bounds of the ranges at most, and rows near the ranges' ends that are broadcast at most (8 a range; more are joined by a shuffle).
+MAX_DRAWS = 1_000_000
+MAX_BROADCAST = 200_000
 #: Different line lists looked at on either side when the nearest are near copies; pages with equal lists are passed over, however many.
 REACH = 3
 #: A neighbour sharing this part of the characters is a copy, unless both pages have words of their own: it says nothing about boilerplate.
@@ -280,6 +283,12 @@ def _words(lines: list[tuple[int, str]]) -> Counter:
     return Counter(w for k, t in lines if k != HARD for w in t.split())
 
 
+def near_copy(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> bool:
+    """Whether one of two pages has few words that the other lacks."""
+    mine, theirs = _words(a), _words(b)
+    return (mine - theirs).total() < OWN_SHARE * max(1, mine.total()) or (theirs - mine).total() < OWN_SHARE * max(1, theirs.total())
+
+
 def _both_own(page: list[tuple[int, str]], other: list[tuple[int, str]], found: list[bool]) -> bool:
     """Whether both pages have lines of their own with other words: lines of a near copy differ in few words, or one page has them all."""
     common = Counter(x for x, s in zip(page, found, strict=True) if s)
@@ -323,7 +332,8 @@ def _digest(page):
 
 
 def _stream(batches):
-    """Rows in order of bucket and key; each own row is differenced with the REACH nearest other line lists of its host on either side.
+    """Rows in order of bucket and key; each own row is differenced with the REACH nearest other line lists of its host on either side, then
+    with the last list before its run of near copies, however long the run is.
 
     Consecutive rows with equal lists form one group, which waits until REACH other lists followed it or the host ends.
     """
@@ -333,6 +343,7 @@ def _stream(batches):
     before: dict[int, dict] = {}  # the last pages with different lists, latest last
     seen: dict[int, int] = {}  # the last group of a list
     waiting: list[dict] = []
+    far: dict | None = None  # the last list before the present run of near copies
 
     def settle(g: dict) -> None:
         results = {}
@@ -341,7 +352,7 @@ def _stream(batches):
             around.sort(key=lambda x: x[:3])
             order = tuple(x[1:3] for x in around)
             if order not in results:
-                results[order] = difference(g["lines"], [x[3]["lines"] for x in around])
+                results[order] = difference(g["lines"], [x[3]["lines"] for x in around] + ([g["far"]["lines"]] if g["far"] else []))
             text, n = results[order]
             for name, value in zip(names, (page_id, url, text, len(text), n), strict=True):
                 out[name].append(value)
@@ -365,6 +376,7 @@ def _stream(batches):
         for r in batch.to_pylist():
             if (r["bucket"], r["host"]) != place or not r["host"]:
                 end()
+                far = None
                 place, count = (r["bucket"], r["host"]), 0
             lines = page_lines(r["html"] or "")
             digest = lines_digest(lines)
@@ -384,7 +396,10 @@ def _stream(batches):
             while waiting and waiting[0]["settled"]:
                 waiting.pop(0)
             sides = [x for d, x in reversed(before.items()) if d != digest][:REACH], []
-            waiting.append({"number": count, "digest": digest, "lines": r["lines"], "members": member, "sides": sides, "settled": False})
+            latest = next(reversed(before.values()), None)
+            if latest and not near_copy(latest["lines"], lines):
+                far = latest
+            waiting.append({"far": far, "number": count, "digest": digest, "lines": r["lines"], "members": member, "sides": sides, "settled": False})
             seen[digest] = count
             count += 1
             before.pop(digest, None)
@@ -398,10 +413,12 @@ def _stream(batches):
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, list[str]]:
     """Keys with their bucket: ranges of the key order with about equal numbers of rows. The bounds are drawn from the keys with the
-    smallest hashes; they decide which task takes a page, never the result."""
+    smallest hashes; they decide which task takes a page, and the result only of a run of near copies that crosses one: beyond a
+    bound such a run sees REACH other lists, not what came before its beginning."""
     spark = keys.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // ROWS_A_BUCKET)
-    drawn = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(32 * n).collect())
+    draws = n * max(4, min(32, MAX_DRAWS // n))
+    drawn = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(draws).collect())
     bounds = sorted({drawn[len(drawn) * i // n] for i in range(1, n)} if drawn else ())
     return keys.withColumn("bucket", _bucket(bounds)("key")), bounds
 
@@ -444,7 +461,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text. A null or hostless url is paired with nothing. Repeated rows and equal URLs
     are neighbours and, as copies, skipped in pairing: pages with equal lines are passed over until others of the host are found. Near
-    copies, whose own lines differ in few words, are passed over as far as REACH different line lists on either side. Other columns are not read. Every page is parsed whole. The html is
+    copies, whose own lines differ in few words, are passed over as far as REACH different line lists on either side, and then back to the
+    last page before the run of near copies; a run that begins its host (or its range of rows) has only the former. Other columns are not read. Every page is parsed whole. The html is
     shuffled once, into ranges of the order by host and path; rows near a range's ends also go to the next range.
     """
     url = F.col("url").cast("string")
@@ -455,8 +473,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", key)
     keys, bounds = _buckets(keep(rows.select("key", "host", _digest("html").alias("digest")), "keys"))
     spark = pages.sparkSession
-    halo = spark.createDataFrame(_halo(keep(keys, "buckets")), "at string, bucket int")
+    edges = _halo(keep(keys, "buckets"))
+    halo = spark.createDataFrame(edges, "at string, bucket int")
+    halo = F.broadcast(halo) if len(edges) <= MAX_BROADCAST else halo
     own = rows.withColumns({"bucket": _bucket(bounds)("key"), "own": F.lit(True)})
-    near = rows.join(F.broadcast(halo), F.col("key") == F.col("at")).drop("at").withColumn("own", F.lit(False))
+    near = rows.join(halo, F.col("key") == F.col("at")).drop("at").withColumn("own", F.lit(False))
     placed = own.unionByName(near).repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key")
     return placed.mapInArrow(_stream, "page_id long, url string, text string, n_chars long, n_shared long")

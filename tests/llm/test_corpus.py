@@ -193,6 +193,7 @@ def test_main_text_copies(spark):
 
     rows = [(k, f"http://a.com/x/{k:02}", page("c" if 3 <= k < 13 else k)) for k in range(17)] + [(100 + k, f"http://b.com/{k}", page(0)) for k in range(8)]
     rows += [(200 + k, f"http://d.com/x/{k}", page(5).replace("own5x0", f"date{k}")) for k in range(3)]
+    rows += [(300 + k, f"http://e.com/x/{k:02}", page("first") if k == 0 else page("run").replace("ownrunx0", f"date{k}")) for k in range(12)]
     own = lambda n: "\n\n".join(f"own{n}x{j} text{n}x{j} of{n} page{n}" for j in range(6))
     for parts in (1, 7):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -203,6 +204,8 @@ def test_main_text_copies(spark):
             assert got[k] == own("c" if 3 <= k < 13 else k)
         assert all(got[100 + k].startswith("menu entry") and got[100 + k].endswith(own(0)) for k in range(8))  # copies alone say nothing
         assert all(f"date{k}" in got[200 + k] and "own5x5" in got[200 + k] for k in range(3))  # so do near copies
+        if parts == 1:  # but a run of near copies is held against what came before it
+            assert got[300] == own("first") and all(got[300 + k] == own("run").replace("ownrunx0", f"date{k}") for k in range(1, 12))
 
 
 def test_main_text_of_fixture(spark):
