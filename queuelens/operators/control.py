@@ -292,8 +292,9 @@ def fenced_writes(writes: DataFrame, terms: DataFrame, width_us: int = 60_000_00
 
 
 def first_successes(log: DataFrame) -> DataFrame:
-    """First success of each idempotency key; failures free the key."""
-    return log.filter("placement = 'acked' and not failed").groupBy("dedup_key").agg(F.min_by("task_id", "seq").alias("task_id"))
+    """First success of each idempotency key, which is the task's id where none is given; failures free the key."""
+    key = F.coalesce(F.nullif("dedup_key", F.lit("")), F.col("task_id"))
+    return log.filter("placement = 'acked' and not failed").groupBy(key.alias("dedup_key")).agg(F.min_by("task_id", "seq").alias("task_id"))
 
 
 def tick(moved: DataFrame, synced: DataFrame, present: bool, mine: bool, epoch: int, seen_epoch: int) -> DataFrame:

@@ -190,7 +190,10 @@ def validate_payloads(messages: DataFrame) -> DataFrame:
 
 def with_receipts(publishes: DataFrame, ttl_us: int) -> DataFrame:
     """Publishes (seq, created_us, dedup_key, accepts) flagged as duplicates: a receipt lives for ttl from a publish that was let in, so a
-    rejected one leaves none and a duplicate renews none. Each key's publishes are folded in order; receipts are a ttl apart, so few."""
+    rejected one leaves none and a duplicate renews none. Publishes without a key are never duplicates. Each key's publishes are folded in
+    order; receipts are a ttl apart, so few."""
+    free = publishes.filter("dedup_key = ''").select("seq", "dedup_key", F.lit(False).alias("deduplicated"))
+    publishes = publishes.filter("dedup_key <> ''")
     item = F.struct("created_us", "seq", "accepts")
     receipt = "array<struct<us:bigint,seq:bigint>>"
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(receipt).alias("receipts"))
@@ -207,7 +210,7 @@ def with_receipts(publishes: DataFrame, ttl_us: int) -> DataFrame:
         last = F.element_at(before, -1)["us"]
         return F.struct(x["seq"].alias("seq"), F.coalesce((F.size(before) > 0) & (x["created_us"] - F.when(F.size(before) > 0, last) < ttl_us), F.lit(False)).alias("deduplicated"))
 
-    return rows.select("dedup_key", F.inline(F.transform("all", flagged))).select("seq", "dedup_key", "deduplicated")
+    return rows.select("dedup_key", F.inline(F.transform("all", flagged))).select("seq", "dedup_key", "deduplicated").unionByName(free)
 
 
 def latest_result(log: DataFrame) -> DataFrame:
@@ -249,7 +252,7 @@ def delayed_entries(routed: DataFrame) -> DataFrame:
 
 def receipts(routed: DataFrame, ttl_us: int) -> DataFrame:
     """Live receipts by hashed key: when the last accepted publish's receipt ends."""
-    kept = routed.filter("accepts and not deduplicated").groupBy("dedup_key").agg((F.max("created_us") + ttl_us).alias("expires_us"))
+    kept = routed.filter("accepts and not deduplicated and dedup_key <> ''").groupBy("dedup_key").agg((F.max("created_us") + ttl_us).alias("expires_us"))
     return kept.filter(F.col("expires_us") > AS_OF_US).select(F.sha2("dedup_key", 256).alias("receipt"), "expires_us")
 
 

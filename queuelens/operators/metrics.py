@@ -29,14 +29,16 @@ def gauge(rows: DataFrame, family: str, labels: tuple[str, ...], value: str) ->
     return families(rows, {family: ("true", labels, value)})
 
 
-def latency_histogram(log: DataFrame) -> DataFrame:
-    """Cumulative buckets, count and sum of execution times by queue, task name and status; one pass, no row is multiplied."""
-    done = log.filter("placement in ('acked', 'dead')")
-    sums = done.groupBy("queue", "task_name", F.when(F.col("failed"), "failed").otherwise("succeeded").alias("status")).agg(
-        F.count("*").alias("n"), F.sum("latency_ns").alias("sum_ns"), *[F.count_if(F.col("latency_ns") <= int(b * 1e9)).alias(f"b{k}") for k, b in enumerate(BUCKETS)]
-    )
+def histogram(rows: DataFrame, labels: list, latency_ns: str) -> DataFrame:
+    """Cumulative buckets, count and sum by labels; one pass, no row is multiplied."""
+    sums = rows.groupBy(*labels).agg(F.count("*").alias("n"), F.sum(latency_ns).alias("sum_ns"), *[F.count_if(F.col(latency_ns) <= int(b * 1e9)).alias(f"b{k}") for k, b in enumerate(BUCKETS)])
     le = F.array(*[F.struct(F.lit(f"{b:g}").alias("le"), F.col(f"b{k}").alias("cumulative")) for k, b in enumerate(BUCKETS)], F.struct(F.lit("+Inf").alias("le"), F.col("n").alias("cumulative")))
-    return sums.select("queue", "task_name", "status", "n", "sum_ns", F.inline(le))
+    return sums.select(*sums.columns[: len(labels)], "n", "sum_ns", F.inline(le))
+
+
+def latency_histogram(log: DataFrame) -> DataFrame:
+    """Execution times by queue, task name and status."""
+    return histogram(log.filter("placement in ('acked', 'dead')"), ["queue", "task_name", F.when(F.col("failed"), "failed").otherwise("succeeded").alias("status")], "latency_ns")
 
 
 def active_tasks(log: DataFrame) -> DataFrame:

@@ -77,20 +77,27 @@ def scheduler_lag(log: DataFrame, queues: DataFrame) -> DataFrame:
     return queues.join(first, "queue", "left").select("queue", F.greatest(F.lit(AS_OF_US) - F.coalesce("first_us", F.lit(AS_OF_US)), F.lit(0).cast("long")).alias("lag_us"))
 
 
-def admission_signals(log: DataFrame, policies: DataFrame, queues: DataFrame) -> DataFrame:
-    """What the policy of each queue looks at. A signal whose threshold is 0 is off and reads 0; delayed work is not pending."""
-    counts = queue_snapshot(log, queues)
-    oldest = key_snapshot(log).groupBy("queue").agg(F.max("oldest_ready_us").alias("oldest"))
-    at = policies.join(counts, "queue", "left").join(oldest, "queue", "left")
+def key_counts(log: DataFrame) -> DataFrame:
+    """All that admission looks at, by queue and fairness key, in one pass over the log."""
+    where = F.col("placement")
+    ready = where == "ready"
+    return log.groupBy("queue", "fairness_key").agg(
+        _n(where.isin("ready", "pending")).alias("own"), _n(where == "dead").alias("dead"), _n((where == "delayed") & F.col("is_retry")).alias("retries"),
+        F.min_by(F.when(ready, F.col("created_us")), F.when(ready, F.col("seq"))).alias("first_us"),
+    ).withColumn("oldest", F.when(F.col("first_us").isNull(), F.lit(0).cast("long")).otherwise(age("first_us"))).drop("first_us")
+
+
+def admission_signals(totals: DataFrame, policies: DataFrame, fair_queues: DataFrame, how: str) -> DataFrame:
+    """What the policy of each queue looks at, from totals (queue, pending, oldest, retries, dead, own: a key's pending work). A signal whose
+    threshold is 0 is off and reads 0; delayed work is not pending; a key's work counts only where its queue has a fairness policy."""
+    at = totals.join(policies, "queue", how).join(fair_queues.withColumn("fair", F.lit(True)), "queue", "left")
 
-    def on(threshold: str, value):
-        return F.when(F.col(threshold) > 0, F.coalesce(value, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    def on(condition, value: str):
+        return F.when(condition, F.coalesce(value, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
 
     return at.withColumns({
-        "queue_pending": F.coalesce(F.col("depth") + F.col("reserved"), F.lit(0).cast("long")),
-        "oldest_age_us": on("max_oldest_age_us", F.col("oldest")),
-        "retry_signal": on("max_retry_backlog", F.col("retry_backlog")),
-        "dead_signal": on("max_dead", F.col("dead")),
+        "queue_pending": F.coalesce("pending", F.lit(0).cast("long")), "key_pending": on(F.coalesce("fair", F.lit(False)) & (F.col("max_pending_per_key") > 0), "own"),
+        "oldest_age_us": on(F.col("max_oldest_age_us") > 0, "oldest"), "retry_signal": on(F.col("max_retry_backlog") > 0, "retries"), "dead_signal": on(F.col("max_dead") > 0, "dead"),
     })
 
 
@@ -119,22 +126,19 @@ def decide(at: DataFrame, source) -> DataFrame:
     return at.withColumns({"decision": decision, "state": state}).withColumn("defer_until_us", F.when(F.col("decision") == "deferred", F.lit(AS_OF_US) + F.col("defer_us")))
 
 
-def key_decisions(log: DataFrame, policies: DataFrame, queues: DataFrame, fair_queues: DataFrame, source: str = "new") -> DataFrame:
-    """What a message of each queue and fairness key would meet. A key's pending work counts only where its queue has a fairness policy and
-    a cap; a blank key is the default key and counts like any other."""
-    pending = key_snapshot(log).select("queue", "fairness_key", (F.col("ready") + F.col("reserved")).alias("own"))
-    at = pending.join(admission_signals(log, policies, queues), "queue", "left").join(fair_queues.withColumn("fair", F.lit(True)), "queue", "left")
-    own = F.when(F.coalesce("fair", F.lit(False)) & (F.col("max_pending_per_key") > 0), F.col("own")).otherwise(F.lit(0).cast("long"))
-    at = at.withColumn("key_pending", own)
+def key_decisions(log: DataFrame, policies: DataFrame, fair_queues: DataFrame, source: str = "new") -> DataFrame:
+    """What a message of each queue and fairness key would meet. A blank key is the default key and counts like any other."""
+    queue = Window.partitionBy("queue")
+    totals = key_counts(log).select("queue", "fairness_key", "own", F.sum("own").over(queue).alias("pending"), F.max("oldest").over(queue).alias("oldest"), F.sum("retries").over(queue).alias("retries"), F.sum("dead").over(queue).alias("dead"))
+    at = admission_signals(totals, policies, fair_queues, "left")
     return decide(at.withColumn("reason", F.coalesce(admission_reason(F.col("key_pending")), F.lit(""))), F.lit(source))
 
 
-def admission_status(log: DataFrame, policies: DataFrame, queues: DataFrame, fair_queues: DataFrame) -> DataFrame:
-    """What a new message without fairness key would meet on each queue: it counts with the default key, that of messages without one."""
-    own = key_snapshot(log).filter("fairness_key = ''").select("queue", (F.col("ready") + F.col("reserved")).alias("own"))
-    at = admission_signals(log, policies, queues).join(own, "queue", "left").join(fair_queues.withColumn("fair", F.lit(True)), "queue", "left")
-    capped = F.coalesce("fair", F.lit(False)) & (F.col("max_pending_per_key") > 0)
-    at = at.withColumn("key_pending", F.when(capped, F.coalesce("own", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+def admission_status(log: DataFrame, policies: DataFrame, fair_queues: DataFrame) -> DataFrame:
+    """What a new message without fairness key would meet on each queue with a policy: it counts with the default key, that of messages without
+    one."""
+    totals = key_counts(log).groupBy("queue").agg(F.sum("own").alias("pending"), F.max("oldest").alias("oldest"), F.sum("retries").alias("retries"), F.sum("dead").alias("dead"), F.max(F.when(F.col("fairness_key") == "", F.col("own"))).alias("own"))
+    at = admission_signals(totals, policies, fair_queues, "right")
     at = at.withColumn("reason", admission_reason(F.col("key_pending")))
     return decide(at, F.lit("new")).select("queue", "mode", "queue_pending", "key_pending", "oldest_age_us", "retry_signal", "dead_signal", "reason", "decision", "state", "defer_until_us")
 

@@ -24,7 +24,7 @@ def admission_by_caps(spark, d):
 def receipts_sql(publishes: str) -> str:
     """Deduplicated publishes (relation dedup: seq, dup) of a relation with seq, dedup_key, created_us, accepts."""
     dup = f"coalesce(x.created_us - s.last < {7 * DAY_US}, false)"
-    return f""", x AS MATERIALIZED (SELECT seq, dedup_key, created_us, accepts, row_number() OVER (PARTITION BY dedup_key ORDER BY created_us, seq) AS n FROM {publishes}), dedup AS (SELECT seq, dup FROM (
+    return f""", x AS MATERIALIZED (SELECT seq, dedup_key, created_us, accepts, row_number() OVER (PARTITION BY dedup_key ORDER BY created_us, seq) AS n FROM {publishes} WHERE dedup_key <> ''), dedup AS (SELECT seq, false AS dup FROM {publishes} WHERE dedup_key = '' UNION ALL SELECT seq, dup FROM (
  WITH RECURSIVE s AS (SELECT seq, dedup_key, n, CASE WHEN accepts THEN created_us END AS last, false AS dup FROM x WHERE n = 1 UNION ALL SELECT x.seq, x.dedup_key, x.n, CASE WHEN NOT {dup} AND accepts THEN x.created_us ELSE s.last END, {dup}
  FROM s JOIN x ON x.dedup_key = s.dedup_key AND x.n = s.n + 1) SELECT * FROM s))"""
 
@@ -63,7 +63,7 @@ def delayed_insert(spark, d):
     return delivery.delayed_entries(_routed(spark, d))
 
 
-@query(ROUTES_SQL + f" SELECT sha256(dedup_key) AS receipt, max(created_us) + {7 * DAY_US} AS expires_us FROM routed WHERE accepts AND NOT deduplicated GROUP BY dedup_key HAVING max(created_us) + {7 * DAY_US} > {AS_OF_US}", *views.STATUS_DIMS)
+@query(ROUTES_SQL + f" SELECT sha256(dedup_key) AS receipt, max(created_us) + {7 * DAY_US} AS expires_us FROM routed WHERE accepts AND NOT deduplicated AND dedup_key <> '' GROUP BY dedup_key HAVING max(created_us) + {7 * DAY_US} > {AS_OF_US}", *views.STATUS_DIMS)
 def publish_receipts(spark, d):
     return delivery.receipts(_routed(spark, d), 7 * DAY_US)
 
@@ -374,7 +374,7 @@ def fair_reserve(spark, d):
     return control.fair_reserves(keys, over.filter("seq % 40 = 7").groupBy("queue", "fairness_key").agg(F.count("*").alias("n")), 60)
 
 
-@query("SELECT dedup_key, arg_min(task_id, seq) AS task_id FROM log WHERE placement = 'acked' AND NOT failed GROUP BY dedup_key")
+@query("SELECT coalesce(nullif(dedup_key, ''), task_id) AS dedup_key, arg_min(task_id, seq) AS task_id FROM log WHERE placement = 'acked' AND NOT failed GROUP BY coalesce(nullif(dedup_key, ''), task_id)")
 def idempotent_first_success(spark, d):
     return control.first_successes(task_log(spark, d))
 

@@ -44,11 +44,11 @@ STATUS_DIMS = ("queues", "fair_queues", "admission_policies")
 
 
 def _status(spark, d):
-    return snapshots.admission_status(task_log(spark, d), dim(spark, "admission_policies"), dim(spark, "queues"), dim(spark, "fair_queues"))
+    return snapshots.admission_status(task_log(spark, d), dim(spark, "admission_policies"), dim(spark, "fair_queues"))
 
 
 def _decisions(spark, d, source="new"):
-    return snapshots.key_decisions(task_log(spark, d), dim(spark, "admission_policies"), dim(spark, "queues"), dim(spark, "fair_queues"), source)
+    return snapshots.key_decisions(task_log(spark, d), dim(spark, "admission_policies"), dim(spark, "fair_queues"), source)
 
 
 @query(STATUS_SQL + " SELECT * FROM status", *STATUS_DIMS)
@@ -59,7 +59,8 @@ def admission_status(spark, d):
 @query(SIG_SQL + f""", kp AS (SELECT k.queue, k.fairness_key, sig.* EXCLUDE (queue), CASE WHEN key_capped THEN ready + reserved_now ELSE 0 END AS key_pending FROM keys k JOIN sig USING (queue)), kr AS (SELECT *, {REASON_SQL} AS reason FROM kp)
  SELECT queue, fairness_key, source, key_pending, reason, decision, state, defer_until_us FROM (SELECT 'new' AS source, *, {decision_sql()} FROM kr UNION ALL SELECT 'due_release', *, {decision_sql("due_release")} FROM kr UNION ALL SELECT 'dead_letter', *, {decision_sql("dead_letter")} FROM kr)""", *STATUS_DIMS)
 def admission_decisions(spark, d):
-    every = [_decisions(spark, d, source).withColumn("source", F.lit(source)) for source in ("new", "due_release", "dead_letter")]
+    at = _decisions(spark, d)
+    every = [snapshots.decide(at, F.lit(source)).withColumn("source", F.lit(source)) for source in ("new", "due_release", "dead_letter")]
     out = every[0].unionByName(every[1]).unionByName(every[2])
     return out.select("queue", "fairness_key", "source", "key_pending", "reason", "decision", "state", "defer_until_us")
 
@@ -217,6 +218,13 @@ def latency_histogram(spark, d):
     return metrics.latency_histogram(task_log(spark, d))
 
 
+@query(""", g AS (SELECT queue, (seq % 40) * 1000000 + CASE WHEN seq % 17 = 0 THEN 900000000 ELSE 0 END AS waited_ns FROM log WHERE placement IN ('acked', 'pending', 'dead')), b AS (SELECT * FROM (VALUES """ + ", ".join(f"('{b:g}', {b})" for b in metrics.BUCKETS) + """, ('+Inf', 1e18)) v(le, bound))
+ SELECT queue, count(*) AS n, CAST(sum(waited_ns) AS BIGINT) AS sum_ns, le, count(*) FILTER (waited_ns <= bound * 1e9) AS cumulative FROM g, b GROUP BY queue, le""")
+def reserve_latency_histogram(spark, d):
+    waited = (F.col("seq") % 40) * 1_000_000 + F.when(F.col("seq") % 17 == 0, 900_000_000).otherwise(0)
+    return metrics.histogram(task_log(spark, d).filter("placement in ('acked', 'pending', 'dead')").withColumn("waited_ns", waited), ["queue"], "waited_ns")
+
+
 @query("SELECT queue, task_name, count(*) FILTER (placement = 'pending') AS active FROM log GROUP BY ALL")
 def active_tasks(spark, d):
     return metrics.active_tasks(task_log(spark, d))

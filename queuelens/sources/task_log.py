@@ -30,7 +30,7 @@ FIELDS = {
     "latency_ns": "CAST(round(value * 10) AS BIGINT) * 1000000",
     "failed": "event_type = 'error'",
     "failure_code": "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6",
-    "dedup_key": "concat('k-', CAST(user_id AS STRING), '-', CAST(CAST(floor(value) AS BIGINT) % 16 AS STRING))",
+    "dedup_key": "CASE WHEN event_id % 9 = 4 THEN '' ELSE concat('k-', CAST(user_id AS STRING), '-', CAST(CAST(floor(value) AS BIGINT) % 16 AS STRING)) END",
 }
 
 
