@@ -38,8 +38,9 @@ LCS_BLOCK = 8192
 OWN_SHARE = 0.1
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
-_PLAIN = re.compile(r"""[^>=]*+""")
-_GAP = re.compile(r"\s*+")
+#: Attributes up to the bracket that ends their tag. Quotes open after an equals sign only and must close. Nothing is gone back over, and only
+#: the last quote of a page can be looked for in vain, so the time is in proportion to the text.
+_ATTRS = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+""")
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -97,23 +98,6 @@ def _kind(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
     return hard or ((said or whole) and tag not in _HEADINGS), part or said, False
 
 
-def _tag_end(source: str, at: int, last: dict[str, int]) -> tuple[int, int]:
-    """End of the attributes and of the tag whose name ended at `at`. Quotes open after an equals sign only and must close; each
-    character is read once, as a quote is looked for only where the page has a later one."""
-    while True:
-        at = _PLAIN.match(source, at).end()
-        if at == len(source):
-            return at, at
-        if source[at] == ">":
-            return at, at + 1
-        at = _GAP.match(source, at + 1).end()
-        quote = source[at : at + 1]
-        if quote in ("'", '"') and last[quote] > at:
-            at = source.index(quote, at + 1) + 1
-        elif quote:  # one that never closes is a character like any other
-            at += quote != ">"
-
-
 def page_lines(source: str) -> list[tuple[int, str]]:
     """The blocks of a page in order, each with MAIN, OPEN or HARD, the first two perhaps with SOFT; white space is folded, references
     are decoded. The time is in proportion to the page's size, whatever its markup."""
@@ -122,7 +106,6 @@ def page_lines(source: str) -> list[tuple[int, str]]:
     opened: Counter = Counter()
     parts: list[str] = []
     at, n, level = 0, len(source), OPEN
-    last = {q: source.rfind(q) for q in "'\""}
     raw_ends: dict[str, int] = {}
 
     def flush():
@@ -159,8 +142,8 @@ def page_lines(source: str) -> list[tuple[int, str]]:
             at = begin + 1
             continue
         tag = name[0].lower()
-        end, at = _tag_end(source, name.end(), last)
-        attrs = source[name.end() : end]
+        end = _ATTRS.match(source, name.end()).end()
+        attrs, at = source[name.end() : end], end + 1
         if close:
             if tag in _BLOCKS:
                 flush()
