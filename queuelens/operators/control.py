@@ -17,15 +17,14 @@ from .folds import replay
 from .ranks import last_before
 
 
-def _capped(arrivals: DataFrame, outer: list[str], inner: list[str], outer_cap: str, inner_cap: str) -> DataFrame:
-    """Arrivals (seq, caps as columns, null or 0 for none) with the place where the inner and the outer group become full.
+def _capped(arrivals: DataFrame, outer: list[str], inner: list[str], outer_cap: str, inner_cap: str, most: int) -> DataFrame:
+    """Arrivals (seq, caps as columns, null or 0 for none, at most `most`) with the place where the inner and the outer group become full.
 
     Nothing leaves in between, so accepted are the first outer_cap among those within their inner group's cap. Only the first rows of
     a group decide; the ranks are limited before the shuffle, so no group is gathered in a task.
     """
 
     def nth(rows: DataFrame, keys: list[str], cap: str, name: str) -> DataFrame:
-        most = rows.agg(F.max(cap)).first()[0] or 0  # of the policy tables
         first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).filter(F.col("__n") <= most)
         full = first.filter((F.col(cap) > 0) & (F.col("__n") == F.col(cap))).select(*[F.col(k).alias(f"__{name}_{k}") for k in keys], F.col("seq").alias(name))
         same = [F.col(k).eqNullSafe(F.col(f"__{name}_{k}")) for k in keys]
@@ -43,7 +42,7 @@ def _capped(arrivals: DataFrame, outer: list[str], inner: list[str], outer_cap:
 def admit_by_caps(arrivals: DataFrame, per_queue: int, per_key: int) -> DataFrame:
     """Arrivals in order under caps of pending work, starting empty. Only accepted work is pending: a key's cap is the reason only if so many
     of the key were accepted, else the queue's."""
-    at = _capped(arrivals.withColumns({"__q": F.lit(per_queue), "__k": F.lit(per_key)}), ["queue"], ["fairness_key"], "__q", "__k")
+    at = _capped(arrivals.withColumns({"__q": F.lit(per_queue), "__k": F.lit(per_key)}), ["queue"], ["fairness_key"], "__q", "__k", max(per_queue, per_key))
     key_full = F.coalesce(F.col("seq") > F.col("inner_full"), F.lit(False)) & F.coalesce(F.col("inner_full") <= F.col("outer_full"), F.lit(True))
     queue_full = F.coalesce(F.col("seq") > F.col("outer_full"), F.lit(False))
     reason = F.when(key_full, "fairness_key_pending_cap").when(queue_full, "queue_pending_cap").otherwise("")
@@ -102,7 +101,8 @@ def budget_usage(leases: DataFrame, budgets: DataFrame) -> DataFrame:
 def task_slots(running: DataFrame, limits: DataFrame) -> DataFrame:
     """Whether each task, in order, finds a global and a pool slot of its name; names without a limit always do. A task that finds no pool
     slot gives its global slot back."""
-    at = _capped(running.join(limits, "task_name", "left"), ["task_name"], ["queue"], "global_limit", "pool_limit")
+    most = limits.agg(F.greatest(F.max("global_limit"), F.max("pool_limit"))).first()[0] or 0
+    at = _capped(running.join(limits, "task_name", "left"), ["task_name"], ["queue"], "global_limit", "pool_limit", most)
     late = F.coalesce(F.col("seq") > F.col("inner_full"), F.lit(False)) | F.coalesce(F.col("seq") > F.col("outer_full"), F.lit(False))
     return at.select("seq", "task_name", "queue", (~late).alias("gets_slot"))
 
