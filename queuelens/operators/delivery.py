@@ -189,12 +189,12 @@ def validate_payloads(messages: DataFrame) -> DataFrame:
 
 
 def with_receipts(publishes: DataFrame, ttl_us: int) -> DataFrame:
-    """Publishes (seq, created_us, dedup_key, accepts) flagged as duplicates: a receipt lives for ttl from a publish that was let in, so a
-    rejected one leaves none and a duplicate renews none. Publishes without a key are never duplicates. Each key's publishes are folded in
-    order; receipts are a ttl apart, so few."""
-    free = publishes.filter("dedup_key = ''").select("seq", "dedup_key", F.lit(False).alias("deduplicated"))
-    publishes = publishes.filter("dedup_key <> ''")
-    item = F.struct("created_us", "seq", "accepts")
+    """Publishes (seq, created_us, dedup_key, accepts and any other columns) flagged as duplicates: a receipt lives for ttl from a publish that
+    was let in, so a rejected one leaves none and a duplicate renews none. Publishes without a key are never duplicates. Rows are
+    shuffled once, by key, with all their columns; each key's are folded in order, and receipts are a ttl apart, so few."""
+    free = publishes.filter("dedup_key = ''").withColumn("deduplicated", F.lit(False))
+    others = [c for c in publishes.columns if c not in ("created_us", "seq", "accepts", "dedup_key")]
+    item = F.struct("created_us", "seq", "accepts", *others)
     receipt = "array<struct<us:bigint,seq:bigint>>"
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(receipt).alias("receipts"))
 
@@ -203,14 +203,12 @@ def with_receipts(publishes: DataFrame, ttl_us: int) -> DataFrame:
         mine = F.array(F.struct(x["created_us"].alias("us"), x["seq"].alias("seq")))
         return F.when(fresh, F.struct(x["created_us"].alias("last"), F.concat(acc["receipts"], mine).alias("receipts"))).otherwise(acc)
 
-    rows = publishes.groupBy("dedup_key").agg(F.array_sort(F.collect_list(item)).alias("all")).withColumn("receipts", F.aggregate("all", start, step, lambda acc: acc["receipts"]))
-
-    def flagged(x):
-        before = F.filter("receipts", lambda r: (r["us"] < x["created_us"]) | ((r["us"] == x["created_us"]) & (r["seq"] < x["seq"])))
-        last = F.element_at(before, -1)["us"]
-        return F.struct(x["seq"].alias("seq"), F.coalesce((F.size(before) > 0) & (x["created_us"] - F.when(F.size(before) > 0, last) < ttl_us), F.lit(False)).alias("deduplicated"))
-
-    return rows.select("dedup_key", F.inline(F.transform("all", flagged))).select("seq", "dedup_key", "deduplicated").unionByName(free)
+    keyed = publishes.filter("dedup_key <> ''").groupBy("dedup_key").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    rows = keyed.withColumn("receipts", F.aggregate("all", start, step, lambda acc: acc["receipts"])).select("dedup_key", "receipts", F.explode("all").alias("x")).select("dedup_key", "receipts", "x.*")
+    before = F.filter("receipts", lambda r: (r["us"] < F.col("created_us")) | ((r["us"] == F.col("created_us")) & (r["seq"] < F.col("seq"))))
+    last = F.get(before, F.size(before) - 1)["us"]
+    flagged = rows.withColumn("deduplicated", F.coalesce(F.col("created_us") - last < ttl_us, F.lit(False)))
+    return flagged.select(*publishes.columns, "deduplicated").unionByName(free)
 
 
 def latest_result(log: DataFrame) -> DataFrame:
@@ -228,8 +226,7 @@ def publish_routes(log: DataFrame, decisions: DataFrame, fair_queues: DataFrame,
     """Where each publish goes: duplicates are settled before admission, and only what admission lets in leaves a receipt. Decisions: queue,
     fairness_key, decision. Fair queues are those with a fairness policy, whatever the message's key."""
     at = log.join(decisions.select("queue", "fairness_key", "decision", "reason", "defer_until_us"), ["queue", "fairness_key"], "left").join(fair_queues.withColumn("fair", F.lit(True)), "queue", "left")
-    at = at.withColumn("accepts", F.coalesce(F.col("decision") != "rejected", F.lit(True)))
-    at = at.join(with_receipts(at.select("seq", "created_us", "dedup_key", "accepts"), ttl_us).drop("dedup_key"), "seq")
+    at = with_receipts(at.withColumn("accepts", F.coalesce(F.col("decision") != "rejected", F.lit(True))), ttl_us)
     route = (
         F.when(F.col("deduplicated"), "deduplicated").when(F.col("decision").isin("rejected", "deferred"), F.col("decision"))
         .when(F.coalesce(F.col("eta_us") > AS_OF_US, F.lit(False)), "delayed").when(F.coalesce("fair", F.lit(False)), "fair_ready").otherwise("ready")

@@ -31,7 +31,7 @@ def receipts_sql(publishes: str) -> str:
 
 @query(", every AS (SELECT *, true AS accepts FROM log)" + receipts_sql("every") + " SELECT seq, dedup_key, dup AS deduplicated FROM log JOIN dedup USING (seq)")
 def publish_dedup_ttl(spark, d):
-    return delivery.with_receipts(task_log(spark, d).withColumn("accepts", F.lit(True)), 7 * DAY_US)
+    return delivery.with_receipts(task_log(spark, d).select("seq", "created_us", "dedup_key", F.lit(True).alias("accepts")), 7 * DAY_US).select("seq", "dedup_key", "deduplicated")
 
 
 ROUTES_SQL = views.KEY_DECISIONS_SQL + ", pub AS (SELECT log.*, decision, defer_until_us, reason, decision <> 'rejected' AS accepts, fq.queue IS NOT NULL AS fair FROM log JOIN dec USING (queue, fairness_key) LEFT JOIN fair_queues fq ON fq.queue = log.queue)" + receipts_sql("pub") + f""",
