@@ -54,7 +54,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _BODY = frozenset(("articlebody", "main-content", "article-body", "article-content", "post-content", "post-body", "entry-content"))
 #: Words that say nothing beside a structure word (`cookie-bar`), endings that are one even when written together (`usercomments`),
 #: and parts of a page's main element that are not the article.
-_FILL = frozenset("a an and bar block body box container content for global header inner item items link links list main my nav of our outer page panel row section site sticky the top bottom left right text top user users wrap wrapper".split())
+_FILL = frozenset("a an and area article articles author bar block body bottom box button buttons card cards close component container content count date feed field follow for frame global group header holder icon icons inner input item items label left link links list main message messages meta module my nav of open our outer page panel post posts prompt reader region right row section settings site slot space spot sticky stories strip tab tabs text the thread toggle top trail trigger unit us user users window wrap wrapper zone".split())
 _ENDINGS = ("comment", "comments", "sidebar", "navbar", "cookiebar", "menu", "advert", "adverts", "breadcrumbs")
 _OTHERS = frozenset("comment comments reply replies related sponsored".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())

@@ -225,7 +225,7 @@ def test_main_text_structure_words():
     other = page("<article><p>another page of its own</p><div class='social-studies'>real two</div></article>")
     assert html_diff.difference(page(article), [other])[0] == "first\n\nreal one\n\nreal three"
     assert html_diff.difference(page("<main><h2 class='comment-title'>On comment</h2><p>x</p></main>"), [])[0] == "On comment\n\nx"
-    for name in ("usercomment", "cookiebar", "topmenu", "user-comment", "cookie-bar", "sideBar", "ad", "card advert"):
+    for name in ("usercomment", "cookiebar", "topmenu", "user-comment", "cookie-bar", "sideBar", "ad", "card advert", "ad-slot", "related-posts", "share-buttons", "reader-comments", "widget-area"):
         assert html_diff.difference(page(f"<p>stays</p><div class='{name}'>goes</div>"), [])[0] == "stays", name
 
 
