@@ -25,8 +25,8 @@ LARGEST = (1 << 24) - 1
 #: Bytes of text whose chunks one shard holds, about; the number of shards follows the input.
 SHARD_BYTES = 8 << 20
 FLUSH = 250_000
-#: A digest with so many chunks in one flush, in several documents, is hot: its chunks are known to be repeated where they are found and
-#: do not meet in one task; only its first place is worked out there.
+#: A digest with so many chunks in one flush, in several documents, is hot: they do not meet in one task. Its first place is worked out from
+#: two chunks of such a flush and whatever others hold, and a second pass over the texts finds all its chunks where they are.
 HOT = 64
 #: Hot digests whose first places are broadcast at most; more are joined with salt.
 MAX_BROADCAST = 500_000
@@ -142,10 +142,18 @@ def _chunk_blobs(bits: int):
     return run
 
 
-def _hot_chunks(batches):
-    for d, i, s, z, w in _flushes(batches):
-        hot = _hot(d, i)
-        yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (d.view(np.int64), i, s, z, w)], ["digest", "doc_id", "start", "size", "words"])
+def _hot_chunks(leads):
+    """All chunks with one of the (broadcast, sorted) digests, or all chunks if there are too many of these to broadcast."""
+
+    def run(batches):
+        for d, i, s, z, w in _flushes(batches):
+            hot = slice(None)
+            if leads is not None:
+                known = leads.value
+                hot = known[np.minimum(np.searchsorted(known, d), len(known) - 1)] == d
+            yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (d.view(np.int64), i, s, z, w)], ["digest", "doc_id", "start", "size", "words"])
+
+    return run
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -178,7 +186,7 @@ def _repeats(across: bool):
         group = np.repeat(np.arange(len(first)), size)
         hot = np.bincount(group, z == 0, len(first)) > 0
         lead = first[group]
-        many = again[group] & (z > 0)
+        many = (again & ~hot)[group]
         leads = first[hot]
         none = np.zeros(len(leads), np.int64)
         parts = ((d.view(np.int64)[many], d.view(np.int64)[leads]), (i[many], none), (s[many], none), (z[many] & LARGEST, none), (z[many] >> 24, none), (i[lead][many], i[leads]), (s[lead][many], s[leads]))
@@ -202,11 +210,13 @@ def repeated_chunks(docs: DataFrame, across: bool = True) -> DataFrame:
     blobs = rows.mapInArrow(_chunk_blobs(bits), "shard int, digests binary, docs binary, starts binary, sizes binary")
     found = keep(blobs.groupBy("shard").applyInArrow(_repeats(across), "digest long, doc_id long, start long, size long, words long, first_doc long, first_start long"), "chunks")
     leads = found.filter("size = 0").select(F.col("digest").alias("of"), "first_doc", "first_start")
-    hot = rows.mapInArrow(_hot_chunks, "digest long, doc_id long, start long, size long, words long")
     n = leads.count()
+    small = n <= MAX_BROADCAST
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(leads.select("of").toArrow()["of"].to_numpy().view(U64))) if n and small else None
+    hot = rows.mapInArrow(_hot_chunks(known), "digest long, doc_id long, start long, size long, words long")
     if not n:
         hot = found.limit(0)
-    elif n <= MAX_BROADCAST:
+    elif small:
         hot = hot.join(F.broadcast(leads), F.col("digest") == F.col("of"))
     else:
         leads = leads.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -639,9 +639,11 @@ def test_chunks(spark, docs, odd, empty, monkeypatch):
             spans[r.doc_id].append((a, b, len(re.findall(rb"(?<![^ \t-\r])[^ \t-\r]", raw[max(0, a - 1) : b])) - (a > 0 and raw[a - 1 : a].strip(b" \t\n\r\f\v") != b"")))
     want = {(d, a): min(places) for places in seen.values() if len({d for d, _ in places}) > 1 for d, a in places}
     within = {(d, a) for places in seen.values() if len(places) > 1 for d, a in places}
-    for hot in (chunk_dedup.HOT, 3):
+    for hot, flush, most in ((chunk_dedup.HOT, chunk_dedup.FLUSH, 10**6), (3, 500, 10**6), (3, 500, 0)):
         monkeypatch.setattr(chunk_dedup, "HOT", hot)
-        got = chunk_dedup.repeated_chunks(docs).distinct().collect()
+        monkeypatch.setattr(chunk_dedup, "FLUSH", flush)
+        monkeypatch.setattr(chunk_dedup, "MAX_BROADCAST", most)
+        got = chunk_dedup.repeated_chunks(docs).collect()
         assert {(r.doc_id, r.start): (r.first_doc, r.is_first) for r in got} == {k: (v[0], k == v) for k, v in want.items()} and len(got) == len(want)
     assert {(r.doc_id, r.start) for r in chunk_dedup.repeated_chunks(docs, across=False).collect()} == within > want.keys()
     plain = set()
