@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-#: Pages in a range at most, about; there are at least as many ranges as shuffle partitions.
-ROWS_A_BUCKET = 20_000
+#: Pages in a range at most, about, while MAX_DRAWS bounds suffice; there are at least as many ranges as shuffle partitions.
+ROWS_A_BUCKET = 10_000
 #: Keys drawn for the bounds of the ranges at most, and rows near the ranges' ends that are broadcast at most (8 a range; more are joined by a shuffle).
 MAX_DRAWS = 1_000_000
 MAX_BROADCAST = 200_000
@@ -266,10 +266,16 @@ def _words(lines: list[tuple[int, str]]) -> Counter:
     return Counter(w for k, t in lines if k != HARD for w in t.split())
 
 
-def near_copy(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> bool:
-    """Whether one of two pages has few words that the other lacks."""
-    mine, theirs = _words(a), _words(b)
-    return (mine - theirs).total() < OWN_SHARE * max(1, mine.total()) or (theirs - mine).total() < OWN_SHARE * max(1, theirs.total())
+def word_pairs(lines: list[tuple[int, str]]) -> frozenset:
+    """The pairs of neighbouring words of a page's lines."""
+    words = " ".join(t for k, t in lines if k != HARD).split()
+    return frozenset(zip(words, words[1:], strict=False))
+
+
+def near_copy(a: frozenset, b: frozenset) -> bool:
+    """Whether one of two pages has few word pairs that the other lacks: a changed word changes two pairs."""
+    both = len(a & b)
+    return len(a) - both <= 2 * OWN_SHARE * len(a) or len(b) - both <= 2 * OWN_SHARE * len(b)
 
 
 def _both_own(page: list[tuple[int, str]], other: list[tuple[int, str]], found: list[bool]) -> bool:
@@ -367,7 +373,7 @@ def _stream(batches):
             if waiting and waiting[-1]["digest"] == digest:
                 waiting[-1]["members"] += member
                 continue
-            r = {"path": r["path"], "lines": before[digest]["lines"] if digest in before else lines}
+            r = {"path": r["path"], "lines": before[digest]["lines"] if digest in before else lines, "pairs": before[digest]["pairs"] if digest in before else word_pairs(lines)}
             last = seen.get(digest, -1)
             for g in reversed(waiting):  # groups up to the last one of this list have it
                 if g["number"] < last:
@@ -380,7 +386,7 @@ def _stream(batches):
                 waiting.pop(0)
             sides = [x for d, x in reversed(before.items()) if d != digest][:REACH], []
             latest = next(reversed(before.values()), None)
-            if latest and not near_copy(latest["lines"], lines):
+            if latest and not near_copy(latest["pairs"], r["pairs"]):
                 far = latest
             waiting.append({"far": far, "number": count, "digest": digest, "lines": r["lines"], "members": member, "sides": sides, "settled": False})
             seen[digest] = count
@@ -399,7 +405,7 @@ def _buckets(keys: DataFrame) -> tuple[DataFrame, list[str]]:
     smallest hashes; they decide which task takes a page, and the result only of a run of near copies that crosses one: beyond a
     bound such a run sees REACH other lists, not what came before its beginning."""
     spark = keys.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // ROWS_A_BUCKET)
+    n = max(1, min(MAX_DRAWS // 4, max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // ROWS_A_BUCKET)))
     draws = n * max(4, min(32, MAX_DRAWS // n))
     drawn = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(draws).collect())
     bounds = sorted({drawn[len(drawn) * i // n] for i in range(1, n)} if drawn else ())
