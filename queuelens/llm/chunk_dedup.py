@@ -83,8 +83,8 @@ def digests(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _flushes(batches):
-    """Arrays (digest, doc, start, size, words that begin in it) of about FLUSH chunks, sorted by digest, doc and start, each once."""
+def _flushes(batches, most: int):
+    """Arrays (digest, doc, start, size, words that begin in it) of about `most` chunks, sorted by digest, doc and start, each once."""
     held, n = [], 0
 
     def flush():
@@ -107,28 +107,28 @@ def _flushes(batches):
             words = np.add.reduceat(solid.astype(np.int64), ends - sizes)
             held.append((digests(raw, ends), np.full(len(ends), doc, np.int64), ends - sizes, sizes, words))
             n += len(ends)
-            if n >= FLUSH:
+            if n >= most:
                 yield flush()
                 held, n = [], 0
     if n:
         yield flush()
 
 
-def _hot(d: np.ndarray, i: np.ndarray) -> np.ndarray:
+def _hot(d: np.ndarray, i: np.ndarray, least: int) -> np.ndarray:
     """Which of the sorted chunks have a hot digest."""
     first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
     size = np.diff(np.append(first, len(d)))
     several = i[first] != i[first + size - 1]
-    return np.repeat((size >= HOT) & several, size)
+    return np.repeat((size >= least) & several, size)
 
 
-def _chunk_blobs(bits: int):
+def _chunk_blobs(bits: int, least: int, most: int):
     """Chunks by shard. Of a hot digest only its first chunk and one of another document go there, marked by size 0."""
     schema = pa.schema([("shard", pa.int32()), ("digests", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches):
-        for d, i, s, z, w in _flushes(batches):
-            hot = _hot(d, i)
+        for d, i, s, z, w in _flushes(batches, most):
+            hot = _hot(d, i, least)
             z = np.where(hot, 0, w << 24 | z)
             edge = np.concatenate(([True], d[1:] != d[:-1]))
             ends = hot & (edge | np.concatenate((edge[1:], [True])))
@@ -142,11 +142,11 @@ def _chunk_blobs(bits: int):
     return run
 
 
-def _hot_chunks(leads):
+def _hot_chunks(leads, most: int):
     """All chunks with one of the (broadcast, sorted) digests, or all chunks if there are too many of these to broadcast."""
 
     def run(batches):
-        for d, i, s, z, w in _flushes(batches):
+        for d, i, s, z, w in _flushes(batches, most):
             hot = slice(None)
             if leads is not None:
                 known = leads.value
@@ -207,13 +207,13 @@ def repeated_chunks(docs: DataFrame, across: bool = True) -> DataFrame:
     size (bytes), words (that begin in it), first_doc, is_first. Repeated rows may give an occurrence again."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = shard_bits(rows)
-    blobs = rows.mapInArrow(_chunk_blobs(bits), "shard int, digests binary, docs binary, starts binary, sizes binary")
+    blobs = rows.mapInArrow(_chunk_blobs(bits, HOT, FLUSH), "shard int, digests binary, docs binary, starts binary, sizes binary")
     found = keep(blobs.groupBy("shard").applyInArrow(_repeats(across), "digest long, doc_id long, start long, size long, words long, first_doc long, first_start long"), "chunks")
     leads = found.filter("size = 0").select(F.col("digest").alias("of"), "first_doc", "first_start")
     n = leads.count()
     small = n <= MAX_BROADCAST
     known = docs.sparkSession.sparkContext.broadcast(np.sort(leads.select("of").toArrow()["of"].to_numpy().view(U64))) if n and small else None
-    hot = rows.mapInArrow(_hot_chunks(known), "digest long, doc_id long, start long, size long, words long")
+    hot = rows.mapInArrow(_hot_chunks(known, FLUSH), "digest long, doc_id long, start long, size long, words long")
     if not n:
         hot = found.limit(0)
     elif small:

@@ -39,6 +39,12 @@ SHORT = 15
 BLOCK = 4096
 BLOCK_SHINGLES = 1 << 20
 FLUSH = 2_000_000
+#: A shingle with so many sets in one flush is hot: its list is open anyway, and its sets do not meet in one task. The shard learns of its
+#: largest set, and a second pass over the prefixes gives the list's members where they are.
+HOT = 256
+#: Hot shingles broadcast at most (24 bytes each); beyond it entries are joined with them, salted.
+MAX_HOT = 2_000_000
+_MARK = 1 << 31
 #: Most pairs of ids broadcast to pick texts; beyond it the same join shuffles, with salt where a key may be hot.
 MAX_BROADCAST_PAIRS = 1_000_000
 SALTS = 32
@@ -207,29 +213,69 @@ def required_self(n: int) -> int:
     return -(-3 * n // 4)
 
 
-def _index_blobs(batches):
-    schema = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+def _entries(batches, flush: int):
+    """Arrays (token, doc, size) of about `flush` prefix entries."""
     tokens, ids, sizes, n = [], [], [], 0
-
-    def flush():
-        t, i, z = (np.concatenate(x) for x in (tokens, ids, sizes))
-        order = np.argsort(t, kind="stable")
-        t, i, z = t[order], i[order], z[order]
-        rows = [(k, _planes(t[s], 4), _planes(i[s].view(U64), 8), _planes(z[s], 4)) for k, s in _by_shard(t, 32)]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
     for batch in batches:
         for doc, size, prefix in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             t = _unplanes(prefix, 7)
             tokens.append(t)
             ids.append(np.full(len(t), doc, np.int64))
-            sizes.append(np.full(len(t), size, U64))
+            sizes.append(np.full(len(t), size, np.int64))
             n += len(t)
-            if n >= FLUSH:
-                yield flush()
+            if n >= flush:
+                yield tuple(np.concatenate(x) for x in (tokens, ids, sizes))
                 tokens, ids, sizes, n = [], [], [], 0
     if n:
-        yield flush()
+        yield tuple(np.concatenate(x) for x in (tokens, ids, sizes))
+
+
+def _index_blobs(hot: int, flush: int):
+    schema = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+
+    def run(batches):
+        for t, i, z in _entries(batches, flush):
+            order = np.lexsort((i, -z, t))
+            t, i, z = t[order], i[order], z[order]
+            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            many = np.diff(np.append(first, len(t))) >= hot
+            taken = np.repeat(~many, np.diff(np.append(first, len(t))))
+            z[first[many]] |= _MARK
+            taken[first[many]] = True
+            t, i, z = t[taken], i[taken], z[taken].astype(U64)
+            rows = [(k, _planes(t[s], 4), _planes(i[s].view(U64), 8), _planes(z[s], 4)) for k, s in _by_shard(t, 32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _list_rows(kind: np.ndarray, token: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(token.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["kind", "token", "a", "b"])
+
+
+def _hot_members(hot, flush: int):
+    """Of the (broadcast) hot tokens with their leads: rows (kind 1) of all members, and pairs (kind 0) of the lead with those of fitting size."""
+
+    def run(batches):
+        token, lead, lead_size = hot.value
+        for t, i, z in _entries(batches, flush):
+            at = np.minimum(np.searchsorted(token, t), len(token) - 1)
+            mine = token[at] == t
+            t, i, z, at = t[mine], i[mine], z[mine], at[mine]
+            near = _fits(np.minimum(z, lead_size[at]), np.maximum(z, lead_size[at])) & (i != lead[at])
+            large = lead_size[at] >= z
+            x, y = np.where(large, lead[at], i)[near], np.where(large, i, lead[at])[near]
+            yield _list_rows(np.repeat([1, 0], [len(t), len(x)]), np.concatenate((t.view(np.int64), np.zeros(len(x), np.int64))), np.concatenate((i, x)), np.concatenate((z, y)))
+
+    return run
+
+
+def _plain_entries(flush: int):
+    def run(batches):
+        for t, i, z in _entries(batches, flush):
+            yield _list_rows(np.ones(len(t)), t.view(np.int64), i, z)
+
+    return run
 
 
 def _fits(small, large):
@@ -237,12 +283,18 @@ def _fits(small, large):
 
 
 def _merge_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Rows (kind 0): pairs a (the larger set), b. Rows (kind 1): members a of open list `token`, of size b."""
+    """Rows (kind 0): pairs a (the larger set), b. Rows (kind 1): members a of open list `token`, of size b. Rows (kind 2): a hot list `token` with
+    its largest set a, of size b."""
     t = np.concatenate([_unplanes(x.as_py(), 4) for x in table["tokens"]])
     i = np.concatenate([_unplanes(x.as_py(), 8) for x in table["ids"]]).view(np.int64)
     z = np.concatenate([_unplanes(x.as_py(), 4) for x in table["sizes"]]).astype(np.int64)
+    marked, z = z >= _MARK, z & (_MARK - 1)
     order = np.lexsort((i, -z, t))
-    t, i, z = t[order], i[order], z[order]
+    t, i, z, marked = t[order], i[order], z[order], marked[order]
+    hot = np.isin(t, t[marked])
+    lead = hot & np.concatenate(([True], t[1:] != t[:-1])) if len(t) else hot
+    leads = np.stack([(key[0].as_py() << 32) + t[lead].astype(np.int64), i[lead], z[lead]])
+    t, i, z = t[~hot], i[~hot], z[~hot]
     if len(t):
         once = np.concatenate(([True], (t[1:] != t[:-1]) | (i[1:] != i[:-1])))
         t, i, z = t[once], i[once], z[once]
@@ -266,7 +318,32 @@ def _merge_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         opened.append(np.stack([np.full(length, (key[0].as_py() << 32) + int(t[a])), ids, sizes]))
     links = np.array(sorted(pairs), np.int64).reshape(-1, 2)
     more = np.concatenate(opened, axis=1) if opened else np.zeros((3, 0), np.int64)
-    return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [len(links), more.shape[1]]), "token": np.concatenate([np.zeros(len(links), np.int64), more[0]]), "a": np.concatenate([links[:, 0], more[1]]), "b": np.concatenate([links[:, 1], more[2]])})
+    kind = np.repeat([0, 1, 2], [len(links), more.shape[1], leads.shape[1]])
+    return pa.Table.from_batches([_list_rows(kind, np.concatenate([np.zeros(len(links), np.int64), more[0], leads[0]]), np.concatenate([links[:, 0], more[1], leads[1]]), np.concatenate([links[:, 1], more[2], leads[2]]))])
+
+
+LIST_ROW = "kind int, token long, a long, b long"
+
+
+def with_hot_lists(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The rows of lists with members and pairs of the hot ones, which their shards left out."""
+    hot = lists.filter("kind = 2").select("token", "a", "b")
+    n = hot.count()
+    if not n:
+        return lists
+    if n <= MAX_HOT:
+        table = hot.orderBy("token").toArrow()
+        known = lists.sparkSession.sparkContext.broadcast((table["token"].to_numpy().view(U64), table["a"].to_numpy(), table["b"].to_numpy()))
+        more = prefixes.mapInArrow(_hot_members(known, FLUSH), LIST_ROW)
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        leads = hot.select("token", F.col("a").alias("lead"), F.col("b").alias("lead_size"), salts)
+        at = prefixes.mapInArrow(_plain_entries(FLUSH), LIST_ROW).withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(leads, ["token", "salt"])
+        small, large = F.least("b", "lead_size"), F.greatest("b", "lead_size")
+        first = F.col("lead_size") >= F.col("b")
+        pairs = at.filter((100 * small >= 75 * large) & (F.col("a") != F.col("lead"))).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("token"), F.when(first, F.col("lead")).otherwise(F.col("a")).alias("a"), F.when(first, F.col("a")).otherwise(F.col("lead")).alias("b"))
+        more = at.select("kind", "token", "a", "b").unionByName(pairs)
+    return lists.filter("kind < 2").unionByName(keep(more, "hot"))
 
 
 def _groups(*keys: np.ndarray):
@@ -432,8 +509,9 @@ def ngram_join(docs: DataFrame, links: bool = False) -> DataFrame:
     known = profile.filter("digest is not null and doc_id is not null")
     classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "classes")
     unique = known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    shards = unique.select("doc_id", "n_shingles", "prefix").mapInArrow(_index_blobs, "shard long, tokens binary, ids binary, sizes binary")
-    lists = keep(shards.groupBy("shard").applyInArrow(_merge_shard, "kind int, token long, a long, b long"), "lists")
+    shards = unique.select("doc_id", "n_shingles", "prefix").mapInArrow(_index_blobs(HOT, FLUSH), "shard long, tokens binary, ids binary, sizes binary")
+    lists = keep(shards.groupBy("shard").applyInArrow(_merge_shard, LIST_ROW), "lists")
+    lists = with_hot_lists(lists, unique.select("doc_id", "n_shingles", "prefix"))
     pairs = keep(lists.filter("kind = 0").select("a", "b").distinct(), "pairs")
     verified = keep(verify_pairs(docs, pairs), "links")
     # Classes of one doc_id with several texts meet in that node.

@@ -98,11 +98,17 @@ def test_ngram_join_hot_group(spark, monkeypatch):
         rows.append((d, " ".join(w)))
     rows += [(1000 + d, rows[d % 7][1]) for d in range(30)] + [(2000, "alone in the whole table"), (2001, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for broadcast in (10**6, 0):
+    seen, plain = [], ngram_join.with_hot_lists
+    monkeypatch.setattr(ngram_join, "with_hot_lists", lambda lists, prefixes: seen.append(lists.filter("kind = 2").count()) or plain(lists, prefixes))
+    for broadcast, hot, flush, known in ((10**6, 256, 10**6, 10**6), (0, 256, 10**6, 10**6), (10**6, 8, 900, 10**6), (0, 8, 900, 0)):
         monkeypatch.setattr(ngram_join, "MAX_BROADCAST_PAIRS", broadcast)
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "FLUSH", flush)
+        monkeypatch.setattr(ngram_join, "MAX_HOT", known)
         got = ngram_join.ngram_join(df, links=True).collect()
         assert {r.doc_id: r.component_id for r in got} == components(rows) == {r.doc_id: r.component_id for r in ngram_join.ngram_join(df).collect()}
         assert {r.doc_id: r.n_links for r in got} == n_links(rows)
+    assert seen[:2] == [0, 0] and min(seen[4:8]) > 10  # the hot lists' own way was taken
     assert ngram_join.ngram_join(df.limit(0), links=True).count() == 0
 
 
