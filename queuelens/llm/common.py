@@ -37,6 +37,12 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where the table is read in fewer parts than there are cores, as one small file is; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _delete_at_end(spark: SparkSession, folder: str) -> None:
     if folder not in _MARKED:
         _MARKED.add(folder)

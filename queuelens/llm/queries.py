@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunk_dedup, decontam, html_diff, langid, line_quality, mixture, ngram_join, ordinal, secret_scan, sharding
+from .common import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
